@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from gaugewise.config import DEFAULT, VARIABLES, Config
 from gaugewise.functions.columns import clip01, mean_of, safe_div
-from gaugewise.functions.worker import QuantileScan
+from gaugewise.functions import worker
 from gaugewise.operators.features import history, moments, per_variable, zscore
 from gaugewise.operators.quality import out_of_bounds
 
+# Worker code travels inside the plan, so executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(worker)
+
 Scorer = Callable[[DataFrame], DataFrame]
 _QUANTILES = ("q_lo", "q25", "q75", "q_hi")
 
@@ -39,7 +43,7 @@ def with_rolling_quantiles(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     qs = (cfg.q_lo, 0.25, 0.75, cfg.q_hi)
     added = [f"{q}_{v}" for v in VARIABLES for q in _QUANTILES]
     schema = T.StructType(df.schema.fields + [T.StructField(c, T.DoubleType()) for c in added])
-    scan = QuantileScan(VARIABLES, qs, w, cfg.min_hist, df.columns, added)
+    scan = worker.QuantileScan(VARIABLES, qs, w, cfg.min_hist, df.columns, added)
     return placed.mapInPandas(scan, schema)
 
 
