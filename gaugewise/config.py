@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 US_PER_SECOND = 1_000_000
 US_PER_MINUTE = 60 * US_PER_SECOND
@@ -96,10 +96,18 @@ class Config:
     # Centring constants: rolling sums are kept on x - centre, which keeps variances accurate.
     centre: dict[str, float] = field(default_factory=lambda: _per_variable(15.0, 1005.0, 65.0))
     std_floor: float = 1e-5
-    # physical layout: longest span of one sensor's history that a single task sorts
+    # physical layout: the span of one station's history that a single task sorts; ``plans.evaluate``
+    # narrows both when the busiest station-day would exceed ``max_rows_per_task``
     chunk_us: int = US_PER_DAY
-    bucket_us: int = US_PER_HOUR
+    bucket_us: int = US_PER_DAY
+    max_rows_per_task: int = 2_000_000
     salts: int = 8
 
+    def sized_for(self, busiest_day_rows: int) -> Config:
+        """A copy whose chunks and buckets hold at most ``max_rows_per_task`` rows of the busiest station."""
+        hours = next((h for h in (24, 12, 8, 6, 4, 3, 2)
+                      if busiest_day_rows * h <= 24 * self.max_rows_per_task), 1)
+        return replace(self, chunk_us=hours * US_PER_HOUR, bucket_us=hours * US_PER_HOUR)
+
 
 DEFAULT = Config()

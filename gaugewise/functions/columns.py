@@ -36,4 +36,5 @@ def pick(variable: Column, values: dict[str, Column]) -> Column:
 
 
 def round_half_up(x: Column) -> Column:
-    return F.floor(x + 0.5)
+    """Whole number, halves up; the offset keeps a half from falling either way on the last bit."""
+    return F.floor(x + 0.5 + 1e-7)

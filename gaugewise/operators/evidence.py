@@ -11,7 +11,7 @@ from gaugewise.config import DEFAULT, US_PER_MINUTE, VARIABLES, Config
 from gaugewise.functions.columns import clip01, mean_of, pick, safe_div
 from gaugewise.functions.physics import dew_point
 from gaugewise.operators.features import (
-    adjacent, history, moments, pair_corr, per_variable, trend_fit, with_diurnal)
+    adjacent, history, per_variable, trend_residual, with_corr, with_diurnal_from, with_moments)
 from gaugewise.operators.quality import day_chunk, out_of_bounds
 from gaugewise.operators.timeline import rolling_sums, running
 
@@ -47,7 +47,7 @@ def deviation_excess(deviation: Column, std: Column, cfg: Config) -> Column:
 
 
 def trend_excess(v: str, cfg: Config) -> Column:
-    return deviation_excess(trend_fit(v, cfg)["residual"], moments(v, cfg)["std"], cfg)
+    return deviation_excess(trend_residual(v), F.col(f"std_{v}"), cfg)
 
 
 def temporal(v: str, cfg: Config, trend: Column | None = None) -> Column:
@@ -61,7 +61,8 @@ def temporal(v: str, cfg: Config, trend: Column | None = None) -> Column:
 
 
 def temporal_evidence(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    wide = with_diurnal(adjacent(history(df, cfg, pairs=(), recent=False), cfg), cfg)
+    wide = with_moments(history(df, cfg, pairs=(), recent=False), cfg, trend=True)
+    wide = with_diurnal_from(adjacent(wide, cfg), df, cfg)
     return per_variable(wide, {v: {"rate_excess": rate_excess(v, cfg), "temporal": temporal(v, cfg)}
                                for v in VARIABLES}, ["reading_id", "station_id"])
 
@@ -91,15 +92,20 @@ def p_wind_term(cfg: Config) -> Column:
             .otherwise(clip01(d_w / (cfg.gust_per_hpa * F.abs(d_p)))))
 
 
-def corr_term(cfg: Config) -> Column:
-    recent = pair_corr("temperature", "humidity", "recent", cfg)
-    usual = pair_corr("temperature", "humidity", "hist", cfg)
-    return 1 - F.abs(recent - usual) / 2
+TH = (("temperature", "humidity"),)
+
+
+def with_corr_term(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """``corr_term``: how much the recent T/RH correlation keeps to the usual one."""
+    out = with_corr(with_corr(df, TH, "hist", cfg), TH, "recent", cfg)
+    usual, recent = (F.col(f"corr_{tag}_temperature_humidity") for tag in ("hist", "recent"))
+    return out.withColumn("corr_term", 1 - F.abs(recent - usual) / 2).drop(
+        "corr_hist_temperature_humidity", "corr_recent_temperature_humidity")
 
 
-def cross_sensor(cfg: Config, corr: Column | None = None) -> Column:
+def cross_sensor(cfg: Config) -> Column:
     """An impossible dew point refutes outright; else the mean of the terms that exist."""
-    others = mean_of([t_rh_term(cfg), p_wind_term(cfg), corr_term(cfg) if corr is None else corr])
+    others = mean_of([t_rh_term(cfg), p_wind_term(cfg), F.col("corr_term")])
     return F.when(dew_term(cfg) == 0.0, 0.0).otherwise(others)
 
 
@@ -113,14 +119,10 @@ def p_wind_consistency(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return adjacent(df, cfg).select("reading_id", "station_id", p_wind_term(cfg).alias("p_wind"))
 
 
-TH = (("temperature", "humidity"),)
-
-
 def cross_sensor_evidence(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    wide = adjacent(history(df, cfg, trend=False, pairs=TH), cfg)
+    wide = adjacent(with_corr_term(history(df, cfg, trend=False, pairs=TH), cfg), cfg)
     return wide.select("reading_id", "station_id", dew_term(cfg).alias("dew_term"),
-                       t_rh_term(cfg).alias("t_rh"), corr_term(cfg).alias("corr_term"),
-                       cross_sensor(cfg).alias("cross_sensor"))
+                       t_rh_term(cfg).alias("t_rh"), "corr_term", cross_sensor(cfg).alias("cross_sensor"))
 
 
 # ---- persistence ------------------------------------------------------------------------------
@@ -128,8 +130,7 @@ def cross_sensor_evidence(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 def with_persistence(df: DataFrame, cfg: Config = DEFAULT, source: DataFrame | None = None) -> DataFrame:
     """Share of the station's readings flagged in the trailing window; NULL without any reading."""
     out = rolling_sums(df, ["station_id"], "t", ["anomaly"], {
-        "_pn": (F.lit(1.0), cfg.persist_window_us),
-        "_pf": (F.col("anomaly").cast("int"), cfg.persist_window_us)}, cfg.bucket_us, source)
+        "_pn": ("1", cfg.persist_window_us), "_pf": ("int(anomaly)", cfg.persist_window_us)}, cfg.bucket_us, source)
     return out.withColumn("persistence", safe_div(F.col("_pf"), F.col("_pn"))).drop("_pn", "_pf")
 
 
@@ -148,11 +149,11 @@ def health_prior(df: DataFrame, health: DataFrame, cfg: Config = DEFAULT) -> Dat
     ``health``: station_id, t, health_score. Both tables share one timeline per station, so the last
     known score is a running maximum over (time, score).
     """
-    rows = df.withColumn("_kind", F.lit(1)).unionByName(
-        health.select("station_id", "t", "health_score", F.lit(0).alias("_kind")), allowMissingColumns=True)
-    known = F.when(F.col("_kind") == 0, F.struct("t", "health_score"))
-    out = running(rows, ["station_id"], ["t", "_kind"], day_chunk(cfg), {"_last": ("max", known, True)})
-    return out.where("_kind = 1").drop("health_score", "_kind").withColumn(
+    rows = df.withColumn("_is_reading", F.lit(1)).unionByName(
+        health.select("station_id", "t", "health_score", F.lit(0).alias("_is_reading")), allowMissingColumns=True)
+    known = F.when(F.col("_is_reading") == 0, F.struct("t", "health_score"))
+    out = running(rows, ["station_id"], ["t", "_is_reading"], day_chunk(cfg), {"_last": ("max", known, True)})
+    return out.where("_is_reading = 1").drop("health_score", "_is_reading").withColumn(
         "prior_health", F.col("_last.health_score")).withColumn(
         "health_t", F.col("_last.t")).drop("_last")
 

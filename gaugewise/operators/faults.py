@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gaugewise.config import DEFAULT, US_PER_DAY, VARIABLES, Config
+from gaugewise.config import DEFAULT, VARIABLES, Config
 from gaugewise.functions.columns import safe_div
-from gaugewise.operators.features import TREND_ORIGIN_US, adjacent, per_variable
+from gaugewise.operators.features import TAU, adjacent, centred, per_variable
 from gaugewise.operators.quality import day_chunk, median_cadence, with_gap
 from gaugewise.operators.timeline import lookup, rolling_sums, running, with_adjacent
 
@@ -68,18 +68,21 @@ def frozen_runs(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return rows.join(lengths, [*key, "_day"]).drop("_day", "_run")
 
 
+def frozen(length: Column, cfg: Config) -> Column:
+    return _true(length >= cfg.frozen_run)
+
+
 def with_residual_history(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Rolling sums of the residual against consensus, and of the recent values, in one exchange.
     Needs ``idw_<v>``."""
     w, day, sums = cfg.hist_window_us, cfg.persist_window_us, {}
-    tau_all = (F.col("t") - TREND_ORIGIN_US) / F.lit(float(US_PER_DAY))
     for v in VARIABLES:
-        r, x = F.col(v) - F.col(f"idw_{v}"), F.col(v) - cfg.centre[v]
-        tau = F.when(r.isNotNull(), tau_all)
-        sums |= {f"rn_{v}": (r.isNotNull().cast("int"), w), f"rs_{v}": (r, w), f"rss_{v}": (r * r, w),
-                 f"ru_{v}": (tau, w), f"ruu_{v}": (tau * tau, w), f"rux_{v}": (tau * r, w),
-                 f"dayn_{v}": (x.isNotNull().cast("int"), day), f"days_{v}": (x, day),
-                 f"dayss_{v}": (x * x, day)}
+        r, x = f"({v} - idw_{v})", centred(v, cfg)
+        tau = f"if({r} is null, null, {TAU})"
+        sums |= {f"rn_{v}": (f"if({r} is null, 0, 1)", w), f"rs_{v}": (r, w), f"rss_{v}": (f"{r} * {r}", w),
+                 f"ru_{v}": (tau, w), f"ruu_{v}": (f"{tau} * {TAU}", w), f"rux_{v}": (f"{TAU} * {r}", w),
+                 f"dayn_{v}": (f"if({v} is null, 0, 1)", day), f"days_{v}": (x, day),
+                 f"dayss_{v}": (f"{x} * {x}", day)}
     return rolling_sums(df, ["station_id"], "t", ["t", *VARIABLES, *[f"idw_{v}" for v in VARIABLES]],
                         sums, cfg.bucket_us)
 

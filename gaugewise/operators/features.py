@@ -14,36 +14,41 @@ PAIRS = (("temperature", "pressure"), ("temperature", "humidity"), ("pressure",
 TREND_ORIGIN_US = 1_577_836_800_000_000
 
 
+TAU = f"((t - {TREND_ORIGIN_US}) / {float(US_PER_DAY)}D)"
+
+
 def _tau(t: Column) -> Column:
     return (t - TREND_ORIGIN_US) / F.lit(float(US_PER_DAY))
 
 
-def moment_sums(cfg: Config) -> dict[str, tuple[Column, int]]:
+def centred(v: str, cfg: Config) -> str:
+    return f"({v} - {cfg.centre[v]}D)"
+
+
+def moment_sums(cfg: Config) -> dict[str, tuple[str, int]]:
     w, out = cfg.hist_window_us, {}
     for v in VARIABLES:
-        x = F.col(v) - cfg.centre[v]
-        out |= {f"n_{v}": (x.isNotNull().cast("int"), w), f"s_{v}": (x, w), f"ss_{v}": (x * x, w)}
+        x = centred(v, cfg)
+        out |= {f"n_{v}": (f"if({v} is null, 0, 1)", w), f"s_{v}": (x, w), f"ss_{v}": (f"{x} * {x}", w)}
     return out
 
 
-def trend_sums(cfg: Config) -> dict[str, tuple[Column, int]]:
+def trend_sums(cfg: Config) -> dict[str, tuple[str, int]]:
     w, out = cfg.hist_window_us, {}
     for v in VARIABLES:
-        x = F.col(v) - cfg.centre[v]
-        tau = F.when(x.isNotNull(), _tau(F.col("t")))
-        out |= {f"u_{v}": (tau, w), f"uu_{v}": (tau * tau, w), f"ux_{v}": (tau * x, w)}
+        tau = f"if({v} is null, null, {TAU})"
+        out |= {f"u_{v}": (tau, w), f"uu_{v}": (f"{tau} * {TAU}", w), f"ux_{v}": (f"{TAU} * {centred(v, cfg)}", w)}
     return out
 
 
 def pair_sums(cfg: Config, pairs: tuple[tuple[str, str], ...], width_us: int, tag: str
-              ) -> dict[str, tuple[Column, int]]:
+              ) -> dict[str, tuple[str, int]]:
     out = {}
     for a, b in pairs:
-        xa, xb = F.col(a) - cfg.centre[a], F.col(b) - cfg.centre[b]
-        both = xa.isNotNull() & xb.isNotNull()
-        name = f"{tag}_{a}_{b}"
-        terms = {"n": F.lit(1.0), "a": xa, "b": xb, "aa": xa * xa, "bb": xb * xb, "ab": xa * xb}
-        out |= {f"{k}_{name}": (F.when(both, e), width_us) for k, e in terms.items()}
+        xa, xb, name = centred(a, cfg), centred(b, cfg), f"{tag}_{a}_{b}"
+        terms = {"n": "1", "a": xa, "b": xb, "aa": f"{xa} * {xa}", "bb": f"{xb} * {xb}", "ab": f"{xa} * {xb}"}
+        out |= {f"{k}_{name}": (f"if({a} is null or {b} is null, null, {e})", width_us)
+                for k, e in terms.items()}
     return out
 
 
@@ -61,36 +66,49 @@ def history(df: DataFrame, cfg: Config = DEFAULT, trend: bool = True,
                         source)
 
 
-def moments(v: str, cfg: Config) -> dict[str, Column]:
-    """n, mean and sample std of the frame; a std under ``std_floor`` counts as 0."""
-    n, s, ss = F.col(f"n_{v}"), F.col(f"s_{v}"), F.col(f"ss_{v}")
-    var = safe_div(ss - s * safe_div(s, n), n - 1)
-    std = F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0))))
-    return {"n": n.cast("long"), "mean": cfg.centre[v] + safe_div(s, n),
-            "std": F.when(std < cfg.std_floor, 0.0).otherwise(std)}
+def with_moments(df: DataFrame, cfg: Config = DEFAULT, trend: bool = False) -> DataFrame:
+    """Turn history sums into ``n_<v>``, ``mean_<v>``, ``std_<v>`` and, with ``trend``, the fitted
+    ``slope_<v>`` per day and ``predicted_<v>`` at the reading's own time; NULL under ``min_hist``.
+
+    A std under ``std_floor`` counts as 0. Named columns keep later expressions small.
+    """
+    first, second, spent = [], [], []
+    for v in VARIABLES:
+        first += [f"s_{v} / nullif(n_{v}, 0) as _m_{v}", f"if(n_{v} > 1, sqrt(greatest((ss_{v} - s_{v} * s_{v} / "
+                  f"nullif(n_{v}, 0)) / nullif(n_{v} - 1, 0), 0D)), null) as _sd_{v}"]
+        second += [f"{cfg.centre[v]}D + _m_{v} as mean_{v}", f"if(_sd_{v} < {cfg.std_floor}D, 0D, _sd_{v}) as std_{v}",
+                   f"cast(n_{v} as bigint) as n_{v}"]
+        if trend:
+            first.append(f"if(n_{v} >= {cfg.min_hist}, uu_{v} - u_{v} * u_{v} / nullif(n_{v}, 0), null) as _sp_{v}")
+            slope = f"if(_sp_{v} > 1e-6D, (ux_{v} - u_{v} * s_{v} / nullif(n_{v}, 0)) / nullif(_sp_{v}, 0), null)"
+            second += [f"{slope} as slope_{v}", f"{cfg.centre[v]}D + _m_{v} + {slope} * ({TAU} - u_{v} / "
+                       f"nullif(n_{v}, 0)) as predicted_{v}"]
+        spent += [f"{p}_{v}" for p in ("s", "ss", "u", "uu", "ux", "n")]
+    keep = [c for c in df.columns if c not in spent]
+    return df.selectExpr("*", *first).selectExpr(*keep, *second)
 
 
 def zscore(v: str, cfg: Config) -> Column:
-    m = moments(v, cfg)
-    return F.when(m["n"] >= cfg.min_hist, safe_div(F.col(v) - m["mean"], m["std"]))
+    """Standardised distance from the history mean (``with_moments`` columns)."""
+    return F.when(F.col(f"n_{v}") >= cfg.min_hist, safe_div(F.col(v) - F.col(f"mean_{v}"), F.col(f"std_{v}")))
 
 
-def trend_fit(v: str, cfg: Config) -> dict[str, Column]:
-    """Slope per day and predicted value at the reading's own time; NULL under ``min_hist``."""
-    n, s = F.col(f"n_{v}"), F.col(f"s_{v}")
-    u, uu, ux = F.col(f"u_{v}"), F.col(f"uu_{v}"), F.col(f"ux_{v}")
-    spread = uu - u * safe_div(u, n)
-    slope = F.when((n >= cfg.min_hist) & (spread > 1e-6), safe_div(ux - u * safe_div(s, n), spread))
-    predicted = cfg.centre[v] + safe_div(s, n) + slope * (_tau(F.col("t")) - safe_div(u, n))
-    return {"slope": slope, "predicted": predicted, "residual": F.col(v) - predicted}
+def trend_residual(v: str) -> Column:
+    return F.col(v) - F.col(f"predicted_{v}")
 
 
-def pair_corr(a: str, b: str, tag: str, cfg: Config) -> Column:
-    """Correlation from moments; NULL under ``min_hist`` rows or for a constant input."""
-    n, sa, sb, aa, bb, ab = (F.col(f"{k}_{tag}_{a}_{b}") for k in ("n", "a", "b", "aa", "bb", "ab"))
-    va, vb = aa - sa * safe_div(sa, n), bb - sb * safe_div(sb, n)
-    ok = (n >= cfg.min_hist) & (va > 1e-9 * n) & (vb > 1e-9 * n)
-    return F.when(ok, safe_div(ab - sa * safe_div(sb, n), F.sqrt(va) * F.sqrt(vb)))
+def with_corr(df: DataFrame, pairs: tuple[tuple[str, str], ...], tag: str, cfg: Config) -> DataFrame:
+    """Turn pair sums into ``corr_<tag>_<a>_<b>``; NULL under ``min_hist`` rows or for a constant input."""
+    first, second, spent = [], [], []
+    for a, b in pairs:
+        m = f"{tag}_{a}_{b}"
+        first += [f"if(n_{m} >= {cfg.min_hist}, {p}_{m} - {x}_{m} * {y}_{m} / nullif(n_{m}, 0), null) as _v{p}_{m}"
+                  for p, x, y in (("aa", "a", "a"), ("bb", "b", "b"), ("ab", "a", "b"))]
+        second.append(f"if(_vaa_{m} > 1e-9D * n_{m} and _vbb_{m} > 1e-9D * n_{m}, _vab_{m} / "
+                      f"nullif(sqrt(_vaa_{m}) * sqrt(_vbb_{m}), 0), null) as corr_{m}")
+        spent += [f"{k}_{m}" for k in ("n", "a", "b", "aa", "bb", "ab")]
+    keep = [c for c in df.columns if c not in spent]
+    return df.selectExpr("*", *first).selectExpr(*keep, *second)
 
 
 def per_variable(df: DataFrame, build: dict[str, dict[str, Column]], keep: list[str]) -> DataFrame:
@@ -102,22 +120,24 @@ def per_variable(df: DataFrame, build: dict[str, dict[str, Column]], keep: list[
 
 def rolling_stats(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Rolling n / mean / std per reading and variable, current reading excluded."""
-    wide = history(df, cfg, trend=False, pairs=(), recent=False)
-    return per_variable(wide, {v: {"x": F.col(v), **moments(v, cfg)} for v in VARIABLES},
-                        ["reading_id", "station_id", "t"])
+    wide = with_moments(history(df, cfg, trend=False, pairs=(), recent=False), cfg)
+    return per_variable(wide, {v: {"x": F.col(v), **{m: F.col(f"{m}_{v}") for m in ("n", "mean", "std")}}
+                               for v in VARIABLES}, ["reading_id", "station_id", "t"])
 
 
 def trend(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    wide = history(df, cfg, pairs=(), recent=False)
-    return per_variable(wide, {v: {"x": F.col(v), **trend_fit(v, cfg)} for v in VARIABLES},
+    wide = with_moments(history(df, cfg, pairs=(), recent=False), cfg, trend=True)
+    return per_variable(wide, {v: {"x": F.col(v), "slope": F.col(f"slope_{v}"),
+                                   "predicted": F.col(f"predicted_{v}"), "residual": trend_residual(v)}
+                               for v in VARIABLES},
                         ["reading_id", "station_id", "t"])
 
 
 def rolling_corr(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Rolling correlation of each pair of variables per reading."""
-    wide = history(df, cfg, trend=False, recent=False)
+    wide = with_corr(history(df, cfg, trend=False, recent=False), PAIRS, "hist", cfg)
     return wide.select("reading_id", "station_id", *[
-        pair_corr(a, b, "hist", cfg).alias(f"corr_{a}_{b}") for a, b in PAIRS])
+        F.col(f"corr_hist_{a}_{b}").alias(f"corr_{a}_{b}") for a, b in PAIRS])
 
 
 def adjacent(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -156,11 +176,11 @@ def with_diurnal(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 def features(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Feature vector inputs: values, deltas to the previous reading, hour, rolling mean and std."""
-    wide = adjacent(history(df, cfg, trend=False, pairs=(), recent=False), cfg)
+    wide = adjacent(with_moments(history(df, cfg, trend=False, pairs=(), recent=False), cfg), cfg)
     return wide.select(
         "reading_id", "station_id", F.hour("ts").alias("hour"), *VARIABLES,
         *[(F.col(v) - F.col(f"prev_{v}")).alias(f"delta_{v}") for v in VARIABLES],
-        *[moments(v, cfg)[m].alias(f"{m}_{v}") for v in VARIABLES for m in ("mean", "std")])
+        *[f"{m}_{v}" for v in VARIABLES for m in ("mean", "std")])
 
 
 def assemble(df: DataFrame, columns: list[str]) -> DataFrame:

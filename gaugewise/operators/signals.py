@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from gaugewise.config import DEFAULT, VARIABLES, Config
 from gaugewise.functions.columns import clip01, mean_of, safe_div
 from gaugewise.functions import worker
-from gaugewise.operators.features import history, moments, per_variable, zscore
+from gaugewise.operators.features import history, per_variable, with_moments, zscore
 from gaugewise.operators.quality import out_of_bounds
 
 # Worker code travels inside the plan, so executors need no installed copy of the package.
@@ -21,7 +21,7 @@ _QUANTILES = ("q_lo", "q25", "q75", "q_hi")
 
 
 def zscore_signal(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    wide = history(df, cfg, trend=False, pairs=(), recent=False)
+    wide = with_moments(history(df, cfg, trend=False, pairs=(), recent=False), cfg)
     return per_variable(wide, {v: {
         "z": zscore(v, cfg), "z_signal": clip01(F.abs(zscore(v, cfg)) / cfg.z_cap)}
         for v in VARIABLES}, ["reading_id", "station_id"])
@@ -62,7 +62,7 @@ def quantile_signal(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 
 def with_statistical(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """On a frame with history sums and quantiles: ``stat_<v>`` per variable and ``statistical``."""
+    """On a frame with moments and quantiles: ``stat_<v>`` per variable and ``statistical``."""
     per = {f"stat_{v}": F.greatest(clip01(F.abs(zscore(v, cfg)) / cfg.z_cap), quantile_distance(v))
            for v in VARIABLES}
     return df.withColumns(per).withColumn("statistical", F.greatest(*[f"stat_{v}" for v in VARIABLES]))
@@ -70,7 +70,7 @@ def with_statistical(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 def statistical_score(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     wide = history(with_rolling_quantiles(df, cfg), cfg, trend=False, pairs=(), recent=False, source=df)
-    return with_statistical(wide, cfg)
+    return with_statistical(with_moments(wide, cfg), cfg)
 
 
 def structural(cfg: Config = DEFAULT) -> Column:

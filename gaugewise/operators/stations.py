@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gaugewise.config import DEFAULT, VARIABLES, Config
 from gaugewise.functions.columns import safe_div
 from gaugewise.functions.physics import haversine_km
+from gaugewise.operators.features import centred, per_variable
 from gaugewise.operators.timeline import around_sums, lookup
 
 KM_PER_DEGREE = 111.0  # fixed value, slightly below the true 111.19 so that cells are never too small
@@ -59,10 +60,10 @@ def align_neighbours(df: DataFrame, edges: DataFrame, cfg: Config = DEFAULT) ->
     asked = lookup(df.select("reading_id", "station_id", "t", *[F.col(v).alias(f"own_{v}") for v in VARIABLES]),
                    edges, ["station_id"], cfg.salts, how="inner")
     seen = df.select(F.col("station_id").alias("neighbour_id"), "t", *VARIABLES)
-    sums: dict[str, Column] = {}
+    sums: dict[str, str] = {}
     for v in VARIABLES:
-        x = F.col(v) - cfg.centre[v]
-        sums |= {f"an_{v}": x.isNotNull().cast("int"), f"as_{v}": x, f"ass_{v}": x * x}
+        x = centred(v, cfg)
+        sums |= {f"an_{v}": f"if({v} is null, 0, 1)", f"as_{v}": x, f"ass_{v}": f"{x} * {x}"}
     out = around_sums(asked, seen, ["neighbour_id"], "t", cfg.time_tol_us, sums)
     return out.where(" or ".join(f"an_{v} > 0" for v in VARIABLES))
 
@@ -142,7 +143,6 @@ def with_consensus(df: DataFrame, stations: DataFrame, cfg: Config = DEFAULT,
 
 def idw_consensus(df: DataFrame, stations: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Long form: consensus, neighbour counts, spread and cross-station score per variable."""
-    from gaugewise.operators.features import per_variable
     wide = with_consensus(df, stations, cfg)
     return per_variable(wide, {v: {
         "x": F.col(v), "idw": F.col(f"idw_{v}"), "n_neighbours": F.col(f"nn_{v}"),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 
 def rolling_sums(
@@ -19,67 +19,57 @@ def rolling_sums(
     keys: list[str],
     t: str,
     inputs: list[str],
-    sums: dict[str, tuple[Column, int]],
+    sums: dict[str, tuple[str, int]],
     bucket_us: int,
     source: DataFrame | None = None,
 ) -> DataFrame:
     """Add, per row, sums over the rows of the same key with time in [t - width, t).
 
-    ``sums`` maps an output name to (expression over ``inputs``, width); each width is a multiple of
+    ``sums`` maps an output name to (SQL expression over ``inputs``, width); each width is a multiple of
     ``bucket_us``. NULL expressions count as 0. Every row enters its own bucket with + and leaves,
     one width later, with -; a bucket starts from the sum of the whole buckets inside the frame.
     One running sum inside (key, bucket) then yields the frame sum, whatever the frame length.
     ``source`` may name a cheaper frame with the same rows for the bucket table, so that the plan behind
     a derived ``df`` is not computed twice.
     """
+    bucket = lambda at: f"(({at}) - pmod({at}, {bucket_us})) div {bucket_us}"
     widths = sorted({w for _, w in sums.values()})
     if any(w % bucket_us for w in widths):
         raise ValueError("every width must be a multiple of the bucket")
-    bucket = F.floor(F.col(t) / F.lit(bucket_us)).cast("long")
     payload = [c for c in df.columns if c not in keys and c not in inputs]
+    types = df.schema
+    no_row = T.StructType([types[c] for c in payload])
+    by = ", ".join(f"`{k}`" for k in keys)
+    value = {name: f"coalesce(cast({e} as double), 0D)" for name, (e, _) in sums.items()}
 
     # Whole-bucket sums, combined map-side, then summed over the buckets a frame covers in full.
-    per_bucket = (df if source is None else source).groupBy(*keys, bucket.alias("_b")).agg(
-        *[F.sum(F.coalesce(e, F.lit(0)).cast("double")).alias(name) for name, (e, _) in sums.items()])
-    over = lambda w: Window.partitionBy(*keys).orderBy("_b").rangeBetween(-(w // bucket_us), -1)
-    base = per_bucket.select(*keys, "_b", *[
-        F.coalesce(F.sum(name).over(over(w)), F.lit(0.0)).alias(f"_base_{name}")
-        for name, (_, w) in sums.items()])
-    base = base.select(
-        *keys, "_b", F.lit(None).cast("int").alias("_leave"),
-        (F.col("_b") * F.lit(2 * bucket_us) - 1).alias("_o"),
-        *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in inputs],
-        F.lit(None).cast(df.select(F.struct(*payload).alias("p")).schema["p"].dataType).alias("_row"),
-        *[F.col(f"_base_{name}") for name in sums])
+    per_bucket = (df if source is None else source).groupBy(*keys, F.expr(f"{bucket(t)} as _b")).agg(
+        *[F.expr(f"sum({e}) as {name}") for name, e in value.items()])
+    base = per_bucket.selectExpr(
+        *keys, "_b", "cast(null as int) as _leave", f"_b * {2 * bucket_us} - 1 as _o",
+        *[f"cast(null as {types[c].dataType.simpleString()}) as `{c}`" for c in inputs],
+        *[f"coalesce(sum({name}) over (partition by {by} order by _b range between {w // bucket_us} preceding "
+          f"and 1 preceding), 0D) as _base_{name}" for name, (_, w) in sums.items()])
 
     # Raw inputs, not the many derived terms, travel through the shuffle.
-    moves = F.array(
-        F.struct(bucket.alias("_b"), F.lit(0).alias("_leave"), (F.col(t) * 2 + 1).alias("_o"),
-                 F.struct(*payload).alias("_row")),
-        *[F.struct((bucket + w // bucket_us).alias("_b"), F.lit(i).alias("_leave"),
-                   ((F.col(t) + w) * 2 + 1).alias("_o"),
-                   F.lit(None).cast(df.select(F.struct(*payload).alias("p")).schema["p"].dataType)
-                   .alias("_row"))
-          for i, w in enumerate(widths, start=1)])
-    events = df.select(*keys, *inputs, F.explode(moves).alias("_m")).select(
-        *keys, *inputs, "_m._b", "_m._leave", "_m._o", "_m._row")
-    union = events.unionByName(base, allowMissingColumns=True).repartition(*keys, "_b")
-
-    def delta(name: str, expr: Column, width: int) -> Column:
-        value = F.coalesce(expr, F.lit(0)).cast("double")
-        return (F.when(F.col("_leave") == 0, value)
-                .when(F.col("_leave") == widths.index(width) + 1, -value)
-                .when(F.col("_leave").isNull(), F.col(f"_base_{name}")).otherwise(0.0))
-
-    run = (Window.partitionBy(*keys, "_b").orderBy("_o")
-           .rangeBetween(Window.unboundedPreceding, -1))
-    signed = union.select(
+    moves = [f"named_struct('_b', {bucket(t)}, '_leave', 0, '_o', {t} * 2 + 1)"]
+    moves += [f"named_struct('_b', {bucket(f'{t} + {w}')}, '_leave', {i}, '_o', ({t} + {w}) * 2 + 1)"
+              for i, w in enumerate(widths, start=1)]
+    events = df.select(*keys, *inputs, F.struct(*payload).alias("_all"),
+                       F.expr(f"explode(array({', '.join(moves)})) as _m"))
+    events = events.select(*keys, *inputs, "_m.*", F.expr("if(_m._leave = 0, _all, null) as _row"))
+    union = events.unionByName(base.withColumn("_row", F.lit(None).cast(no_row)), allowMissingColumns=True)
+
+    signed = union.repartition(*keys, "_b").selectExpr(
+        "*", *[f"case _leave when 0 then 1D when {i} then -1D else 0D end as _s{i}" for i in range(1, len(widths) + 1)])
+    signed = signed.selectExpr(
         *keys, *inputs, "_b", "_o", "_leave", "_row",
-        *[delta(name, e, w).alias(f"_d_{name}") for name, (e, w) in sums.items()])
-    out = signed.select(
-        *keys, *inputs, "_leave", "_row",
-        *[F.coalesce(F.sum(f"_d_{name}").over(run), F.lit(0.0)).alias(name) for name in sums])
-    return out.where(F.col("_leave") == 0).select(*keys, *inputs, "_row.*", *list(sums))
+        *[f"_s{widths.index(w) + 1} * {value[name]} + coalesce(_base_{name}, 0D) as _d_{name}"
+          for name, (_, w) in sums.items()])
+    run = f"over (partition by {by}, _b order by _o range between unbounded preceding and 1 preceding)"
+    out = signed.selectExpr(*keys, *inputs, "_leave", "_row",
+                            *[f"coalesce(sum(_d_{name}) {run}, 0D) as {name}" for name in sums])
+    return out.where("_leave = 0").select(*keys, *inputs, "_row.*", *list(sums))
 
 
 def around_sums(
@@ -88,7 +78,7 @@ def around_sums(
     keys: list[str],
     t: str,
     tol_us: int,
-    sums: dict[str, Column],
+    sums: dict[str, str],
 ) -> DataFrame:
     """Add to each probe the sums over events of the same key with time in [t - tol, t + tol].
 
@@ -97,11 +87,10 @@ def around_sums(
     """
     bucket = F.floor(F.col(t) / F.lit(tol_us)).cast("long")
     names = list(sums)
-    ev = events.select(*keys, t, *[F.coalesce(e, F.lit(0)).cast("double").alias(n)
-                                   for n, e in sums.items()])
+    ev = events.selectExpr(*keys, t, *[f"coalesce(cast({e} as double), 0D) as {n}" for n, e in sums.items()])
     payload_cols = [c for c in probes.columns if c not in keys]
-    row_type = probes.select(F.struct(*payload_cols).alias("p")).schema["p"].dataType
-    no_row = F.lit(None).cast(row_type).alias("_row")
+    types = probes.schema
+    no_row = F.lit(None).cast(T.StructType([types[c] for c in payload_cols])).alias("_row")
 
     moves = F.array(
         F.struct((bucket - 1).alias("_b"), ((F.col(t) - tol_us) * 2).alias("_o"),
@@ -109,17 +98,17 @@ def around_sums(
         F.struct((bucket + 1).alias("_b"), ((F.col(t) + tol_us) * 2 + 1).alias("_o"),
                  F.lit(-1.0).alias("_s")))
     moved = ev.select(*keys, *names, F.explode(moves).alias("_m")).select(
-        *keys, "_m._b", "_m._o", *[(F.col(n) * F.col("_m._s")).alias(n) for n in names], no_row)
+        *keys, "_m._b", "_m._o", *[F.expr(f"{n} * _m._s as {n}") for n in names], no_row)
     # Bucket B starts with the events of buckets B-1 and B: they entered before B, leave in or after it.
     start = ev.select(*keys, F.explode(F.array(bucket, bucket + 1)).alias("_b"), *names)
-    start = start.groupBy(*keys, "_b").agg(*[F.sum(n).alias(n) for n in names]).select(
+    start = start.groupBy(*keys, "_b").agg(*[F.expr(f"sum({n}) as {n}") for n in names]).select(
         *keys, "_b", (F.col("_b") * F.lit(2 * tol_us) - 1).alias("_o"), *names, no_row)
     asked = probes.select(*keys, bucket.alias("_b"), (F.col(t) * 2).alias("_o"),
-                          *[F.lit(0.0).alias(n) for n in names], F.struct(*payload_cols).alias("_row"))
+                          *[F.expr(f"0D as {n}") for n in names], F.struct(*payload_cols).alias("_row"))
     union = asked.unionByName(moved).unionByName(start)
-    run = (Window.partitionBy(*keys, "_b").orderBy("_o")
-           .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    out = union.select(*keys, "_row", *[F.sum(n).over(run).alias(n) for n in names])
+    run = (f"over (partition by {', '.join(keys)}, _b order by _o range between unbounded preceding "
+           "and current row)")
+    out = union.selectExpr(*keys, "_row", *[f"sum({n}) {run} as {n}" for n in names])
     return out.where(F.col("_row").isNotNull()).select(*keys, "_row.*", *names)
 
 

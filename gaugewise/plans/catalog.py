@@ -1,4 +1,5 @@
 """All registered queries."""
 
-from gaugewise.plans import queries_evidence, queries_quality, queries_signals  # noqa: F401
+from gaugewise.plans import (  # noqa: F401
+    queries_evidence, queries_operations, queries_quality, queries_signals, queries_streams)
 from gaugewise.plans.registry import ORACLES, QUERIES  # noqa: F401

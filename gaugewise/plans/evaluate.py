@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gaugewise.config import DEFAULT, VARIABLES, Config
+from gaugewise.config import DEFAULT, US_PER_DAY, VARIABLES, Config
 from gaugewise.operators import correction, decision, evidence, faults, features, signals, stations as st
 from gaugewise.session import cut
 
@@ -18,12 +18,11 @@ def observe(readings: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Everything that depends on the station's own readings, reduced to the columns used later."""
     wide = features.history(signals.with_rolling_quantiles(readings, cfg), cfg, pairs=evidence.TH,
                             source=readings)
+    wide = evidence.with_corr_term(features.with_moments(wide, cfg, trend=True), cfg)
     wide = signals.with_statistical(wide, cfg)
-    derived = [F.col("statistical"), evidence.corr_term(cfg).alias("corr_term")]
+    derived = ["statistical", "corr_term"]
     for v in VARIABLES:
-        m = features.moments(v, cfg)
-        derived += [F.col(f"stat_{v}"), m["n"].alias(f"n_{v}"), m["std"].alias(f"std_{v}"),
-                    evidence.trend_excess(v, cfg).alias(f"trend_excess_{v}")]
+        derived += [f"stat_{v}", f"n_{v}", f"std_{v}", evidence.trend_excess(v, cfg).alias(f"trend_excess_{v}")]
     return features.adjacent(wide.select(*readings.columns, *derived), cfg)
 
 
@@ -44,7 +43,7 @@ def gather(flagged: DataFrame, readings: DataFrame, stations: DataFrame, cfg: Co
     base = features.with_diurnal_from(base, readings, cfg)
     base = base.withColumns({
         **{f"temporal_{v}": evidence.temporal(v, cfg, F.col(f"trend_excess_{v}")) for v in VARIABLES},
-        "cross_sensor": evidence.cross_sensor(cfg, F.col("corr_term"))})
+        "cross_sensor": evidence.cross_sensor(cfg)})
     focus = decision.per_focus
     base = decision.at_focus(base, {
         "x": {v: F.col(v) for v in VARIABLES}, "idw": focus("idw"), "n_neighbours": focus("nn"),
@@ -96,15 +95,28 @@ def diagnose(judged: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 DIAGNOSIS = ("fault_type", "fault_detail", "suggested_value", "suggested_variable", "explanation")
 
 
-def judged(readings: DataFrame, stations: DataFrame, cfg: Config = DEFAULT,
+def fit_config(readings: DataFrame, cfg: Config = DEFAULT) -> Config:
+    """Size chunks to the busiest station-day; a two-column count that combines map-side."""
+    per_day = readings.groupBy("station_id", F.floor(F.col("t") / US_PER_DAY).alias("d")).count()
+    return cfg.sized_for(per_day.agg(F.max("count")).first()[0] or 0)
+
+
+def judged(readings: DataFrame, stations: DataFrame, cfg: Config | None = None,
            scores: DataFrame | None = None) -> DataFrame:
     """Decisions and trust of every reading."""
+    cfg = fit_config(readings) if cfg is None else cfg
     flagged = cut(flag(observe(readings, cfg), cfg, scores), "observed")
     return judge(gather(flagged, readings, stations, cfg), cfg)
 
 
-def evaluated(readings: DataFrame, stations: DataFrame, cfg: Config = DEFAULT,
+def evaluated(readings: DataFrame, stations: DataFrame, cfg: Config | None = None,
               scores: DataFrame | None = None) -> DataFrame:
     """The full evaluation: every reading, with the diagnosis of the flagged ones."""
+    cfg = fit_config(readings) if cfg is None else cfg
     stage = cut(judged(readings, stations, cfg, scores), "judged")
+    return with_diagnosis(stage, cfg)
+
+
+def with_diagnosis(stage: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Attach the diagnosis to a written table of judged readings."""
     return stage.join(diagnose(stage, cfg).select("reading_id", *DIAGNOSIS), "reading_id", "left")

@@ -12,8 +12,18 @@ WEEK, DAY3, DAY1, TOL, HOUR1 = 604_800_000_000, 259_200_000_000, 86_400_000_000,
 ORIGIN = 1_577_836_800_000_000
 
 
+def _rounded(e: str, offset: str, digits: int) -> str:
+    """Rounded double without a negative zero."""
+    r = f"round(({e}) + {offset}, {digits})"
+    return f"(CASE WHEN {r} = 0 THEN 0e0 ELSE {r} END)"
+
+
 def R(e: str) -> str:
-    return f"round(({e}) + 3e-8, 6)"
+    return _rounded(e, "3e-8", 6)
+
+
+def R4(e: str) -> str:
+    return _rounded(e, "3e-6", 4)
 
 
 def clip01(e: str) -> str:
@@ -29,7 +39,7 @@ def std(e: str) -> str:
 
 
 def whole(e: str) -> str:
-    return f"CAST(CAST(floor(({e}) + 0.5) AS BIGINT) AS VARCHAR)"
+    return f"CAST(CAST(floor(({e}) + 0.5 + 1e-7) AS BIGINT) AS VARCHAR)"
 
 
 SCALE = by_var("8e0", "5e0", "25e0")
@@ -194,7 +204,7 @@ CTES: dict[str, str] = {
   JOIN sensor_ev s ON s.reading_id = f.reading_id JOIN persist p ON p.reading_id = f.reading_id)""",
     "judged": """
  SELECT *, coalesce(coverage * greatest(g, 1 - g), 0e0) AS confidence,
-  CAST(least(100, greatest(0, floor(100 * (1 - anomaly_score * (1 - coalesce(g, 0e0))) + 0.5))) AS INTEGER) AS trust_score,
+  CAST(least(100, greatest(0, floor(100 * (1 - anomaly_score * (1 - coalesce(g, 0e0))) + 0.5 + 1e-7))) AS INTEGER) AS trust_score,
   CASE WHEN NOT anomaly THEN NULL WHEN missing_run THEN 'sensor_fault'
    WHEN g IS NULL OR coverage < 0.6 - 1e-9 OR coalesce(conflict > 0.6, false) THEN 'uncertain'
    WHEN g >= 0.65 THEN 'genuine_weather' WHEN g <= 0.35 THEN 'sensor_fault' ELSE 'uncertain' END AS decision

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from gaugewise.config import DEFAULT, VARIABLES
 from gaugewise.operators import decision as dc, evidence as ev, faults as fl, features as ft, stations as st
-from gaugewise.plans.oracle import R, WEEK
-from gaugewise.plans.registry import evaluated, judged, query, r6
+from gaugewise.plans.oracle import R, R4, WEEK, whole
+from gaugewise.plans.registry import evaluated, judged, query, r4, r6
 from gaugewise.sources import fixtures as fx
 
 
@@ -22,9 +22,9 @@ def e2(spark, sf):
     return ev.rate_violation(fx.readings(spark, sf)).select("reading_id", "variable", r6("rate"))
 
 
-@query("e3_trend", f"""SELECT reading_id, variable, {R('slope')} AS slope, {R('x - predicted')} AS residual FROM fit""")
+@query("e3_trend", f"""SELECT reading_id, variable, {R4('slope')} AS slope, {R4('x - predicted')} AS residual FROM fit""")
 def e3(spark, sf):
-    return ft.trend(fx.readings(spark, sf)).select("reading_id", "variable", r6("slope"), r6("residual"))
+    return ft.trend(fx.readings(spark, sf)).select("reading_id", "variable", r4("slope"), r4("residual"))
 
 
 @query("e4_diurnal", f"""SELECT o.reading_id, o.variable, d.dn AS n, {R('d.dmean')} AS mean, {R('d.dstd')} AS std,
@@ -162,7 +162,7 @@ def r3(spark, sf):
  AS support_temporal, {R("CASE WHEN decision = 'sensor_fault' THEN 1 - cross_station ELSE cross_station END")} AS support_cross_station,
  {R("CASE WHEN decision = 'sensor_fault' THEN persistence ELSE 1 - persistence END")} AS support_persistence
  FROM judged WHERE anomaly""")
-def r4(spark, sf):
+def r4_support(spark, sf):
     return dc.evidence_support(judged(spark, sf).where("anomaly")).select(
         "reading_id", *map(r6, ("support_temporal", "support_cross_station", "support_persistence")))
 
@@ -210,9 +210,9 @@ def _resid(spark, sf):
     return fl.residual_flags(base)
 
 
-@query("x5_drift", f"SELECT reading_id, variable, {R('slope')} AS slope, is_drift FROM resid")
+@query("x5_drift", f"SELECT reading_id, variable, {R4('slope')} AS slope, is_drift FROM resid")
 def x5(spark, sf):
-    return _resid(spark, sf).select("reading_id", "variable", r6("slope"), "is_drift")
+    return _resid(spark, sf).select("reading_id", "variable", r4("slope"), "is_drift")
 
 
 @query("x6_bias", "SELECT reading_id, variable, is_bias FROM resid")
@@ -232,18 +232,14 @@ def x8(spark, sf):
         "reading_id", fl.inconsistent(F.col("temporal"), DEFAULT).alias("is_inconsistent"))
 
 
-def _w(e: str) -> str:
-    return f"CAST(CAST(floor(({e}) + 0.5) AS BIGINT) AS VARCHAR)"
-
-
 _LABEL = "upper(focus[1]) || focus[2:]"
 _EXPLAINED = f"""SELECT reading_id, concat_ws(' | ',
  CASE WHEN x IS NULL AND missing_run THEN {_LABEL} || ' is missing in consecutive readings' END,
  CASE WHEN x IS NULL AND NOT missing_run THEN {_LABEL} || ' is missing' END,
- CASE WHEN x IS NOT NULL THEN {_LABEL} || ' has anomaly score ' || {_w('anomaly_score * 100')} || '/100' END,
+ CASE WHEN x IS NOT NULL THEN {_LABEL} || ' has anomaly score ' || {whole('anomaly_score * 100')} || '/100' END,
  CASE WHEN temporal < 0.35 THEN {_LABEL} || ' changed faster than expected' END,
  CASE WHEN temporal >= 0.65 THEN {_LABEL} || ' changed at a plausible rate' END,
- CASE WHEN cross_station < 0.35 THEN 'Nearby stations disagree: consensus around ' || {_w('idw')} || ' from ' || nn || ' stations' END,
+ CASE WHEN cross_station < 0.35 THEN 'Nearby stations disagree: consensus around ' || {whole('idw')} || ' from ' || nn || ' stations' END,
  CASE WHEN cross_station >= 0.65 THEN agree || ' of ' || nn || ' nearby stations agree' END,
  CASE WHEN cross_station IS NULL THEN 'Too few nearby stations to compare' END,
  CASE WHEN cross_sensor < 0.35 THEN 'Other sensors of the station did not support the change' END,

@@ -35,6 +35,11 @@ def r6(c: str | Column, alias: str | None = None) -> Column:
     return F.round(col + 3e-8, 6).alias(alias or (c if isinstance(c, str) else "value"))
 
 
+def r4(c: str) -> Column:
+    """As ``r6`` at 4 decimals, for regression results."""
+    return F.round(F.col(c) + 3e-6, 4).alias(c)
+
+
 def naive(c: str, alias: str | None = None) -> Column:
     return F.col(c).cast("timestamp_ntz").alias(alias or c)
 
@@ -53,8 +58,4 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def make() -> DataFrame:
-        base = judged(spark, sf_dir)
-        return base.join(evaluate.diagnose(base).select("reading_id", *evaluate.DIAGNOSIS),
-                         "reading_id", "left")
-    return stage(spark, sf_dir, "evaluated", make)
+    return stage(spark, sf_dir, "evaluated", lambda: evaluate.with_diagnosis(judged(spark, sf_dir)))

@@ -14,9 +14,18 @@ def tune(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # Rows here are dear (many windows per row): keep small shuffles spread over all cores.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+    # HotSpot never compiles a method above 8000 bytecodes; let Spark split such stages instead.
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 
+# Wide plans make thousands of column calls; capturing the Python call site of each would dominate
+# their build time. Static, so it belongs into the session builder.
+BUILDER_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for written stages: the cluster's checkpoint folder, else (tests) a local one."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -33,6 +42,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Redistribute an input that has fewer splits than there are cores (a small single-row-group file
+    would otherwise keep every narrow step in one task). Inputs with enough splits pass unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a stage as Parquet and read it back, so later stages neither recompute nor lose it."""
     path = fresh_path(df.sparkSession, name)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gaugewise.config import CORRECTION_STATUSES, VARIABLES
 from gaugewise.functions.columns import micros
-from gaugewise.session import tune
+from gaugewise.session import spread, tune
 
 EVENTS_DDL = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
               "value double, props string")
@@ -37,7 +37,7 @@ def readings_from(events: DataFrame) -> DataFrame:
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readings_from(load(spark, sf_dir, "events"))
+    return readings_from(spread(load(spark, sf_dir, "events"), "event_id"))
 
 
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
