@@ -68,6 +68,40 @@ def align_neighbours(df: DataFrame, edges: DataFrame, cfg: Config = DEFAULT) ->
     return out.where(" or ".join(f"an_{v} > 0" for v in VARIABLES))
 
 
+def nearest_neighbours(df: DataFrame, edges: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Per reading and neighbour: the neighbour's value nearest in time within +-``time_tol``, per variable
+    (an earlier value wins a tie). Same columns as ``align_neighbours``, with counts 0 or 1.
+
+    Readings ask the neighbour's timeline within (neighbour, time bucket): one running "last value seen"
+    forwards and one backwards, so again no reading x reading pair is formed.
+    """
+    tol = cfg.time_tol_us
+    bucket = F.floor(F.col("t") / tol).cast("long")
+    asked = lookup(df.select("reading_id", "station_id", "t", *[F.col(v).alias(f"own_{v}") for v in VARIABLES]),
+                   edges, ["station_id"], cfg.salts, how="inner").select(
+        "neighbour_id", bucket.alias("_b"), "t", F.lit(1).alias("_kind"),
+        F.struct("reading_id", "station_id", "km", *[f"own_{v}" for v in VARIABLES]).alias("_row"))
+    seen = df.select(
+        F.col("station_id").alias("neighbour_id"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"),
+        "t", F.lit(0).alias("_kind"), F.col("reading_id").alias("_id"), *VARIABLES)
+    both = asked.unionByName(seen, allowMissingColumns=True).repartition("neighbour_id", "_b")
+    up_to = "rows between unbounded preceding and current row"
+    seek = lambda v, order: (f"last(if({v} is null, null, struct(t, {v} as x)), true) over (partition by neighbour_id, "
+                             f"_b order by {order}, _kind, _id {up_to})")
+    found = both.selectExpr("_row", "t", *[e for v in VARIABLES for e in (
+        f"{seek(v, 't')} as _p_{v}", f"{seek(v, 't desc')} as _n_{v}")]).where("_row is not null")
+    out = ["_row.*", "t"]
+    for v in VARIABLES:
+        before, after = f"if(t - _p_{v}.t <= {tol}, t - _p_{v}.t, null)", f"if(_n_{v}.t - t <= {tol}, _n_{v}.t - t, null)"
+        out.append(f"case when {after} < {before} or {before} is null then if({after} is null, null, _n_{v}.x) "
+                   f"else _p_{v}.x end as _x_{v}")
+    near = found.selectExpr(*out)
+    return near.where(" or ".join(f"_x_{v} is not null" for v in VARIABLES)).selectExpr(
+        "reading_id", "station_id", "t", *[f"own_{v}" for v in VARIABLES], "km", *[e for v in VARIABLES for e in (
+            f"if(_x_{v} is null, 0, 1) as an_{v}", f"coalesce(_x_{v} - {cfg.centre[v]}D, 0D) as as_{v}",
+            f"coalesce((_x_{v} - {cfg.centre[v]}D) * (_x_{v} - {cfg.centre[v]}D), 0D) as ass_{v}")])
+
+
 def aligned_view(df: DataFrame, edges: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Readable form of ``align_neighbours``: aligned count and mean of each variable."""
     return align_neighbours(df, edges, cfg).select(
@@ -100,9 +134,8 @@ def asof_neighbours(df: DataFrame, edges: DataFrame, cfg: Config = DEFAULT) -> D
 def consensus(aligned: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Inverse-distance consensus per reading, wide over the variables.
 
-    ``idw`` weights every aligned reading by 1 / km^p; ``nn`` counts neighbours that reported, ``agree``
-    those whose aligned mean is within ``station_scale`` of the reading, ``spread`` is the sample std of
-    the aligned readings.
+    ``idw`` weights every aligned value by 1 / km^p; ``nn`` counts neighbours that reported, ``agree``
+    those within ``station_scale`` of the reading, ``spread`` is the sample std of the aligned values.
     """
     w = 1 / F.pow(F.greatest(F.col("km"), F.lit(cfg.min_km)), F.lit(cfg.idw_power))
     aggs = []
@@ -135,7 +168,7 @@ def with_consensus(df: DataFrame, stations: DataFrame, cfg: Config = DEFAULT,
                    source: DataFrame | None = None) -> DataFrame:
     """Attach the consensus columns; ``source`` may be a cheaper frame with the same readings."""
     edges = neighbours(stations, cfg.radius_km)
-    found = consensus(align_neighbours(df if source is None else source, edges, cfg), cfg)
+    found = consensus(nearest_neighbours(df if source is None else source, edges, cfg), cfg)
     out = df.join(found, "reading_id", "left")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for v in VARIABLES
                             for c in (f"nn_{v}", f"agree_{v}")})

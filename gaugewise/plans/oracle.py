@@ -173,21 +173,20 @@ CTES: dict[str, str] = {
    * pow(sin(radians(b.longitude - a.longitude) / 2), 2)))) AS km
   FROM stations a JOIN stations b ON a.station_id <> b.station_id) WHERE km <= 30""",
     "aligned": f"""
- SELECT r.reading_id, r.station_id, r.variable, r.x AS own, e.neighbour_id, e.km, o.x
+ SELECT r.reading_id, r.station_id, r.variable, r.x AS own, r.t, e.neighbour_id, e.km, o.x, o.t AS o_t, o.reading_id AS o_id
  FROM obs r JOIN neigh e ON e.station_id = r.station_id
  JOIN obs o ON o.station_id = e.neighbour_id AND o.variable = r.variable
   AND o.t BETWEEN r.t - {TOL} AND r.t + {TOL} WHERE o.x IS NOT NULL""",
+    "nearest": """
+ SELECT * FROM aligned QUALIFY row_number() OVER (PARTITION BY reading_id, variable, neighbour_id
+  ORDER BY abs(o_t - t), o_t > t, o_id DESC) = 1""",
     "idw": f"""
  SELECT o.*, g.idw, coalesce(g.nn, 0) AS nn, coalesce(g.agree, 0) AS agree, g.spread,
   CASE WHEN g.nn >= 2 AND o.x IS NOT NULL THEN greatest(0e0, 1 - abs(o.x - g.idw)
    / {by_var('8e0', '5e0', '25e0', 'o.variable')}) END AS cross_station
- FROM obs o LEFT JOIN (SELECT reading_id, variable, sum(w * s) / sum(w * n) AS idw, count(*) AS nn,
-   count(*) FILTER (WHERE abs(s / n - own) <= {SCALE}) AS agree,
-   any_value(spread) AS spread
-  FROM (SELECT reading_id, variable, any_value(own) AS own, any_value(spread) AS spread, sum(x) AS s, count(x) AS n,
-    1 / pow(greatest(any_value(km), 0.1e0), 2) AS w
-   FROM (SELECT *, stddev_samp(x) OVER (PARTITION BY reading_id, variable) AS spread FROM aligned)
-   GROUP BY reading_id, variable, neighbour_id) GROUP BY reading_id, variable) g USING (reading_id, variable)""",
+ FROM obs o LEFT JOIN (SELECT reading_id, variable, sum(x / pow(greatest(km, 0.1e0), 2)) / sum(1 / pow(greatest(km, 0.1e0), 2))
+   AS idw, count(*) AS nn, count(*) FILTER (WHERE abs(x - own) <= {SCALE}) AS agree, stddev_samp(x) AS spread
+  FROM nearest GROUP BY reading_id, variable) g USING (reading_id, variable)""",
     "persist": f"""
  SELECT reading_id, avg(CASE WHEN anomaly THEN 1e0 ELSE 0e0 END) OVER (PARTITION BY station_id ORDER BY t
    RANGE BETWEEN {DAY1} PRECEDING AND 1 PRECEDING) AS persistence FROM flagged""",

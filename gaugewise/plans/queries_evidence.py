@@ -91,6 +91,13 @@ def e11(spark, sf):
         "reading_id", "neighbour_id", "n_temperature", *[r6(f"mean_{v}") for v in VARIABLES])
 
 
+@query("e11_nearest_neighbours", f"""SELECT reading_id, neighbours, {R('nearest_km')} AS nearest_km FROM (
+ SELECT reading_id, count(DISTINCT neighbour_id) AS neighbours, min(km) AS nearest_km FROM nearest GROUP BY reading_id)""")
+def e11c(spark, sf):
+    near = st.nearest_neighbours(fx.readings(spark, sf), _edges(spark, sf))
+    return near.groupBy("reading_id").agg(F.count(F.lit(1)).alias("neighbours"), r6(F.min("km"), "nearest_km"))
+
+
 @query("e11_asof_neighbours", f"""SELECT r.reading_id, e.neighbour_id, n.reading_id AS neighbour_reading_id, r.t - n.t AS age_us,
  {R('n.temperature')} AS neighbour_temperature FROM (SELECT r.*, s.neighbour_id FROM readings r JOIN neigh s USING (station_id)) e
  JOIN readings r ON r.reading_id = e.reading_id
