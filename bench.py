@@ -50,6 +50,7 @@ def main() -> None:
     repeats = int(os.environ.get("BENCH_REPEATS", "3"))
     spark = session(cpus)
     r, s = fx.readings(spark, sf), fx.stations(spark, sf)
+    cfg = evaluate.fit_config(r)
     # Stages that a production run has on disk already; the full evaluation below is timed without them.
     stage = cut(evaluate.judged(r, s), "judged")
     full = cut(evaluate.with_diagnosis(stage), "evaluated")
@@ -57,11 +58,11 @@ def main() -> None:
     ids = ["reading_id", "station_id", "t", "anomaly", *fx.VARIABLES]
     cases = {
         "evaluate_all": lambda: consume(evaluate.evaluated(r, s)),
-        "e10_e12_neighbour_consensus": lambda: consume(st.idw_consensus(r, s)),
-        "f2_rolling_stats": lambda: consume(features.rolling_stats(r)),
+        "e10_e12_neighbour_consensus": lambda: consume(st.idw_consensus(r, s, cfg)),
+        "f2_rolling_stats": lambda: consume(features.rolling_stats(r, cfg)),
         "f3_zscore": lambda: consume(signals.zscore_signal(r)),
         "f4_rolling_quantiles": lambda: consume(signals.quantile_signal(r)),
-        "x3_frozen_runs": lambda: consume(faults.frozen_flags(r)),
+        "x3_frozen_runs": lambda: consume(faults.frozen_flags(r, cfg)),
         "c1_interpolation": lambda: consume(correction.with_interpolation(stage.select(*ids))),
         "h6_sensor_health": lambda: consume(health.sensor_health(full, fx.sensors(spark, sf), as_of)),
         "m2_maintenance_queue": lambda: consume(health.maintenance_queue(health.maintenance_priority(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field, replace
 
 US_PER_SECOND = 1_000_000
@@ -103,11 +104,13 @@ class Config:
     max_rows_per_task: int = 2_000_000
     salts: int = 8
 
-    def sized_for(self, busiest_day_rows: int) -> Config:
-        """A copy whose chunks and buckets hold at most ``max_rows_per_task`` rows of the busiest station."""
+    def sized_for(self, busiest_day_rows: int, busiest_share: float, partitions: int) -> Config:
+        """A copy whose chunks and buckets hold at most ``max_rows_per_task`` rows of the busiest station,
+        and whose salts spread a station with more than a fair share of all rows."""
         hours = next((h for h in (24, 12, 8, 6, 4, 3, 2)
                       if busiest_day_rows * h <= 24 * self.max_rows_per_task), 1)
-        return replace(self, chunk_us=hours * US_PER_HOUR, bucket_us=hours * US_PER_HOUR)
+        salts = min(64, max(1, math.ceil(2 * busiest_share * partitions)))
+        return replace(self, chunk_us=hours * US_PER_HOUR, bucket_us=hours * US_PER_HOUR, salts=salts)
 
 
 DEFAULT = Config()

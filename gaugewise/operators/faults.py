@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gaugewise.config import DEFAULT, VARIABLES, Config
+from gaugewise.config import DEFAULT, US_PER_SECOND, VARIABLES, Config
 from gaugewise.functions.columns import safe_div
 from gaugewise.operators.features import TAU, adjacent, centred, per_variable
 from gaugewise.operators.quality import day_chunk, median_cadence, with_gap
@@ -34,9 +34,14 @@ def jump(v: str, cfg: Config) -> Column:
 
 
 def with_cadence(df: DataFrame, cfg: Config = DEFAULT, source: DataFrame | None = None) -> DataFrame:
-    """Attach each station's median reporting gap, taken over ``source`` (all readings)."""
-    rows = (df if source is None else source).select("reading_id", "station_id", "t")
-    return lookup(df, median_cadence(with_gap(rows, cfg)), ["station_id"], cfg.salts)
+    """Attach each station's median reporting gap, taken over ``source`` (all readings). A source that
+    already carries ``prev_t`` needs no ordering."""
+    rows = df if source is None else source
+    if "prev_t" in rows.columns:
+        gaps = rows.select("station_id", F.floor((F.col("t") - F.col("prev_t")) / US_PER_SECOND).alias("gap_s"))
+    else:
+        gaps = with_gap(rows.select("reading_id", "station_id", "t"), cfg)
+    return lookup(df, median_cadence(gaps), ["station_id"], cfg.salts)
 
 
 def dropout(v: str, cfg: Config) -> Column:
@@ -44,28 +49,36 @@ def dropout(v: str, cfg: Config) -> Column:
     return F.col(v).isNull() | _true(gap > cfg.dropout_factor * F.col("cadence_s"))
 
 
-def frozen_runs(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def frozen_runs(df: DataFrame, cfg: Config = DEFAULT, tied_only: bool = False) -> DataFrame:
     """Length of the run of equal consecutive values around each reading and variable.
 
-    Run numbers come from a chunked running count of changes. A run's pieces are counted per chunk
-    first, and the join back is on (station, variable, chunk, run), so an endless run never meets in
-    one task. A run of missing values has length 0.
+    Run numbers come from a chunked running count of changes. Only values equal to a neighbour in time
+    can be in a run of two or more, so just those are grouped. A run's pieces are counted per chunk
+    first, and the join back is on (station, variable, chunk, run), so an endless run never meets in one
+    task. A run of missing values has length 0. ``tied_only`` leaves out runs of one.
     """
     order, day = ["t", "reading_id"], day_chunk(cfg)
-    base = with_adjacent(df.select("reading_id", "station_id", "t", *VARIABLES), ["station_id"], order, 1, day,
-                         lambda w: {"_first": F.lag("t").over(w).isNull(),
-                                    **{f"_new_{v}": ~F.col(v).eqNullSafe(F.lag(v).over(w)) for v in VARIABLES}})
-    changes = {f"_run_{v}": ("sum", (F.col("_first") | F.col(f"_new_{v}")).cast("int"), True)
-               for v in VARIABLES}
+    near = [f"{p}_{v}" for p in ("prev", "next") for v in VARIABLES]
+    base = df if {*near, "prev_t"} <= set(df.columns) else with_adjacent(
+        df, ["station_id"], order, 1, day, lambda w: {
+            "prev_t": F.lag("t").over(w), **{f"prev_{v}": F.lag(v).over(w) for v in VARIABLES},
+            **{f"next_{v}": F.lead(v).over(w) for v in VARIABLES}})
+    base = base.select("reading_id", "station_id", "t", "prev_t", *VARIABLES, *near)
+    changes = {f"_run_{v}": ("sum", F.expr(
+        f"int(prev_t is null or not ({v} <=> prev_{v}))"), True) for v in VARIABLES}
     rows = per_variable(running(base, ["station_id"], order, day, changes).withColumn("_day", day), {
-        v: {"x": F.col(v), "_run": F.col(f"_run_{v}")} for v in VARIABLES},
-        ["reading_id", "station_id", "_day"])
+        v: {"x": F.col(v), "_run": F.col(f"_run_{v}"),
+            "_tied": _true((F.col(v) == F.col(f"prev_{v}")) | (F.col(v) == F.col(f"next_{v}")))}
+        for v in VARIABLES}, ["reading_id", "station_id", "_day"])
     key = ["station_id", "variable", "_run"]
-    pieces = rows.groupBy(*key, "_day").agg(
-        F.count(F.lit(1)).alias("_piece"), F.max(F.col("x").isNotNull()).alias("_real"))
-    lengths = pieces.select(*key, "_day", F.when(F.col("_real"), F.sum("_piece").over(
-        Window.partitionBy(*key))).otherwise(0).alias("run_length"))
-    return rows.join(lengths, [*key, "_day"]).drop("_day", "_run")
+    tied = rows.where("_tied")
+    pieces = tied.groupBy(*key, "_day").agg(F.count(F.lit(1)).alias("_piece"))
+    lengths = pieces.select(*key, "_day", F.sum("_piece").over(Window.partitionBy(*key)).alias("run_length"))
+    if tied_only:
+        return tied.join(lengths, [*key, "_day"]).drop("_day", "_run", "_tied")
+    single = F.when(F.col("x").isNull(), 0).otherwise(F.coalesce("run_length", F.lit(1)))
+    return rows.join(lengths, [*key, "_day"], "left").withColumn("run_length", single).drop(
+        "_day", "_run", "_tied")
 
 
 def frozen(length: Column, cfg: Config) -> Column:

@@ -180,6 +180,8 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str], salts: int, how: s
     The fact rows of a key are spread over ``salts`` sub-keys and the small side is repeated once per
     sub-key. No broadcast is forced: Spark picks one from the measured size, and otherwise shuffles.
     """
+    if salts == 1:
+        return big.join(small, keys, how)
     salt = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
     wide = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return big.withColumn("_salt", salt).join(wide, [*keys, "_salt"], how).drop("_salt")

@@ -75,7 +75,7 @@ def diagnose(judged: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     resid = resid.where("anomaly").select("reading_id", *[
         rule(v, cfg).alias(f"is_{a}_{v}") for v in VARIABLES
         for a, rule in (("drift", faults.drift), ("bias", faults.bias), ("noise", faults.noise))])
-    runs = faults.frozen_runs(judged, cfg).where(F.col("run_length") >= cfg.frozen_run)
+    runs = faults.frozen_runs(judged, cfg, tied_only=True).where(F.col("run_length") >= cfg.frozen_run)
     runs = runs.groupBy("reading_id").agg(F.collect_set("variable").alias("_frozen"))
     interp = correction.with_interpolation(judged.select(*ids, *VARIABLES), cfg).where("anomaly").select(
         "reading_id", *[f"interp_{v}" for v in VARIABLES])
@@ -96,9 +96,13 @@ DIAGNOSIS = ("fault_type", "fault_detail", "suggested_value", "suggested_variabl
 
 
 def fit_config(readings: DataFrame, cfg: Config = DEFAULT) -> Config:
-    """Size chunks to the busiest station-day; a two-column count that combines map-side."""
+    """Size chunks to the busiest station-day and salts to the busiest station's share of all rows; a
+    two-column count that combines map-side."""
     per_day = readings.groupBy("station_id", F.floor(F.col("t") / US_PER_DAY).alias("d")).count()
-    return cfg.sized_for(per_day.agg(F.max("count")).first()[0] or 0)
+    row = per_day.groupBy("station_id").agg(F.max("count").alias("day"), F.sum("count").alias("n")).agg(
+        F.max("day").alias("day"), F.max("n").alias("top"), F.sum("n").alias("all")).first()
+    parts = int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cfg.sized_for(row["day"] or 0, (row["top"] or 0) / max(row["all"] or 0, 1), parts)
 
 
 def judged(readings: DataFrame, stations: DataFrame, cfg: Config | None = None,
