@@ -54,7 +54,7 @@ def main() -> None:
     # Stages that a production run has on disk already; the full evaluation below is timed without them.
     stage = cut(evaluate.judged(r, s), "judged")
     full = cut(evaluate.with_diagnosis(stage), "evaluated")
-    as_of = r.selectExpr("to_date(max(ts)) as as_of")
+    as_of = r.selectExpr("to_date(max(ts)) as as_of").scalar()
     ids = ["reading_id", "station_id", "t", "anomaly", *fx.VARIABLES]
     cases = {
         "evaluate_all": lambda: consume(evaluate.evaluated(r, s)),

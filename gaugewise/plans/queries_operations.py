@@ -128,7 +128,7 @@ def h5(spark, sf):
 
 def _health(spark, sf):
     def make():
-        as_of = fx.readings(spark, sf).agg(F.to_date(F.max("ts")).alias("as_of"))
+        as_of = fx.readings(spark, sf).agg(F.to_date(F.max("ts")).alias("as_of")).scalar()
         return hl.sensor_health(evaluated(spark, sf), fx.sensors(spark, sf), as_of)
     return stage(spark, sf, "health", make)
 
