@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugewise.llm import packing
-from gaugewise.llm.common import table
+from gaugewise.llm import mixing, packing
+from gaugewise.llm.common import table, text_or_empty
 from gaugewise.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,3 +34,36 @@ def vocabulary() -> dict:
 @query("op2_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), **vocabulary())
+
+
+@query("op8_mixing", r"""
+with d as (
+  select doc_id, source, md5('mix' || coalesce(doc_id::varchar, '')) as key,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
+s as (
+  select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as pos
+  from d group by source),
+w as (select *, [3, 1, 2][(pos % 3 + 1)::int] as weight from s),
+f as (
+  select *, ((select sum(source_size) from w) * 1.5::double - coalesce(sum(source_size) over (
+      order by source_size::double / weight, pos rows between unbounded preceding and 1 preceding), 0) * 2)
+    / sum(weight) over (order by source_size::double / weight, pos rows between current row and unbounded following)
+    as level from w),
+v as (
+  select level from f where source_size * 2 >= level * weight order by source_size::double / weight, pos limit 1),
+t as (
+  select source, source_size, least(source_size * 2::double, coalesce((select level from v) * weight,
+    source_size * 2::double)) as target from f),
+p as (
+  select doc_id, size, source_size, target, round(target)::bigint as quota,
+    coalesce(sum(size) over (partition by d.source order by key, doc_id, size
+      rows between unbounded preceding and 1 preceding), 0)::bigint as place
+  from d join t on d.source is not distinct from t.source)
+select doc_id, size, source_size, target,
+  (greatest(0, least(size, quota - place)) + greatest(0, least(size, quota - place - source_size)))::bigint as taken
+from p""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.drawn(table(spark, sf_dir, "documents").select(
+        "doc_id", "source", mixing.words(text_or_empty()).alias("n_words")))
+    taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda sum_, piece: sum_ + piece["words"])
+    return rows.select("doc.doc_id", "size", "source_size", "target", taken.alias("taken"))
