@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugewise.llm import mixing, packing
+from gaugewise.llm import licences, mixing, packing
 from gaugewise.llm.common import table, text_or_empty
 from gaugewise.session import tune
 
@@ -67,3 +67,37 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", mixing.words(text_or_empty()).alias("n_words")))
     taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda sum_, piece: sum_ + piece["words"])
     return rows.select("doc.doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def _licence_sql() -> str:
+    """Every place where a key phrase stands, and the IDF-weighted share of its template around it."""
+    rows = ", ".join(f"({i}, '{t.label}', {t.base}, {t.words}, {t.keys}, {t.at})" for i, t in enumerate(
+        licences.TEMPLATES))
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+with tpl(t, label, base, words, keys, at_word) as (values {rows}),
+d as (select doc_id, row_number() over () as r, regexp_extract_all({lower}, '{licences.WORD}') as ws from documents),
+vocab as (select distinct unnest(words) as w from tpl),
+seen as (select r, unnest(list_distinct(ws)) as w from d),
+idf as (select vocab.w, ln(((select count(*) from d) + 1) / (count(seen.r) + 1)) as idf
+        from vocab left join seen using (w) group by vocab.w),
+tw as (select t, i, words[i] as w, at_word from tpl, range(1, 40) g(i) where i <= len(words)),
+weights as (select tw.*, idf / sum(idf) over (partition by t) as weight from tw join idf using (w)),
+places as (
+  select r, t, label, base, unnest(list_filter(range(0, len(ws) - len(keys) + 1),
+    lambda i: ws[i + 1:i + len(keys)] = keys)) as word from d, tpl where len(ws) >= len(keys)),
+scored as (
+  select p.r, p.t, p.word, sum(case when p.word - at_word + i >= 1 and d.ws[p.word - at_word + i] = w
+    then weight else 0 end) as score
+  from places p join weights using (t) join d on d.r = p.r group by p.r, p.t, p.word)
+select doc_id, len(ws)::bigint as n_words, count(word) filter (base) as n_base,
+  min(word) filter (base) as first_word, max(word) filter (base) as last_word,
+  coalesce(string_agg(distinct label, ',' order by label) filter (base), '') as base_labels,
+  coalesce(string_agg(distinct label, ',' order by label), '') as labels,
+  least(round(coalesce(max(score), 0), 6), 1.0) as score
+from d left join (select * from places join scored using (r, t, word)) x using (r) group by r, doc_id, ws"""
+
+
+@query("op4_licences", _licence_sql())
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.reported(licences.scanned(table(spark, sf_dir, "documents")))
