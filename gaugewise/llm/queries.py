@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugewise.llm import licences, mixing, packing
+from gaugewise.llm import licences, mixing, packing, winnowing
 from gaugewise.llm.common import table, text_or_empty
 from gaugewise.session import tune
 
@@ -101,3 +101,12 @@ from d left join (select * from places join scored using (r, t, word)) x using (
 @query("op4_licences", _licence_sql())
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.reported(licences.scanned(table(spark, sf_dir, "documents")))
+
+
+@query("op9_fingerprints")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = winnowing.fingerprints(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited_text", 256).alias("edited_sha256"),
+        winnowing.digest(F.col("grams")).alias("fingerprint"),
+        winnowing.digest(F.col("edited_grams")).alias("edited_fingerprint"), "near_edited", "near_next")
