@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugewise.llm import licences, mixing, packing, winnowing
+from gaugewise.llm import jaccard_join, licences, mixing, packing, winnowing
 from gaugewise.llm.common import table, text_or_empty
 from gaugewise.session import tune
 
@@ -110,3 +110,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited_text", 256).alias("edited_sha256"),
         winnowing.digest(F.col("grams")).alias("fingerprint"),
         winnowing.digest(F.col("edited_grams")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@query("op6_jaccard_join")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
