@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugewise.llm import jaccard_join, licences, mixing, packing, winnowing
+from gaugewise.llm import jaccard_join, licences, mixing, packing, quality, toxicity, winnowing
 from gaugewise.llm.common import table, text_or_empty
 from gaugewise.session import tune
 
@@ -115,3 +115,20 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_jaccard_join")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.trained(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "severity", "grade",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op7_quality")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = quality.scored(docs, quality.trained(docs, table(spark, sf_dir, "labels")))
+    return rows.select("doc.doc_id", quality.held_out(F.col("doc.doc_id")).alias("held_out"), "score",
+                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
