@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugewise.llm import jaccard_join, licences, mixing, packing, quality, toxicity, winnowing
+from gaugewise.llm import jaccard_join, licences, linededup, mixing, packing, quality, toxicity, winnowing
 from gaugewise.llm.common import table, text_or_empty
 from gaugewise.session import tune
 
@@ -132,3 +132,28 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.scored(docs, quality.trained(docs, table(spark, sf_dir, "labels")))
     return rows.select("doc.doc_id", quality.held_out(F.col("doc.doc_id")).alias("held_out"), "score",
                        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op1_line_dedup", r"""
+with d as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+             generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as no from documents),
+l as (select doc_id, no, line, list_distinct(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+')) as ws from d),
+c as (select line, any_value(ws) as ws, min((doc_id, no)) as first, row_number() over () as c from l group by line),
+w as (select c, len(ws) as n, unnest(ws) as w from c),
+df as (select w, count(*) as df from w group by w),
+p as (select * from (select c, n, w, row_number() over (partition by c order by df, w) as r from w join df using (w))
+      where r <= n - ceil(0.8 * n - 1e-9) + 1),
+pairs as (select distinct a.c as a, b.c as b from p a join p b using (w) where a.c <> b.c),
+gone as (select distinct x.c from pairs join c x on x.c = pairs.a join c y on y.c = pairs.b
+         where y.first < x.first and 5 * len(list_intersect(x.ws, y.ws))
+           >= 4 * (len(x.ws) + len(y.ws) - len(list_intersect(x.ws, y.ws)))),
+r as (select doc_id, no, len(l.ws) > 0 and ((doc_id, no) <> c.first or gone.c is not null) as removed
+      from l join c using (line) left join gone using (c))
+select doc_id, count(*) as n_lines, count(*) filter (removed) as n_removed,
+  coalesce(string_agg(no::varchar, ',' order by no) filter (removed), '') as removed_lines
+from r group by doc_id""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = linededup.decided(table(spark, sf_dir, "documents"))
+    gone = F.filter(F.transform("removed", lambda gone, i: F.when(gone, i.cast("string"))), lambda i: i.isNotNull())
+    return rows.select("doc_id", F.size("removed").cast("long").alias("n_lines"), F.size(gone).cast("long").alias(
+        "n_removed"), F.array_join(gone, ",").alias("removed_lines"))
