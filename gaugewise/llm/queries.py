@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugewise.llm import jaccard_join, licences, linededup, mixing, packing, quality, toxicity, winnowing
+from gaugewise.llm import ann, jaccard_join, licences, linededup, mixing, packing, quality, toxicity, winnowing
 from gaugewise.llm.common import table, text_or_empty
 from gaugewise.session import tune
 
@@ -157,3 +157,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = F.filter(F.transform("removed", lambda gone, i: F.when(gone, i.cast("string"))), lambda i: i.isNotNull())
     return rows.select("doc_id", F.size("removed").cast("long").alias("n_lines"), F.size(gone).cast("long").alias(
         "n_removed"), F.array_join(gone, ",").alias("removed_lines"))
+
+
+@query("op5_nearest")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.searched(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
