@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugewise.llm import ann, jaccard_join, licences, linededup, mixing, packing, quality, toxicity, winnowing
+from gaugewise.llm import ann, jaccard_join, licences, linededup, mixing, packing, quality, toxicity, winnowing, wrappers
 from gaugewise.llm.common import table, text_or_empty
 from gaugewise.session import tune
 
@@ -162,3 +162,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_nearest")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.searched(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op10_extraction")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = wrappers.extracted(table(spark, sf_dir, "pages"))
+    return rows.withColumn("n_chars", F.length("text").cast("long"))
