@@ -32,7 +32,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-SHARDS = 16
+SHARD_WORDS = 8_000_000
 BLOCK_WORDS = 65_536
 BUCKET_ROWS = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,26 +72,31 @@ def _split(levels: int, seed: int):
                 left = draw.multivariate_hypergeometric(n, int(n.sum()) // 2, method="marginals")
                 halves[2 * node, height - 1], halves[2 * node + 1, height - 1] = left, n - left
             nodes = halves
-        return pd.concat([pd.DataFrame({"node": node, "height": height, "at": rows["at"].to_numpy(), "n": n})
+        # A source that has no blocks below a node is no row there, so the rows never outnumber the blocks.
+        return pd.concat([pd.DataFrame({"node": node, "height": height, "at": rows["at"].to_numpy(), "n": n})[n > 0]
                           for (node, height), n in nodes.items()])
     return run
 
 
 def shard_quotas(quotas: DataFrame, shards: int, seed: int, levels: int = 2) -> DataFrame:
-    """From ``at`` and ``n`` blocks of each source: per source the array ``ends`` of blocks in shards 0..i."""
+    """From ``at`` and ``n`` blocks of each source: per source the ``shards`` that get some, the block number ``ends``
+    where each one's share ends, and every ``step``-th of those for a search in two steps."""
     height = shards.bit_length() - 1
     if 1 << height != shards:
         raise ValueError("the number of shards is a power of two")
-    nodes = quotas.select(F.lit(0).cast("long").alias("node"), F.lit(height).alias("height"), "at", "n")
+    nodes = quotas.filter("n > 0").select(F.lit(0).cast("long").alias("node"), F.lit(height).alias("height"), "at", "n")
     for _ in range(-(-height // levels)):
         nodes = nodes.groupBy("node").applyInPandas(_split(levels, seed), "node long, height int, at long, n long")
-    counts = nodes.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("node", "n"))).alias("counts"))
-    return counts.select("at", F.expr("transform(counts, (x, i) -> aggregate(slice(counts, 1, i + 1), 0L, "
-                                      "(sum, c) -> sum + c.n))").alias("ends"))
+    so_far = Window.partitionBy("at").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
+    counts = nodes.withColumn("end", F.sum("n").over(so_far)).groupBy("at").agg(
+        F.sort_array(F.collect_list(F.struct("end", "node"))).alias("c"))
+    step = F.ceil(F.sqrt(F.size("c"))).cast("int")
+    counts = counts.select("at", F.col("c.node").alias("shards"), F.col("c.end").alias("ends"), step.alias("step"))
+    return counts.withColumn("marks", F.filter("ends", lambda end, i: i % F.col("step") == F.col("step") - 1))
 
 
 def drawn(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE,
-          most: int = MOST, shards: int = SHARDS, block_words: int = BLOCK_WORDS,
+          most: int = MOST, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS,
           bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """For each row of docs (``doc``, a struct; needs doc_id, source, and text or ``n_words``): ``size``,
     ``source_size``, ``target``, and ``pieces``: for each walk over it the words taken, the shard and the order there."""
@@ -103,8 +108,10 @@ def drawn(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS
     quota = F.round("target").cast("long")
     sizes = sizes.withColumn("quota", quota).withColumn(
         "n", F.ceil(F.col("quota") / F.lit(block_words)).cast("long"))
+    total = sizes.agg(F.sum("quota")).first()[0] or 0
+    shards = 1 << max(0, -(-total // shard_words) - 1).bit_length()
     ends = shard_quotas(sizes.select("at", "n"), shards, int.from_bytes(seed.encode()[:8], "big"))
-    plan = sizes.join(ends, "at").withColumnRenamed("source", "s")
+    plan = sizes.join(ends, "at", "left").withColumnRenamed("source", "s")
     spread = F.conv(F.substring("key", 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn(
         "bucket", F.floor(spread * F.ceil(F.col("rows") / bucket_rows)))
@@ -122,7 +129,9 @@ def drawn(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS
         # Any number below n is hit once: the multiplier is a prime above every n.
         block = F.floor(start / F.lit(block_words))
         rank = F.pmod(block * F.lit(2_147_483_647) + F.xxhash64("s") % F.lit(1 << 31), F.col("n"))
-        shard = F.size(F.filter("ends", lambda end: end <= rank))
+        group = F.size(F.filter("marks", lambda end: end <= rank))
+        near = F.slice("ends", group * F.col("step") + 1, F.col("step"))
+        shard = F.get("shards", group * F.col("step") + F.size(F.filter(near, lambda end: end <= rank)))
         return F.struct(walk.cast("int").alias("walk"), taken.alias("words"), block.alias("block"), F.when(
             taken > 0, shard).alias("shard"), F.md5(F.concat("key", walk.cast("string"))).alias("order"))
 
