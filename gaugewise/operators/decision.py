@@ -72,7 +72,7 @@ def _whole(x: Column) -> Column:
     return round_half_up(x).cast("long").cast("string")
 
 
-def explain(df: DataFrame) -> DataFrame:
+def explain(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Ordered sentences: what was seen, then what supports and what contradicts the reading."""
     focus = F.initcap("focus")
     c = F.col
@@ -82,15 +82,15 @@ def explain(df: DataFrame) -> DataFrame:
         sentence(c("x").isNull() & ~c("missing_run"), focus, F.lit(" is missing")),
         sentence(c("x").isNotNull(), focus, F.lit(" has anomaly score "), _whole(c("anomaly_score") * 100),
                  F.lit("/100")),
-        sentence(c("temporal") < 0.35, focus, F.lit(" changed faster than expected")),
-        sentence(c("temporal") >= 0.65, focus, F.lit(" changed at a plausible rate")),
-        sentence(c("cross_station") < 0.35, F.lit("Nearby stations disagree: consensus around "),
+        sentence(c("temporal") < cfg.fault_max, focus, F.lit(" changed faster than expected")),
+        sentence(c("temporal") >= cfg.genuine_min, focus, F.lit(" changed at a plausible rate")),
+        sentence(c("cross_station") < cfg.fault_max, F.lit("Nearby stations disagree: consensus around "),
                  _whole(c("idw")), F.lit(" from "), c("n_neighbours").cast("string"), F.lit(" stations")),
-        sentence(c("cross_station") >= 0.65, c("n_agree").cast("string"), F.lit(" of "),
+        sentence(c("cross_station") >= cfg.genuine_min, c("n_agree").cast("string"), F.lit(" of "),
                  c("n_neighbours").cast("string"), F.lit(" nearby stations agree")),
         sentence(c("cross_station").isNull(), F.lit("Too few nearby stations to compare")),
-        sentence(c("cross_sensor") < 0.35, F.lit("Other sensors of the station did not support the change")),
-        sentence(c("cross_sensor") >= 0.65, F.lit("Other sensors of the station are consistent")),
+        sentence(c("cross_sensor") < cfg.fault_max, F.lit("Other sensors of the station did not support the change")),
+        sentence(c("cross_sensor") >= cfg.genuine_min, F.lit("Other sensors of the station are consistent")),
         sentence(c("persistence") >= 0.5, F.lit("The station was flagged repeatedly in the last day")),
         sentence(c("fault_type").isNotNull(), F.lit("Signature matches "), c("fault_type")),
         sentence(c("decision") == "uncertain", F.lit("Evidence is insufficient or conflicting; review needed"))))

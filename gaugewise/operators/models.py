@@ -61,11 +61,8 @@ def isolation_forest_fit(df: DataFrame, features: list[str] = FEATURES, trees: i
     What reaches the driver is the forest: at most trees x 2 psi nodes, whatever the table size.
     """
     ready = df.select("reading_id", *features).dropna()
-    wanted = trees * psi * 20
     n = ready.count()
-    if n > wanted:
-        ready = ready.where(_unit(F.col("reading_id"), F.lit(seed)) < wanted / n)
-        n = wanted
+    psi = min(psi, max(n, 2))
     share = min(1.0, 1.3 * psi / max(n, 1))
     chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
                       lambda i: _unit(F.col("reading_id"), F.lit(seed + 1), i) < share)

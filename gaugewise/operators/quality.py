@@ -98,11 +98,13 @@ def duplicates(df: DataFrame) -> DataFrame:
 
 def dedupe(df: DataFrame) -> DataFrame:
     """Keep the smallest reading_id per (station, ts). A minimum combines map-side, so a key with
-    very many copies never gathers in one task as it would under a window."""
+    very many copies never gathers in one task as it would under a window. Rows that lack a part of the
+    key may be anything and all stay."""
     keys = ["station_id", "ts"]
+    known = F.col("station_id").isNotNull() & F.col("ts").isNotNull()
     rest = [c for c in df.columns if c not in (*keys, "reading_id")]
-    kept = df.groupBy(*keys).agg(F.min(F.struct("reading_id", *rest)).alias("_first"))
-    return kept.select(*keys, "_first.*").select(*df.columns)
+    kept = df.where(known).groupBy(*keys).agg(F.min(F.struct("reading_id", *rest)).alias("_first"))
+    return kept.select(*keys, "_first.*").select(*df.columns).unionAll(df.where(~known))
 
 
 def day_chunk(cfg: Config) -> Column:
@@ -143,12 +145,31 @@ def timestamp_audit(df: DataFrame, cfg: Config = DEFAULT, ingest: str = "seq") -
                     "cadence_s", "n_gaps"))
 
 
-def profile(df: DataFrame, grid: float = 0.01, approximate: bool = False) -> DataFrame:
-    """Per variable: rows, nulls, distinct values, range and quantiles.
+def exact_quantiles(df: DataFrame, keys: list[str], x: str, qs: dict[str, float], width: float) -> DataFrame:
+    """Exact interpolated quantiles of ``x`` per key, one column per name in ``qs``.
 
-    Values are counted per distinct value first, and quantiles come from a value grid, so the last
-    step sees a table whose size depends on the sensor resolution and not on the row count.
+    Distinct values are counted, running counts over chunks of ``width`` give their ranks, and the values at the
+    wanted ranks are picked by an aggregate: no task orders a whole key. NULL and NaN do not count.
     """
+    counted = df.where(F.col(x).isNotNull() & ~F.isnan(x)).groupBy(*keys, F.col(x).alias("_x")).agg(
+        F.count(F.lit(1)).alias("_f"))
+    ranked = running(counted, keys, ["_x"], F.floor(F.col("_x") / width), {"_upto": ("sum", F.col("_f"), True)})
+    total = counted.groupBy(*keys).agg(F.sum("_f").alias("_n"))
+    ranked = lookup(ranked, total, keys, DEFAULT.salts, spread_by="_x")
+    here = lambda place: (place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_f"))
+    picks, out = [], []
+    for name, q in qs.items():
+        at = F.lit(q) * (F.col("_n") - 1)
+        picks += [F.max(F.when(here(F.floor(at)), F.col("_x"))).alias(f"_lo_{name}"),
+                  F.max(F.when(here(F.ceil(at)), F.col("_x"))).alias(f"_hi_{name}"),
+                  F.first(at - F.floor(at)).alias(f"_w_{name}")]
+        out.append((F.col(f"_lo_{name}") + F.col(f"_w_{name}") * (
+            F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))).alias(name))
+    return ranked.groupBy(*keys).agg(*picks).select(*keys, *out)
+
+
+def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
+    """Per variable: rows, nulls, distinct values, range and exact quantiles; values are counted per distinct value."""
     long = to_long(df)
     freq = long.groupBy("variable", "x").agg(F.count(F.lit(1)).alias("_f"))
     distinct = F.count("x") if not approximate else F.approx_count_distinct("x")
@@ -156,12 +177,9 @@ def profile(df: DataFrame, grid: float = 0.01, approximate: bool = False) -> Dat
         F.sum("_f").alias("n"),
         F.coalesce(F.sum(F.when(F.col("x").isNull(), F.col("_f"))), F.lit(0)).alias("n_null"),
         distinct.alias("n_distinct"), F.min("x").alias("min_x"), F.max("x").alias("max_x"))
-    cells = freq.where("x is not null").groupBy(
-        "variable", F.floor(F.col("x") / grid + 0.5).alias("_g")).agg(F.sum("_f").alias("_f"))
-    quant = cells.groupBy("variable").agg(F.percentile(
-        F.col("_g").cast("double"), [0.05, 0.5, 0.95], F.col("_f")).alias("_q"))
-    return stats.join(quant, "variable", "left").select(
-        *stats.columns, *[(F.col("_q")[i] * grid).alias(n) for i, n in enumerate(("p05", "p50", "p95"))])
+    names = {"p05": 0.05, "p50": 0.5, "p95": 0.95}
+    return stats.join(exact_quantiles(long, ["variable"], "x", names, 0.01), "variable", "left").select(
+        *stats.columns, *names)
 
 
 def select_stations(df: DataFrame, k: int) -> DataFrame:

@@ -12,6 +12,7 @@ from gaugewise.functions.columns import clip01, mean_of, safe_div
 from gaugewise.functions import worker
 from gaugewise.operators.features import history, per_variable, with_moments, zscore
 from gaugewise.operators.quality import out_of_bounds
+from gaugewise.operators.timeline import running
 
 # Worker code travels inside the plan, so executors need no installed copy of the package.
 cloudpickle.register_pickle_by_value(worker)
@@ -135,14 +136,13 @@ def evaluate(df: DataFrame, truth: str = "truth") -> DataFrame:
     return with_rates(long.groupBy("kind").agg(*confusion(long, F.col("anomaly"), is_true)))
 
 
-def roc_auc(df: DataFrame, score: str, truth: str = "truth", grid: int = 10_000) -> DataFrame:
-    """Area under the ROC curve by rank sums with ties; scores in [0, 1] are counted on a fixed grid,
-    so the ordered step sees at most ``grid`` + 1 rows."""
-    cells = df.where(F.col(score).isNotNull()).groupBy(
-        F.floor(F.col(score) * grid + 0.5).alias("_g")).agg(
+def roc_auc(df: DataFrame, score: str, truth: str = "truth", width: float = 1e-4) -> DataFrame:
+    """Area under the ROC curve by exact rank sums with ties. Equal scores are counted first; running counts over
+    chunks of ``width`` rank them, so no task orders all scores."""
+    cells = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("_g")).agg(
         F.count_if(F.col(truth).isNotNull()).alias("_p"), F.count_if(F.col(truth).isNull()).alias("_n"))
-    below = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    part = cells.withColumn("_below", F.coalesce(F.sum("_n").over(below), F.lit(0)))
+    part = running(cells, [], ["_g"], F.floor(F.col("_g") / width), {"_below": ("sum", F.col("_n"), True)})
+    part = part.withColumn("_below", F.col("_below") - F.col("_n"))
     return part.agg(
         F.sum("_p").alias("positives"), F.sum("_n").alias("negatives"),
         safe_div(F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2.0)),

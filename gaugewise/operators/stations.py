@@ -13,10 +13,11 @@ from gaugewise.operators.timeline import around_sums, lookup
 KM_PER_DEGREE = 111.0  # fixed value, slightly below the true 111.19 so that cells are never too small
 
 
-def _cell_width(band: Column, d_lat: float) -> Column:
-    """Longitude cell width of a latitude band: wide enough for the radius anywhere in the band."""
+def _cells(band: Column, d_lat: float) -> Column:
+    """How many equal longitude cells a latitude band has: as many as are wide enough for the radius anywhere in the
+    band. They fill the circle exactly, so that wrapping at the date line meets whole cells."""
     far = F.least(F.greatest(F.abs(band * d_lat), F.abs((band + 1) * d_lat)), F.lit(89.0))
-    return F.lit(d_lat) / F.cos(F.radians(far))
+    return F.greatest(F.floor(F.lit(360.0 / d_lat) * F.cos(F.radians(far))).cast("long"), F.lit(1).cast("long"))
 
 
 def neighbours(stations: DataFrame, km: float) -> DataFrame:
@@ -27,8 +28,8 @@ def neighbours(stations: DataFrame, km: float) -> DataFrame:
     """
     d_lat = km / KM_PER_DEGREE
     s = stations.select("station_id", "latitude", "longitude")
-    cells = lambda b: F.ceil(F.lit(360.0) / _cell_width(b, d_lat)).cast("long")
-    column = lambda lon, b: F.floor((lon + 180) / _cell_width(b, d_lat)).cast("long")
+    cells = lambda b: _cells(b, d_lat)
+    column = lambda lon, b: F.floor((lon + 180) * cells(b) / 360).cast("long")
     here = s.withColumn("_band", F.floor(F.col("latitude") / d_lat).cast("long"))
     placed = here.select(
         F.col("station_id").alias("neighbour_id"), F.col("latitude").alias("_nlat"),

@@ -14,6 +14,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 
+def finite(df: DataFrame, columns: list[str]) -> DataFrame:
+    """NaN and infinities as NULL: a running sum could never take them out again."""
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: F.expr(f"if(isnan(`{c}`) or abs(`{c}`) = double('infinity'), null, `{c}`)")
+                           for c in columns if kinds[c] in ("double", "float")})
+
+
 def rolling_sums(
     df: DataFrame,
     keys: list[str],
@@ -36,14 +43,14 @@ def rolling_sums(
     widths = sorted({w for _, w in sums.values()})
     if any(w % bucket_us for w in widths):
         raise ValueError("every width must be a multiple of the bucket")
-    payload = [c for c in df.columns if c not in keys and c not in inputs]
+    payload = [c for c in df.columns if c not in keys]
     types = df.schema
     no_row = T.StructType([types[c] for c in payload])
     by = ", ".join(f"`{k}`" for k in keys)
     value = {name: f"coalesce(cast({e} as double), 0D)" for name, (e, _) in sums.items()}
 
     # Whole-bucket sums, combined map-side, then summed over the buckets a frame covers in full.
-    per_bucket = (df if source is None else source).groupBy(*keys, F.expr(f"{bucket(t)} as _b")).agg(
+    per_bucket = finite(df if source is None else source, inputs).groupBy(*keys, F.expr(f"{bucket(t)} as _b")).agg(
         *[F.expr(f"sum({e}) as {name}") for name, e in value.items()])
     base = per_bucket.selectExpr(
         *keys, "_b", "cast(null as int) as _leave", f"_b * {2 * bucket_us} - 1 as _o",
@@ -55,8 +62,8 @@ def rolling_sums(
     moves = [f"named_struct('_b', {bucket(t)}, '_leave', 0, '_o', {t} * 2 + 1)"]
     moves += [f"named_struct('_b', {bucket(f'{t} + {w}')}, '_leave', {i}, '_o', ({t} + {w}) * 2 + 1)"
               for i, w in enumerate(widths, start=1)]
-    events = df.select(*keys, *inputs, F.struct(*payload).alias("_all"),
-                       F.expr(f"explode(array({', '.join(moves)})) as _m"))
+    events = finite(df.withColumn("_all", F.struct(*payload)), inputs).select(
+        *keys, *inputs, "_all", F.expr(f"explode(array({', '.join(moves)})) as _m"))
     events = events.select(*keys, *inputs, "_m.*", F.expr("if(_m._leave = 0, _all, null) as _row"))
     union = events.unionByName(base.withColumn("_row", F.lit(None).cast(no_row)), allowMissingColumns=True)
 
@@ -69,7 +76,8 @@ def rolling_sums(
     run = f"over (partition by {by}, _b order by _o range between unbounded preceding and 1 preceding)"
     out = signed.selectExpr(*keys, *inputs, "_leave", "_row",
                             *[f"coalesce(sum(_d_{name}) {run}, 0D) as {name}" for name in sums])
-    return out.where("_leave = 0").select(*keys, *inputs, "_row.*", *list(sums))
+    rest = [c for c in payload if c not in inputs]
+    return out.where("_leave = 0").select(*keys, *[f"_row.{c}" for c in (*inputs, *rest)], *list(sums))
 
 
 def around_sums(
@@ -87,7 +95,7 @@ def around_sums(
     """
     bucket = F.floor(F.col(t) / F.lit(tol_us)).cast("long")
     names = list(sums)
-    ev = events.selectExpr(*keys, t, *[f"coalesce(cast({e} as double), 0D) as {n}" for n, e in sums.items()])
+    ev = finite(events, [c for c in events.columns if c not in (*keys, t)]).selectExpr(*keys, t, *[f"coalesce(cast({e} as double), 0D) as {n}" for n, e in sums.items()])
     payload_cols = [c for c in probes.columns if c not in keys]
     types = probes.schema
     no_row = F.lit(None).cast(T.StructType([types[c] for c in payload_cols])).alias("_row")

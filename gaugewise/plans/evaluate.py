@@ -89,7 +89,7 @@ def diagnose(judged: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         **{f"is_{a}": decision.per_focus(f"is_{a}") for a in ("drift", "bias", "noise")}})
     out = out.withColumn("is_frozen", F.coalesce(F.array_contains("_frozen", F.col("focus")), F.lit(False)))
     out = correction.suggest(faults.classify_fault(out, cfg), cfg)
-    return decision.explain(out)
+    return decision.explain(out, cfg)
 
 
 DIAGNOSIS = ("fault_type", "fault_detail", "suggested_value", "suggested_variable", "explanation")

@@ -302,7 +302,7 @@ CTES: dict[str, str] = {
  FROM (SELECT station_id, variable, x - idw AS r, (t - {ORIGIN}) / 86400000000e0 AS tau FROM idw) WHERE r IS NOT NULL
  GROUP BY station_id, variable""",
     "floors": """
- SELECT station_id, variable, quantile_cont(floor(std * 1000 + 0.5), 0.1) / 1000 AS noise_floor
+ SELECT station_id, variable, quantile_cont(std, 0.1) AS noise_floor
  FROM roll WHERE n >= 8 AND std IS NOT NULL GROUP BY station_id, variable""",
     "health": f"""
  SELECT *, greatest(0e0, 100 - 40 * coalesce({clip01(f"abs(drift_rate) / (4 * {by_var('0.1e0', '0.1e0', '0.5e0')})")}, 0)

@@ -78,6 +78,20 @@ def e10(spark, sf):
     return st.neighbours(fx.stations(spark, sf), DEFAULT.radius_km).select("station_id", "neighbour_id", r6("km"))
 
 
+@query("e10_neighbours_wrap", f"""SELECT station_id, neighbour_id, {R('km')} AS km FROM (
+ SELECT a.station_id, b.station_id AS neighbour_id, 12742e0 * asin(sqrt(least(1e0,
+  pow(sin(radians(b.latitude - a.latitude) / 2), 2) + cos(radians(a.latitude)) * cos(radians(b.latitude))
+  * pow(sin(radians(b.lon - a.lon) / 2), 2)))) AS km
+ FROM (SELECT *, CASE WHEN longitude + 109.9e0 > 180 THEN longitude - 250.1e0 ELSE longitude + 109.9e0 END AS lon FROM stations) a
+ JOIN (SELECT *, CASE WHEN longitude + 109.9e0 > 180 THEN longitude - 250.1e0 ELSE longitude + 109.9e0 END AS lon FROM stations) b
+  ON a.station_id <> b.station_id) WHERE km <= 30""")
+def e10_wrap(spark, sf):
+    """The same stations moved onto the date line."""
+    east = F.col("longitude") + 109.9
+    moved = fx.stations(spark, sf).withColumn("longitude", F.when(east > 180, F.col("longitude") - 250.1).otherwise(east))
+    return st.neighbours(moved, DEFAULT.radius_km).select("station_id", "neighbour_id", r6("km"))
+
+
 def _edges(spark, sf):
     return st.neighbours(fx.stations(spark, sf), DEFAULT.radius_km)
 

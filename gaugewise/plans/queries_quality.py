@@ -66,7 +66,7 @@ def s7(spark, sf):
     return io.result_for(evaluated(spark, sf), "R163").select("reading_id", "decision", "trust_score")
 
 
-@query("s9_payload", f"""SELECT reading_id, station_id AS payload_station_id, date_trunc('second', ts) AS payload_ts,
+@query("s9_payload", f"""SELECT reading_id, station_id AS payload_station_id, ts AS payload_ts,
  {R('temperature')} AS temperature, {R('pressure')} AS pressure, {R('humidity')} AS humidity FROM readings""")
 def s9(spark, sf):
     d = io.decode_payload(io.encode_payload(fx.readings(spark, sf)))
@@ -158,7 +158,7 @@ def v11(spark, sf):
 
 
 @query("v12_dedupe", """SELECT reading_id, station_id, ts, seq FROM (SELECT *, row_number() OVER
- (PARTITION BY station_id, ts ORDER BY reading_id) AS rn FROM dirty) WHERE rn = 1""")
+ (PARTITION BY station_id, ts ORDER BY reading_id) AS rn FROM dirty) WHERE rn = 1 OR station_id IS NULL""")
 def v12(spark, sf):
     return q.dedupe(dirty(spark, sf)).select("reading_id", "station_id", naive("ts"), "seq")
 
@@ -179,8 +179,8 @@ def v13(spark, sf):
 
 @query("v14_profile", f"""SELECT variable, count(*) AS n, count(*) - count(x) AS n_null,
  count(DISTINCT x) AS n_distinct, {R('min(x)')} AS min_x, {R('max(x)')} AS max_x,
- {R('quantile_cont(floor(x / 0.01e0 + 0.5), 0.05) * 0.01e0')} AS p05, {R('quantile_cont(floor(x / 0.01e0 + 0.5), 0.5) * 0.01e0')} AS p50,
- {R('quantile_cont(floor(x / 0.01e0 + 0.5), 0.95) * 0.01e0')} AS p95 FROM obs GROUP BY variable""")
+ {R('quantile_cont(x, 0.05)')} AS p05, {R('quantile_cont(x, 0.5)')} AS p50,
+ {R('quantile_cont(x, 0.95)')} AS p95 FROM obs GROUP BY variable""")
 def v14(spark, sf):
     return q.profile(fx.readings(spark, sf)).select(
         "variable", "n", "n_null", "n_distinct", *map(r6, ("min_x", "max_x", "p05", "p50", "p95")))

@@ -34,7 +34,9 @@ def work_dir(spark: SparkSession) -> str:
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        folder = os.environ.setdefault("GAUGEWISE_TEST_DIR", tempfile.mkdtemp(prefix="gaugewise-"))
+        if "GAUGEWISE_TEST_DIR" not in os.environ:
+            os.environ["GAUGEWISE_TEST_DIR"] = tempfile.mkdtemp(prefix="gaugewise-")
+        folder = os.environ["GAUGEWISE_TEST_DIR"]
     return folder
 
 

@@ -73,9 +73,12 @@ def stream_results(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 
 def payload_json(ts: str = "ts") -> Column:
-    """The ingestion contract as JSON text; NULL members are kept out of the text."""
+    """The ingestion contract as JSON text; NULL members are kept out of the text, parts of a second are not."""
+    whole = F.date_trunc("second", ts) == F.col(ts)
+    stamp = F.when(whole, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(
+        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
     return F.to_json(F.struct(
-        F.col("station_id"), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
+        F.col("station_id"), stamp.alias("timestamp"),
         F.col("temperature"), F.col("pressure"), F.col("humidity")))
 
 

@@ -95,3 +95,14 @@ def test_lookup_spreads_a_hot_key(spark, frame, rows):
     out = tl.lookup(frame, small, ["key"], 4).collect()
     assert len(out) == len(rows)
     assert {(r.key, r.label) for r in out if r.key in ("hot", "k0", "k3")} == {("hot", 1), ("k0", 2), ("k3", None)}
+
+
+def test_non_finite_values_leave_later_windows_alone(spark):
+    rows = [("a", i * 1_000_000, float("nan") if i == 5 else float("inf") if i == 7 else float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, t long, x double")
+    out = tl.rolling_sums(df, ["k"], "t", ["x"], {
+        "n": ("if(x is null, 0, 1)", 10_000_000), "s": ("x", 10_000_000)}, 5_000_000).orderBy("t").collect()
+    for i, r in enumerate(out):
+        frame = [j for j in range(max(0, i - 10), i) if j not in (5, 7)]
+        assert (r["n"], r["s"]) == (len(frame), sum(frame))
+        assert repr(r["x"]) == repr(rows[i][2])
