@@ -23,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.window import Window
 
 from gaugewise.llm.common import stage
 
@@ -76,24 +75,25 @@ def packed(docs: DataFrame, vocabulary: str, pattern: str, special: dict[str, in
            window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """One row per piece of a document, with its place in a sequence and a checksum of its ids; schema ``PIECES``."""
     tokens = stage(tokenised(docs, vocabulary, pattern, special or {}, end_id), "tokens")
-    totals = tokens.groupBy("part").agg(F.sum("n").alias("total"))
-    # One row per partition of the first pass: the only thing that one task orders.
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
-    placed = tokens.join(bases, "part").select("doc_id", (F.col("base") + F.col("before")).alias("place"), "n", "ids")
+    # Two numbers per partition of the first pass, however many documents it had.
+    totals = tokens.groupBy("part").agg(F.sum("n").alias("total")).orderBy("part").collect()
+    bases = np.zeros(totals[-1]["part"] + 2 if totals else 1, np.int64)
+    bases[[r["part"] + 1 for r in totals]] = [r["total"] for r in totals]
+    bases = np.cumsum(bases)
     schema = T._parse_datatype_string(PIECES)
     schema["doc_id"].dataType = docs.schema["doc_id"].dataType
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place, n = (batch.column(i).to_numpy() for i in (1, 2))
+            part, before, n = (batch.column(i).to_numpy() for i in (1, 2, 3))
+            place = bases[part] + before
             first, last = place // window, (place + n - 1) // window
             row = np.repeat(np.arange(len(n)), last - first + 1)
             within = np.arange(len(row)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1)
             sequence = first[row] + within
             start = np.maximum(sequence * window, place[row])
             stop = np.minimum((sequence + 1) * window, (place + n)[row])
-            ids = batch.column(3)
+            ids = batch.column(4)
             crc = np.array([zlib.crc32(memoryview(ids[int(r)].as_buffer())[4 * a:4 * b]) for r, a, b in zip(
                 row, start - place[row], stop - place[row])], np.int64)
             yield pa.RecordBatch.from_arrays([
@@ -101,4 +101,4 @@ def packed(docs: DataFrame, vocabulary: str, pattern: str, special: dict[str, in
                     start - place[row], stop - start, crc, n[row], sequence, start - sequence * window))],
                 schema.names)
 
-    return placed.mapInArrow(cut, schema)
+    return tokens.mapInArrow(cut, schema)
