@@ -10,8 +10,10 @@ too few left posts one-deletion neighbourhoods (threshold 1) of half as many seg
 covers all differences again. One of the two rules holds for any two linked sets, so no link is lost.
 
 Equal sets are one class from the start, and a task posts a class once, so copies cost nothing. Within a key each class
-is first compared with the smallest one only; classes that are in one component by then need no further comparison,
-and just what is left of a key's classes is compared pairwise. Links are verified on whole sets.
+is first compared with one centre only, the class with most company over all its keys; classes that are in one
+component by then need no further comparison. What is left of a key's classes is compared with each other: up to
+``SMALL`` of them as pairs (so pairs grow with rows), more of them in blocks, where a task takes two blocks, finds all
+links by matrix products and returns only what joins components. Links are verified on whole sets.
 
 Cases: null and empty texts have no shingles, size 0, and are linked with nothing; fewer words than a shingle are one
 shingle; repeated rows are kept and linked; null doc_ids are kept and never a component's id unless it has no other;
@@ -39,6 +41,8 @@ SHINGLE = 4
 SIMILARITY = (85, 100)
 #: Bits of the map that tells which documents' sets a verification may need; wrong hits only cost time.
 MAP_BITS = 1 << 24
+SMALL = 64
+BLOCK = 1_024
 
 
 def shingle_sets(words: Words, width: int) -> Iterator[np.ndarray]:
@@ -180,32 +184,87 @@ def verified(pairs: DataFrame, sets: DataFrame, most: tuple[int, int]) -> DataFr
         F.col("common") * most[1] >= union * most[0]).select("u", "v")
 
 
+def joined(sets: list[np.ndarray], most: tuple[int, int]) -> np.ndarray:
+    """For each set the first one that links lead to, comparing all of them with each other."""
+    flat, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count > 1  # what only one set has is in no intersection
+    place = np.cumsum(shared) - 1
+    kept = shared[column]
+    has = np.zeros((len(sets), int(shared.sum())), np.float32)
+    has[np.repeat(np.arange(len(sets)), sizes)[kept], place[column[kept]]] = 1
+    common = (has @ has.T).astype(np.int64)
+    links = common * most[1] >= (sizes[:, None] + sizes - common) * most[0]
+    np.fill_diagonal(links, True)
+    root = np.arange(len(sets))
+    while True:
+        least = np.where(links, root, len(sets)).min(1)
+        if (least == root).all():
+            return root
+        root = least
+
+
+def linked_in_blocks(rest: DataFrame, sets: DataFrame, most: tuple[int, int]) -> DataFrame:
+    """Links (``u``, ``v``) that join the classes of large keys as comparing all of a key's classes would."""
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("u"), blocks).cast("int")
+    rows = rest.join(sets, rest["u"] == sets["set"]).select(
+        "key", "u", "elements", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "u",
+                       "elements").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "u")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(u: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
+            root = joined(found, most) if found else np.zeros(0, np.int64)
+            u_ = np.array(u, np.int64)
+            other = root != np.arange(len(root))
+            return pa.RecordBatch.from_arrays([pa.array(u_[other]), pa.array(u_[root[other]])], ["u", "v"])
+
+        now, u, found = None, [], []
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+            lists = batch.column(4)
+            values, ends = lists.flatten().to_numpy(), np.cumsum([0, *lists.value_lengths().to_pylist()])
+            for i, (key, id_) in enumerate(zip(keys, batch.column(3).to_pylist())):
+                if key != now:
+                    yield links(u, found)
+                    now, u, found = key, [], []
+                u.append(id_)
+                found.append(values[ends[i]:ends[i + 1]].copy())
+        yield links(u, found)
+
+    return rows.mapInArrow(compare, "u long, v long").distinct()
+
+
 def linked(docs: DataFrame, width: int = SHINGLE, most: tuple[int, int] = SIMILARITY) -> DataFrame:
     """Per row: doc_id, text_hash, n_shingles, set, and component_id, the smallest doc_id reachable by links."""
     rows = stage(posted(docs, width, most), "sets")
     key = Window.partitionBy("key")
     lists = rows.filter(F.size("keys") > 0).select(F.explode("keys").alias("key"), F.col("set").alias("u"), "n")
-    lists = stage(lists.withColumn("v", F.min("u").over(key)).withColumn("last", F.max("u").over(key)).filter(
-        "v < last").drop("last").distinct(), "lists")
+    lists = stage(lists.withColumn("lo", F.min("u").over(key)).withColumn("hi", F.max("u").over(key)).filter(
+        "lo < hi").drop("lo", "hi").distinct(), "lists")
+    company = lists.withColumn("c", F.count("*").over(key)).groupBy("u").agg(F.sum("c").alias("w"))
+    lists = stage(lists.join(company, "u").withColumn("v", F.max(F.struct("w", "u")).over(key)["u"]).drop("w"), "stars")
     # One document of each set that is in a list: the set is made again from its text.
     nodes = lists.select("u").distinct()
     wanted = rows.join(nodes, rows["set"] == nodes["u"], "left_semi").groupBy("set").agg(
         F.min(F.struct("doc_id", "text_hash")).alias("d")).select("d.*")
     sets = stage(whole_sets(docs, wanted, width).groupBy("set").agg(F.any_value("elements").alias("elements")).join(
         nodes, F.col("set") == F.col("u"), "left_semi"), "whole")
-    first = stage(verified(lists.filter("u > v").select("u", "v").distinct(), sets, most), "first")
+    first = stage(verified(lists.filter("u <> v").select("u", "v").distinct(), sets, most), "first")
     found = components(first)
     # Classes of a key that are not all in one component by now are compared with each other.
     rest = lists.join(found, lists["u"] == found["node"], "left").select(
         "key", "u", "n", F.coalesce("root", "u").alias("root"))
     rest = stage(rest.withColumn("lo", F.min("root").over(key)).withColumn("hi", F.max("root").over(key)).filter(
-        "lo < hi").drop("lo", "hi"), "rest")
-    a, b = rest.alias("a"), rest.alias("b")
+        "lo < hi").withColumn("c", F.count("*").over(key)).drop("lo", "hi"), "rest")
+    a, b = rest.filter(F.col("c") <= SMALL).alias("a"), rest.filter(F.col("c") <= SMALL).alias("b")
     similar = (F.least("a.n", "b.n") * most[1] >= F.greatest("a.n", "b.n") * most[0])
-    others = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.u") > F.col("b.u")) & (
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.u") > F.col("b.u")) & (
         F.col("a.root") != F.col("b.root")) & similar).select(F.col("a.u").alias("u"), F.col("b.u").alias("v"))
-    second = verified(others.distinct(), sets, most)
-    roots = components(first.unionAll(second))
+    second = verified(pairs.distinct(), sets, most)
+    third = linked_in_blocks(rest.filter(F.col("c") > SMALL), sets.select("set", "elements"), most)
+    roots = components(first.unionAll(second).unionAll(third))
     rows = rows.join(roots, rows["set"] == roots["node"], "left").select(
         "doc_id", "text_hash", F.col("n").alias("n_shingles"), "set", F.coalesce("root", "set").alias("root"))
     ids = rows.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
