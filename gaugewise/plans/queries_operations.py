@@ -196,16 +196,19 @@ _STATION_DELTA = """SELECT station_id, strftime(ts, '%Y-%m-%d') AS day, avg(temp
  FROM corrected GROUP BY 1, 2"""
 
 
+def station_delta(spark, sf):
+    view = _corrected(spark, sf).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return im.impact_delta(view.select("station_id", "day", "temperature"), view.select(
+        "station_id", "day", F.col("corrected_temperature").alias("temperature")),
+        ["station_id", "day"], F.col("temperature"))
+
+
 @query("i2_impact_events", f"""SELECT station_id, day, impact_domain, {R('abs(delta) / threshold')} AS simulated_loss,
  CASE WHEN abs(delta) >= 5 THEN 'severe' WHEN abs(delta) >= 2 THEN 'moderate' WHEN abs(delta) >= 1 THEN 'minor' ELSE 'none' END
  AS severity FROM ({_STATION_DELTA}) JOIN (VALUES ('hydrology', 2e0), ('fire_weather', 1e0), ('agriculture', 1.5e0),
  ('aviation', 0.5e0)) AS d(impact_domain, threshold) ON abs(delta) >= threshold""")
 def i2(spark, sf):
-    view = _corrected(spark, sf).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    delta = im.impact_delta(view.select("station_id", "day", "temperature"), view.select(
-        "station_id", "day", F.col("corrected_temperature").alias("temperature")),
-        ["station_id", "day"], F.col("temperature"))
-    return im.impact_events(delta).select("station_id", "day", "impact_domain", r6("simulated_loss"), "severity")
+    return im.impact_events(station_delta(spark, sf)).select("station_id", "day", "impact_domain", r6("simulated_loss"), "severity")
 
 
 @query("i3_exposure", f"""SELECT station_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n,

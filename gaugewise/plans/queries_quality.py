@@ -33,11 +33,24 @@ def s1(spark, sf):
     return io.read_readings(spark, path).select("reading_id", "station_id", naive("ts"), *map(r6, VARIABLES))
 
 
+@query("s1_read_payloads", f"SELECT station_id, ts, t, {R('temperature')} AS temperature, "
+       f"{R('pressure')} AS pressure, {R('humidity')} AS humidity FROM readings")
+def s1_json(spark, sf):
+    """Contract rows as JSON text, back as readings with key and time."""
+    path = fresh_path(spark, "s1")
+    fx.readings(spark, sf).select(io.payload_json().alias("value")).write.text(path)
+    return io.read_payloads(spark, path).select("station_id", naive("ts"), "t", *map(r6, VARIABLES))
+
+
 @query("s4_dimensions", f"""SELECT s.sensor_id, s.station_id, s.variable, CAST(s.calibration_date AS VARCHAR) AS calibration_date,
  {R('t.latitude')} AS latitude, {R('t.longitude')} AS longitude, t.elevation, t.region
  FROM sensors s JOIN stations t USING (station_id)""")
 def s4(spark, sf):
-    return fx.sensors(spark, sf).join(fx.stations(spark, sf), "station_id").select(
+    sensors, stations = fresh_path(spark, "sensors"), fresh_path(spark, "stations")
+    fx.sensors(spark, sf).selectExpr("sensor_id as id", "station_id", "variable as sensor_type", "calibration_date").write.parquet(sensors)
+    fx.stations(spark, sf).selectExpr("station_id as id", "latitude", "longitude", "elevation").write.parquet(stations)
+    regions = fx.stations(spark, sf).select("station_id", "region")
+    return io.read_sensors(spark, sensors).join(io.read_stations(spark, stations), "station_id").join(regions, "station_id").select(
         "sensor_id", "station_id", "variable", F.col("calibration_date").cast("string").alias("calibration_date"), r6("latitude"), r6("longitude"),
         "elevation", "region")
 

@@ -12,17 +12,21 @@ from gaugewise.sources import fixtures as fx, io
 from gaugewise.streaming import ingest, online, state
 
 
+FILES = 8
+
+
 def stream(spark: SparkSession, sf: str) -> DataFrame:
     events = io.stream_readings(spark, sf, "parquet", fx.EVENTS_DDL, pathGlobFilter="events.parquet")
     return fx.readings_from(events)
 
 
 def as_files(spark: SparkSession, sf: str, *parts: str) -> str:
-    """The events as one file per predicate, so that a throttled replay runs that many micro-batches."""
+    """The events as ``FILES`` files per predicate, so that a replay of as many files per micro-batch runs one
+    micro-batch for each; a file is a task's share, whatever the table's size."""
     path = fresh_path(spark, "replay")
     events = fx.load(spark, sf, "events")
     for rows in parts:
-        events.where(rows).coalesce(1).write.mode("append").parquet(path)
+        events.where(rows).repartition(FILES).write.mode("append").parquet(path)
     return path
 
 
@@ -34,7 +38,7 @@ def s2(spark, sf):
 
 @query("s3_replay", "SELECT reading_id, station_id, ts FROM readings")
 def s3(spark, sf):
-    events = io.replay(spark, as_files(spark, sf, "event_id % 2 = 0", "event_id % 2 = 1"), 1, schema=fx.EVENTS_DDL)
+    events = io.replay(spark, as_files(spark, sf, "event_id % 2 = 0", "event_id % 2 = 1"), FILES, schema=fx.EVENTS_DDL)
     out, _ = ingest.run_to_table(fx.readings_from(events).select("reading_id", "station_id", "ts"), "s3")
     return out.select("reading_id", "station_id", naive("ts"))
 
@@ -114,7 +118,7 @@ def l5(spark, sf):
 def l6(spark, sf):
     """The last of three micro-batches arrives behind the watermark; the batch re-run finds its windows."""
     path = as_files(spark, sf, "event_id % 10 > 1", "event_id % 10 = 1", "event_id % 10 = 0")
-    events = io.replay(spark, path, 1, schema=fx.EVENTS_DDL)
+    events = io.replay(spark, path, FILES, schema=fx.EVENTS_DDL)
     streamed, _ = ingest.run_to_table(ingest.station_windows(fx.readings_from(events), "1 day"), "l6")
     return ingest.revisions(im.downsample(fx.readings(spark, sf)), streamed).select(
         "station_id", naive("start_ts"), "n", "n_streamed")

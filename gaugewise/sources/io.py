@@ -7,14 +7,24 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from gaugewise import schemas
 from gaugewise.functions.columns import micros
+from gaugewise.operators.quality import normalise_ts
 
 READING_FIELDS = ("station_id", "timestamp", "temperature", "pressure", "humidity")
 
 
 def read_readings(spark: SparkSession, path: str, fmt: str = "parquet", schema: str = schemas.READINGS
                   ) -> DataFrame:
-    """Batch scan with the declared schema (Parquet, JSON, CSV or ORC)."""
-    return spark.read.format(fmt).schema(schema).load(path)
+    """Batch scan with the declared schema (Parquet, JSON, CSV or ORC), with the time ``t`` that operators order by."""
+    rows = spark.read.format(fmt).schema(schema).load(path)
+    return rows.withColumn("t", micros(F.col("ts"))) if "ts" in rows.columns else rows
+
+
+def read_payloads(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """Contract rows as operators take them: UTC time, ``t``, a content key, no wind. Rows whose time cannot be read
+    keep their other fields and a NULL time, for the quarantine to name."""
+    rows = normalise_ts(read_readings(spark, path, fmt, schemas.WEATHER_READING))
+    return with_reading_id(rows).withColumn("t", micros(F.col("ts"))).withColumn(
+        "wind_speed", F.lit(None).cast("double"))
 
 
 def with_reading_id(df: DataFrame) -> DataFrame:
@@ -37,11 +47,14 @@ def replay(spark: SparkSession, path: str, files_per_trigger: int, fmt: str = "p
 
 
 def read_stations(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.STATIONS).parquet(path)
+    """The station table; its key is named as in readings."""
+    return spark.read.schema(schemas.STATIONS).parquet(path).withColumnRenamed("id", "station_id")
 
 
 def read_sensors(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.SENSORS).parquet(path)
+    """The sensor table, named as the roll-ups name sensors."""
+    return spark.read.schema(schemas.SENSORS).parquet(path).withColumnsRenamed(
+        {"id": "sensor_id", "sensor_type": "variable"})
 
 
 def append_raw(df: DataFrame, path: str) -> None:
@@ -50,15 +63,21 @@ def append_raw(df: DataFrame, path: str) -> None:
      .write.mode("append").partitionBy("dt").parquet(path))
 
 
-def write_table(df: DataFrame, name: str, folder: str) -> None:
-    """Append to a derived table after projecting to its declared schema."""
+def as_table(df: DataFrame, name: str) -> DataFrame:
+    """Project to a table's declared schema; columns that the roll-up does not have are NULL."""
     schema = df.sparkSession.createDataFrame([], schemas.TABLES[name]).schema
-    cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
-    df.select(*cols).write.mode("append").parquet(f"{folder}/{name}")
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                       for f in schema.fields])
+
+
+def write_table(df: DataFrame, name: str, folder: str, run: str = "0") -> None:
+    """Write one run's rows of a derived table. A repeated run replaces its own rows, so a retried job doubles none."""
+    as_table(df, name).write.mode("overwrite").parquet(f"{folder}/{name}/run={run}")
 
 
 def read_table(spark: SparkSession, name: str, folder: str) -> DataFrame:
-    return spark.read.schema(schemas.TABLES[name]).parquet(f"{folder}/{name}")
+    """All runs of a derived table."""
+    return spark.read.schema(schemas.TABLES[name] + ", run string").parquet(f"{folder}/{name}").drop("run")
 
 
 def result_for(df: DataFrame, reading_id: str) -> DataFrame:
