@@ -56,8 +56,16 @@ def gather(flagged: DataFrame, readings: DataFrame, stations: DataFrame, cfg: Co
     return base.withColumn("missing_run", missing_run).drop("_prev_x", "_next_x")
 
 
-def judge(gathered: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def with_prior(gathered: DataFrame, health: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Chronic degradation: the station's last known health (``station_id``, ``t``, ``health_score``) is persistence
+    evidence of its own, and the worse of the two counts."""
+    out = evidence.health_prior(gathered, health, cfg)
+    return out.withColumn("persistence", F.greatest("persistence", 1 - F.col("prior_health") / 100))
+
+
+def judge(gathered: DataFrame, cfg: Config = DEFAULT, health: DataFrame | None = None) -> DataFrame:
     """Evidence vector, decision, confidence and trust."""
+    gathered = gathered if health is None else with_prior(gathered, health, cfg)
     out = decision.with_genuineness(evidence.evidence_vector(gathered, cfg), cfg)
     return decision.with_trust(decision.confidence(decision.decide(out, cfg)))
 
@@ -106,18 +114,18 @@ def fit_config(readings: DataFrame, cfg: Config = DEFAULT) -> Config:
 
 
 def judged(readings: DataFrame, stations: DataFrame, cfg: Config | None = None,
-           scores: DataFrame | None = None) -> DataFrame:
-    """Decisions and trust of every reading."""
+           scores: DataFrame | None = None, health: DataFrame | None = None) -> DataFrame:
+    """Decisions and trust of every reading; ``health`` adds the sensors' history to the evidence."""
     cfg = fit_config(readings) if cfg is None else cfg
     flagged = cut(flag(observe(readings, cfg), cfg, scores), "observed")
-    return judge(gather(flagged, readings, stations, cfg), cfg)
+    return judge(gather(flagged, readings, stations, cfg), cfg, health)
 
 
 def evaluated(readings: DataFrame, stations: DataFrame, cfg: Config | None = None,
-              scores: DataFrame | None = None) -> DataFrame:
+              scores: DataFrame | None = None, health: DataFrame | None = None) -> DataFrame:
     """The full evaluation: every reading, with the diagnosis of the flagged ones."""
     cfg = fit_config(readings) if cfg is None else cfg
-    stage = cut(judged(readings, stations, cfg, scores), "judged")
+    stage = cut(judged(readings, stations, cfg, scores, health), "judged")
     return with_diagnosis(stage, cfg)
 
 

@@ -335,6 +335,16 @@ CTES: dict[str, str] = {
 }
 
 
+# The decision with the stations' weekly health as a prior: the same statements over a richer vector.
+CTES["weekly"] = f"""
+ SELECT station_id, w * {WEEK} + {WEEK} AS t, 100e0 * (1 - avg(CASE WHEN anomaly THEN 1e0 ELSE 0e0 END)) AS health_score
+ FROM (SELECT station_id, anomaly, t // {WEEK} AS w FROM flagged) GROUP BY station_id, w"""
+CTES["vector_prior"] = CTES["vector"].replace(
+    "p.persistence,", "greatest(p.persistence, 1 - h.health_score / 100) AS persistence,").rstrip().removesuffix(
+    ")") + "\n  ASOF LEFT JOIN weekly h ON h.station_id = f.station_id AND h.t <= f.t)"
+CTES["judged_prior"] = CTES["judged"].replace("FROM vector)", "FROM vector_prior)")
+
+
 def build(sql: str) -> str:
     """Prefix the statement with the shared tables it needs, in dependency order."""
     used: list[str] = []

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gaugewise.config import DEFAULT, VARIABLES
 from gaugewise.operators import decision as dc, evidence as ev, faults as fl, features as ft, stations as st
+from gaugewise.plans import evaluate
 from gaugewise.plans.oracle import R, R4, WEEK, whole
 from gaugewise.plans.registry import evaluated, judged, query, r4, r6
 from gaugewise.sources import fixtures as fx
@@ -138,18 +139,26 @@ def e13(spark, sf):
         "reading_id", r6("persistence"), "flag_run")
 
 
-_WEEKLY = f"""SELECT station_id, w * {WEEK} + {WEEK} AS t, 100e0 * (1 - avg(CASE WHEN anomaly THEN 1e0 ELSE 0e0 END)) AS health_score
- FROM (SELECT station_id, anomaly, t // {WEEK} AS w FROM flagged) GROUP BY station_id, w"""
+def _weekly(base):
+    """Health known at the end of each week: the share of its readings that were not flagged."""
+    return base.groupBy("station_id", F.floor(F.col("t") / WEEK).cast("long").alias("w")).agg(
+        (100 * (1 - F.avg(F.col("anomaly").cast("double")))).alias("health_score")).select(
+        "station_id", ((F.col("w") + 1) * WEEK).alias("t"), "health_score")
 
 
 @query("e14_health_prior", f"""SELECT f.reading_id, {R('h.health_score')} AS prior_health, h.t AS health_t
- FROM flagged f ASOF LEFT JOIN ({_WEEKLY}) h ON h.station_id = f.station_id AND h.t <= f.t""")
+ FROM flagged f ASOF LEFT JOIN weekly h ON h.station_id = f.station_id AND h.t <= f.t""")
 def e14(spark, sf):
     base = judged(spark, sf).select("reading_id", "station_id", "t", "anomaly")
-    health = base.groupBy("station_id", F.floor(F.col("t") / WEEK).cast("long").alias("w")).agg(
-        (100 * (1 - F.avg(F.col("anomaly").cast("double")))).alias("health_score")).select(
-        "station_id", ((F.col("w") + 1) * WEEK).alias("t"), "health_score")
-    return ev.health_prior(base, health).select("reading_id", r6("prior_health"), "health_t")
+    return ev.health_prior(base, _weekly(base)).select("reading_id", r6("prior_health"), "health_t")
+
+
+@query("e14_health_decision", f"""SELECT reading_id, {R('persistence')} AS persistence, decision, trust_score
+ FROM judged_prior""")
+def e14_decision(spark, sf):
+    """Decisions once the weekly health counts as evidence."""
+    base = judged(spark, sf)
+    return evaluate.judge(base, health=_weekly(base)).select("reading_id", r6("persistence"), "decision", "trust_score")
 
 
 @query("e15_evidence_vector", f"""SELECT reading_id, focus, {R('temporal')} AS temporal, {R('cross_sensor')} AS cross_sensor,
