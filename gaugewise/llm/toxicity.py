@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from gaugewise.llm.common import NOT_WORD, Words, pieces
+from gaugewise.llm.common import NOT_WORD, Words, pieces, stage
 from gaugewise.llm.quality import held_out
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -35,6 +35,8 @@ FEATURES = 4096
 SAMPLE = 50_000
 HEADS = (None, 4, 5)
 GRADES = 3
+#: Features are looked at if they stand in this share of the toxic documents, and in three.
+SUPPORT = 0.002
 
 
 def hashed(words: Words) -> np.ndarray:
@@ -95,37 +97,44 @@ def fitted(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, n_features
     return theta[:n_features], theta[n_features] + np.concatenate(([0], np.cumsum(np.exp(theta[n_features + 1:]))))
 
 
-def trained(docs: DataFrame, labels: DataFrame, n_features: int = FEATURES, sample: int = SAMPLE) -> Model:
-    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(
-        F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
-    rows = docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "text", "toxic")
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A task's documents by feature and label, summed before they are shuffled."""
-        counts, n = np.zeros((1 << BITS, 2), np.int32), np.zeros(2, np.int64)
+def document_counts(rows: DataFrame, among: np.ndarray | None = None) -> dict[int, int]:
+    """In how many documents (doc_id, text) each feature stands, of all features or of those marked in ``among``.
+    A task's documents are summed up before they are shuffled; at most 2**BITS numbers are collected."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << BITS, np.int32)
         for batch in batches:
-            toxic = (batch.column(2).to_numpy() > 0).astype(np.int64)
-            n += np.bincount(toxic, minlength=2)
-            for a, b, data, bounds in pieces(batch.column(1)):
-                for label, x in zip(toxic[a:b], present(Words(data, bounds, NOT_WORD))):
-                    counts[x, label] += 1
-        # Features that no toxic document of the task has matter too: they count against it elsewhere.
-        at = np.flatnonzero(counts.any(1))
+            for _, _, data, bounds in pieces(batch.column(0)):
+                for x in present(Words(data, bounds, NOT_WORD)):
+                    counts[x] += 1
+        at = np.flatnonzero(counts if among is None else np.where(among, counts, 0))
         for i in range(0, len(at), 1 << 16):
             part = at[i:i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part, 0].astype(np.int64)), pa.array(
-                counts[part, 1].astype(np.int64))], ["f", "clean", "toxic"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1]), *(pa.array([int(x)]) for x in n)], ["f", "clean", "toxic"])
-
-    counts = rows.mapInArrow(counted, "f long, clean long, toxic long").groupBy("f").agg(
-        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    totals = known.groupBy().agg(F.sum(F.lit(1) - F.signum("toxic")).alias("c"), F.sum(F.signum("toxic")).alias("t"))
-    c, t = (float(x or 0) for x in totals.first())
-    telling = F.log((F.col("toxic") + 0.5) / (t + 1.0)) - F.log((F.col("clean") + 0.5) / (c + 1.0))
-    top = counts.filter("f >= 0 and toxic >= 3").withColumn("odds", telling).filter("odds > 2").orderBy(
-        (F.col("odds") * F.col("toxic")).desc(), "f").limit(n_features).collect()
-    model = Model(np.array(sorted(r["f"] for r in top), np.int64), np.zeros(len(top)), np.array([40.0, 41.0, 42.0]))
-    if not len(top):
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part].astype(np.int64))], ["f", "n"])
+
+    counts = rows.select("text").mapInArrow(count, "f long, n long").groupBy("f").agg(F.sum("n").alias("n"))
+    if among is None:
+        counts = counts.filter(F.col("n") >= 3)
+    found = counts.toArrow()
+    return dict(zip(found["f"].to_pylist(), found["n"].to_pylist()))
+
+
+def trained(docs: DataFrame, labels: DataFrame, n_features: int = FEATURES, sample: int = SAMPLE) -> Model:
+    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(
+        F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
+    # Labels grow with the documents, so the join is a merge at any size; its rows are written and read three times.
+    learn = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text")
+    rows = stage(learn.join(known.hint("merge"), "doc_id").select("doc_id", "text", "toxic"), "labelled")
+    c, t = (x or 0 for x in known.agg(F.sum((F.col("toxic") <= 0).cast("long")), F.sum((F.col("toxic") > 0).cast(
+        "long"))).first())
+    # Only what stands in some toxic documents (SUPPORT of them at least) is worth counting among the others.
+    toxic = {f: n for f, n in document_counts(rows.filter("toxic > 0")).items() if n >= SUPPORT * t}
+    mark = np.zeros(1 << BITS, bool)
+    mark[list(toxic)] = True
+    clean = document_counts(rows.filter("toxic <= 0"), mark) if toxic else {}
+    odds = {f: np.log((n + 0.5) / (t + 1)) - np.log((clean.get(f, 0) + 0.5) / (c + 1)) for f, n in toxic.items()}
+    top = sorted((f for f in odds if odds[f] > 2), key=lambda f: (-odds[f] * toxic[f], f))[:n_features]
+    model = Model(np.array(sorted(top), np.int64), np.zeros(len(top)), np.array([40.0, 41.0, 42.0]))
+    if not top:
         return model
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample)
 
@@ -138,8 +147,7 @@ def trained(docs: DataFrame, labels: DataFrame, n_features: int = FEATURES, samp
                     pa.array(ends), pa.array(f))], ["toxic", "f"])
 
     # At most `sample` rows, and of each only which of the chosen features it has.
-    examples = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
-        "doc_id", "text", "toxic").mapInArrow(listed, "toxic long, f array<long>").collect()
+    examples = rows.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").mapInArrow(listed, "toxic long, f array<long>").collect()
     hits = np.array([len(r["f"]) for r in examples])
     toxic = np.array([r["toxic"] > 0 for r in examples])
     # A word and its stems are up to len(HEADS) features.
