@@ -267,7 +267,8 @@ def linked(docs: DataFrame, width: int = SHINGLE, most: tuple[int, int] = SIMILA
     roots = components(first.unionAll(second).unionAll(third))
     rows = rows.join(roots, rows["set"] == roots["node"], "left").select(
         "doc_id", "text_hash", F.col("n").alias("n_shingles"), "set", F.coalesce("root", "set").alias("root"))
-    ids = rows.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # Written, so that the join below has nothing but rows on either side and a hot root can be split.
+    ids = stage(rows.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")), "ids")
     return rows.join(ids, "root", "left").select("doc_id", "text_hash", "n_shingles", "set", F.when(
         F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
