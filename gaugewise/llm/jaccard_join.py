@@ -237,7 +237,8 @@ def linked_in_blocks(rest: DataFrame, sets: DataFrame, most: tuple[int, int]) ->
 
 
 def linked(docs: DataFrame, width: int = SHINGLE, most: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """Per row: doc_id, text_hash, n_shingles, set, and component_id, the smallest doc_id reachable by links."""
+    """Per row: doc_id, text_hash, n_shingles, set, root (the same within a component only), and component_id, the
+    smallest doc_id reachable by links."""
     rows = stage(posted(docs, width, most), "sets")
     key = Window.partitionBy("key")
     lists = rows.filter(F.size("keys") > 0).select(F.explode("keys").alias("key"), F.col("set").alias("u"), "n")
@@ -269,15 +270,16 @@ def linked(docs: DataFrame, width: int = SHINGLE, most: tuple[int, int] = SIMILA
         "doc_id", "text_hash", F.col("n").alias("n_shingles"), "set", F.coalesce("root", "set").alias("root"))
     # Written, so that the join below has nothing but rows on either side and a hot root can be split.
     ids = stage(rows.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")), "ids")
-    return rows.join(ids, "root", "left").select("doc_id", "text_hash", "n_shingles", "set", F.when(
+    return rows.join(ids, "root", "left").select("doc_id", "text_hash", "n_shingles", "set", "root", F.when(
         F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int, most: tuple[int, int]) -> DataFrame:
     """The rows of docs without all but one document of each component; documents without words all stay."""
     rows = stage(linked(docs, width, most), "components")
-    kept = rows.filter("n_shingles > 0").groupBy("component_id", "doc_id", "text_hash").agg(
-        F.count("*").alias("times")).groupBy("component_id").agg(
+    # By root: components may share a component_id, as doc_ids may be null or stand at several texts.
+    kept = rows.filter("n_shingles > 0").groupBy("root", "doc_id", "text_hash").agg(
+        F.count("*").alias("times")).groupBy("root").agg(
             F.min(F.struct("doc_id", "text_hash", "times")).alias("k")).select("k.*")
     empty = rows.filter("n_shingles = 0").select("doc_id", "text_hash").distinct()
     keep = stage(kept.unionAll(empty.withColumn("times", F.lit(1).cast("long"))), "kept").select(

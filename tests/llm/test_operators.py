@@ -161,6 +161,14 @@ def test_jaccard_join(spark, monkeypatch, small, block):
     assert got == components(docs, 4, 85, 100)
 
 
+def test_one_of_each_keeps_unlinked_documents(spark):
+    texts = [" ".join(f"{a}{i}" for i in range(30)) for a in "abcd"]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[3]), (None, texts[1])]
+    out = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), 5, (80, 100))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out.collect()) == sorted(
+        [(0, texts[0]), (0, texts[1]), (7, texts[2]), (7, texts[3])])
+
+
 def test_jaccard_postings_meet():
     rng = np.random.default_rng(3)
     for num, den in ((85, 100), (80, 100)):
