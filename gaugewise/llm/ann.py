@@ -119,7 +119,10 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
 
 def nearest(queries: np.ndarray, ids: np.ndarray, x: np.ndarray, own: np.ndarray, k: int,
             allowed: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per query number: vec_ids and scores of the k rows of largest inner product; ``allowed``: which of them count."""
+    """Per query number: the k vec_ids whose best rows have the largest inner products, and these scores; ``allowed``:
+    which rows count."""
+    # So many rows have k vec_ids at least.
+    rows = k * int(np.unique(ids, return_counts=True)[1].max(initial=1))
     for a in range(0, len(queries), 512):
         scores = queries[a:a + 512] @ x.T
         for i, row in enumerate(scores):
@@ -127,11 +130,13 @@ def nearest(queries: np.ndarray, ids: np.ndarray, x: np.ndarray, own: np.ndarray
             if allowed is not None:
                 row[~allowed[a + i]] = -np.inf
             # The products above may differ in the last bit between equal vectors; those kept are taken again.
-            kth = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+            kth = np.partition(row, -rows)[-rows] if len(row) > rows else -np.inf
             at = np.flatnonzero((row >= kth - 1e-9 * (1 + abs(kth)) if np.isfinite(kth) else row > -np.inf))
             exact = (x[at] * queries[a + i]).sum(1)
-            at, exact = (y[np.lexsort((ids[at], -exact))[:k]] for y in (at, exact))
-            yield a + i, ids[at], exact
+            order = np.lexsort((ids[at], -exact))
+            if rows > k:
+                order = order[np.sort(np.unique(ids[at][order], return_index=True)[1])]
+            yield a + i, ids[at[order[:k]]], exact[order[:k]]
 
 
 def usable(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -144,11 +149,20 @@ def usable(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     return rows.filter(F.size("v") == (width["w"] if width else -1))
 
 
+def repeats(rows: DataFrame) -> int:
+    """The most rows that one vec_id has."""
+    return rows.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1
+
+
 def searched(vectors: DataFrame, is_query: Column, k: int = K, sample: int = SAMPLE, bucket: int = BUCKET,
              query_block: int = QUERY_BLOCK, recall: float = RECALL) -> DataFrame:
     """query_id, rank from 1, vec_id and score of the k nearest found of each query row."""
     spark = vectors.sparkSession
     rows = usable(vectors)
+    most = repeats(rows)
+    if most > 1:  # repeated rows are one; other vectors under the same vec_id stay
+        rows = stage(rows.distinct(), "vectors")
+        most = repeats(rows)
     picked = rows.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(sample).toArrow()
     if not picked.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -167,7 +181,7 @@ def searched(vectors: DataFrame, is_query: Column, k: int = K, sample: int = SAM
     for r in placed.groupBy("leaf").count().collect():  # one row per leaf of the fixed-size tree
         population[r["leaf"]] = r["count"]
     queries = placed.filter(is_query).dropDuplicates(["vec_id"])
-    margin = calibrated(tree, placed, queries, population, width, k, recall)
+    margin = calibrated(tree, placed, queries, population, width, k, recall, most)
 
     # Buckets of bounded size in tree order; a large leaf is spread over several by a hash of vec_id.
     parts = np.maximum(1, -(-population // bucket))
@@ -194,7 +208,7 @@ def searched(vectors: DataFrame, is_query: Column, k: int = K, sample: int = SAM
             row, leaves, buckets = [], [], []
             for i, q in enumerate(matrix(batch.column(1), width)):
                 seen: dict[int, list[int]] = {}
-                for leaf, _ in shared.value.visits(q, margin, population, k + 1):
+                for leaf, _ in shared.value.visits(q, margin, population, (k + 1) * most):
                     for b in range(first[leaf], first[leaf] + parts[leaf]):
                         seen.setdefault(b, []).append(leaf)
                 row += [i] * len(seen)
@@ -235,7 +249,7 @@ def searched(vectors: DataFrame, is_query: Column, k: int = K, sample: int = SAM
 
 
 def calibrated(tree: Tree, placed: DataFrame, queries: DataFrame, population: np.ndarray, width: int, k: int,
-               recall: float) -> float:
+               recall: float, most: int = 1) -> float:
     """The smallest margin that reaches the share ``recall`` of the true neighbours of ``CALIBRATION`` queries."""
     tried = queries.orderBy(F.xxhash64("vec_id", F.lit(9)), "vec_id").limit(CALIBRATION).toArrow()
     if not tried.num_rows:
@@ -249,14 +263,16 @@ def calibrated(tree: Tree, placed: DataFrame, queries: DataFrame, population: np
             order = np.argsort(ids, kind="stable")
             x, ids, leaf = matrix(batch.column(1), width)[order], ids[order], leaf[order]
             places = np.arange(len(ids))
-            for i, near, score in nearest(q, places, x, np.full(len(q), -1), min(k + 1, len(ids))):
+            for i, near, score in nearest(q, places, x, np.full(len(q), -1), min((k + 1) * most, len(ids))):
                 other = ids[near] != own[i]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(other.sum(), i)), pa.array(ids[near][other]),
                                                   pa.array(leaf[near][other]), pa.array(score[other])],
                                                  ["i", "vec_id", "leaf", "score"])
 
     order = Window.partitionBy("i").orderBy(F.desc("score"), "vec_id")
-    true = placed.mapInArrow(block, "i long, vec_id long, leaf long, score double").withColumn(
+    near = placed.mapInArrow(block, "i long, vec_id long, leaf long, score double").groupBy("i", "vec_id").agg(
+        F.max(F.struct("score", "leaf")).alias("s")).select("i", "vec_id", "s.*")
+    true = near.withColumn(
         "rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("i", "leaf").collect()
     needed: list[float] = []
     reach = [dict(tree.visits(x, np.inf, population, 0)) for x in q]

@@ -390,6 +390,21 @@ def test_toxicity(spark):
     assert all(0 <= r["severity"] <= 3 for r in out)
 
 
+def test_nearest_with_repeated_rows(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    other = spark.createDataFrame([(i, (v / 2).tolist()) for i, v in enumerate(x)], df.schema)
+    for rows in (df.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(25)))), df.unionAll(other)):
+        got = {}
+        for r in ann.searched(rows, F.col("vec_id") % 30 == 0, bucket=2000, recall=1.0).collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert set(got) == set(range(0, 300, 30)) and all(len(set(v)) == len(v) == 20 for v in got.values())
+        if "i" in rows.columns:
+            for q, found in got.items():
+                assert set(found) == set(sorted((i for i in range(300) if i != q), key=lambda i: -(x[i] @ x[q]))[:20])
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var a="</p><article>";</script></head>
 <body><header><h2>Site</h2></header><nav><ul><li><a href="/">Home</a></li><li>More</li></ul></nav>
 <div class="cookie-notice">We use cookies</div><!-- <p>gone</p> --><article><h1>Title {n} &amp;  more</h1>
