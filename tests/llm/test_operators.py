@@ -429,6 +429,22 @@ def test_extraction(spark):
     assert got[3] == "Text 3 is long enough to count And more 21"
 
 
+def pulled(spark, pages):
+    rows = [(i, url, html) for i, (url, html) in enumerate(pages)]
+    out = wrappers.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(out) == len(rows)
+    return [r["text"] for r in sorted(out, key=lambda r: r["page_id"])]
+
+
+def test_extraction_tells_slots_of_one_path_apart(spark, monkeypatch):
+    monkeypatch.setattr(wrappers, "TREES", 3)
+    ends = ["", "<h3>x</h3>", "<ul><li>x</ul>", "<pre>x</pre>", "<h3>x</h3><pre>x</pre>", "<h4>x</h4>", "<h5>x</h5>"]
+    pages = [f"<body><div><p>Always the same here</div><h2>Same</h2><div><p>Main text {i} of the page</div>{ends[i % 7]}"
+             for i in range(14)]
+    got = pulled(spark, [("http://a.example/", p) for p in pages])
+    assert got == [f"Main text {i} of the page" for i in range(14)]
+
+
 def test_wrapper_is_union_free():
     tree = wrappers.merged(wrappers.structure("<ul><li>a<li>b</ul><p>x</p><h2>t</h2><p>y</p><h2>u</h2><p>z"),
                            wrappers.structure("<p>x</p><table><tr><td>1</table>"))
