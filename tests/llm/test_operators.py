@@ -445,6 +445,15 @@ def test_extraction_tells_slots_of_one_path_apart(spark, monkeypatch):
     assert got == [f"Main text {i} of the page" for i in range(14)]
 
 
+def test_extraction_reads_whole_slots(spark):
+    intro = "A licence line that all pages of this series begin with, word by word, 2024. "
+    pages = [("http://a.example/", f"<body><div><p>{intro}{i}</div><footer>f") for i in range(4)]
+    copies = [("http://b.example/", "<body><div><p>One page</div><footer>f")] * 4
+    fixed = [("http://c.example/", f"<body><div><p>Same text</div><footer>{i}") for i in range(4)]
+    assert pulled(spark, pages + copies + fixed) == [f"{intro}{i}" for i in range(4)] + ["One page"] * 4 + [
+        "Same text"] * 4
+
+
 def test_wrapper_is_union_free():
     tree = wrappers.merged(wrappers.structure("<ul><li>a<li>b</ul><p>x</p><h2>t</h2><p>y</p><h2>u</h2><p>z"),
                            wrappers.structure("<p>x</p><table><tr><td>1</table>"))
