@@ -454,6 +454,17 @@ def test_extraction_reads_whole_slots(spark):
         "Same text"] * 4
 
 
+def test_extraction_chooses_by_layout(spark):
+    article = [("http://a.example/", f"<body><article><p>Article {i}</article>") for i in range(4)]
+    plain = [("http://a.example/", f"<body><div><p>Other layout {i}</div>") for i in range(4)]
+    named = [("http://b.example/", f"<body class='right-sidebar'><div class='content ad-free'><article><p>Text {i}"
+              "<div class=share>Share</div></article></div>") for i in range(4)]
+    block = [("http://c.example/", f"<body class=search><div class='notice page'><p>Long main text number {i}</div>"
+              f"<h6>{i}</h6>") for i in range(4)]
+    assert pulled(spark, article + plain + named + block) == [
+        f"{x} {i}" for x in ("Article", "Other layout", "Text", "Long main text number") for i in range(4)]
+
+
 def test_wrapper_is_union_free():
     tree = wrappers.merged(wrappers.structure("<ul><li>a<li>b</ul><p>x</p><h2>t</h2><p>y</p><h2>u</h2><p>z"),
                            wrappers.structure("<p>x</p><table><tr><td>1</table>"))
