@@ -43,7 +43,7 @@ DEPTH = 200
 BLOCKS = frozenset("""html head title body header footer nav aside main article section div p h1 h2 h3 h4 h5 h6 ul ol li
 dl dt dd table caption thead tbody tfoot tr td th form fieldset blockquote pre figure figcaption address details summary
 hr center menu dialog""".split())
-RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|select|button|canvas|audio|video|head"
+RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|select|button|canvas|audio|video"
 CLOSES_PARAGRAPH = BLOCKS - frozenset("html head title body td th tr thead tbody tfoot caption".split())
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
                "th": {"td", "th"}}
@@ -57,7 +57,8 @@ contentinfo masthead""".split())
 MAIN = frozenset(("article", "main"))
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
+    rf"|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*(?:>|\Z)",
     re.S | re.I)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
@@ -73,7 +74,9 @@ def texts(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
     def flush() -> Iterator[tuple[tuple[str, ...], str]]:
         text = " ".join(entities.unescape("".join(run)).split())
         run.clear()
-        if text:
+        if text and "title" not in kinds:
+            if "head" in kinds:  # text ends the head
+                pop_to(kinds.index("head"))
             yield tuple(open_), text
 
     def pop_to(at: int) -> None:
@@ -93,6 +96,8 @@ def texts(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
             if tag in kinds:
                 pop_to(len(kinds) - 1 - kinds[::-1].index(tag))
             continue
+        if tag not in ("html", "head", "title") and "head" in kinds:
+            pop_to(kinds.index("head"))
         if tag in CLOSES_PARAGRAPH and "p" in kinds:
             pop_to(len(kinds) - 1 - kinds[::-1].index("p"))
         closes = SAME_CLOSES.get(tag, ())
@@ -304,7 +309,7 @@ def _set_aside(path: list[str], unnamed: int = 0) -> bool:
     inside = False
     for i, name in enumerate(path):
         tag, _, names = name.partition(" ")
-        if tag in NOT_MAIN and (tag != "form" or i >= unnamed) or tag in ("title", "head") or (
+        if tag in NOT_MAIN and (tag != "form" or i >= unnamed) or (
                 tag == "header" and not inside):
             return True
         if i >= unnamed and tag not in ("html", "body") and NOT_MAIN_WORDS & set(re.split(r"[^a-z]+", names)):

@@ -465,6 +465,17 @@ def test_extraction_chooses_by_layout(spark):
         f"{x} {i}" for x in ("Article", "Other layout", "Text", "Long main text number") for i in range(4)]
 
 
+def test_extraction_of_open_heads_and_closed_drawings():
+    def read(page):
+        return [(path[-1] if path else "", text) for path, text in wrappers.texts(page)]
+
+    assert read("<html><head><title>t</title><script>a<p></script><body><p>One") == [("p", "One")]
+    assert read("<html><head><title>t</title><meta x><p>One<p>Two") == [("p", "One"), ("p", "Two")]
+    assert read("<html><head><title>t</title>Bare <b>text</b><p>One") == [("html", "Bare text"), ("p", "One")]
+    assert read("<head><title>t</title></head><body><p>One <svg width='1'/>two <math/>three</p><svg><g/>x</svg>") == [
+        ("p", "One two three")]
+
+
 def test_wrapper_is_union_free():
     tree = wrappers.merged(wrappers.structure("<ul><li>a<li>b</ul><p>x</p><h2>t</h2><p>y</p><h2>u</h2><p>z"),
                            wrappers.structure("<p>x</p><table><tr><td>1</table>"))
