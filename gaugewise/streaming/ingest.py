@@ -11,13 +11,22 @@ from gaugewise.session import fresh_path
 from gaugewise.sources.io import stream_results
 
 
+#: Without these a reading cannot be placed or told from its repeats; a missing temperature is evidence and passes.
+NEEDED = ("reading_id", "station_id", "ts", "pressure", "humidity")
+
+
 def validated(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Complete readings, each reading_id once: repeats within the watermark delay are dropped."""
-    ok = check_required(stream, ("station_id", "ts", "pressure", "humidity")).where("complete")
+    ok = check_required(stream, NEEDED).where("complete")
     return ok.drop("missing_fields", "complete").withWatermark("ts", delay).dropDuplicatesWithinWatermark(
         ["reading_id"])
 
 
+def quarantined(stream: DataFrame) -> DataFrame:
+    """The readings that ``validated`` leaves out as incomplete, all of them, with ``missing_fields``."""
+    return check_required(stream, NEEDED).where("not complete").drop("complete")
+
+
 def station_windows(stream: DataFrame, width: str, slide: str | None = None, delay: str = "1 hour") -> DataFrame:
     """Tumbling or sliding means per station; a window is emitted once, when the watermark closes it."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
@@ -43,6 +52,12 @@ def run_to_table(stream: DataFrame, name: str) -> tuple[DataFrame, StreamingQuer
     return spark.read.schema(stream.schema).parquet(out), q
 
 
+def run_validated(stream: DataFrame, name: str, delay: str = "1 hour") -> tuple[DataFrame, DataFrame]:
+    """Drive a stream into a table of complete readings without repeats and, next to it, one of incomplete readings."""
+    good, _ = run_to_table(validated(stream, delay), name)
+    return good, run_to_table(quarantined(stream), f"{name}-quarantine")[0]
+
+
 def dropped_late(q: StreamingQuery) -> int:
     """Rows (after partial aggregation) that arrived behind the watermark."""
     return sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])

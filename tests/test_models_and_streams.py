@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugewise.operators import inject, models, signals
 from gaugewise.sources import fixtures as fx, io
-from gaugewise.streaming import online
+from gaugewise.streaming import ingest, online
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,3 +53,16 @@ def test_result_lookup_reaches_the_scan(spark, tmp_path):
     found = io.result_for(spark.read.parquet(path), "R7")
     assert [r.id for r in found.collect()] == [7]
     assert "EqualTo(reading_id,R7)" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_incomplete_readings_are_quarantined(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    ddl = "reading_id string, station_id string, ts timestamp, temperature double, pressure double, humidity double"
+    spark.sql("""SELECT * FROM VALUES ('a', 's', timestamp'2024-01-01', 1d, 2d, 3d), ('a', 's', timestamp'2024-01-01', 1d,
+      2d, 3d), ('b', 's', timestamp'2024-01-01', NULL, 2d, 3d), ('c', NULL, timestamp'2024-01-01', 1d, NULL, 3d),
+      ('d', 's', NULL, 1d, 2d, 3d), ('d', 's', NULL, 1d, 2d, 3d), (NULL, 's', timestamp'2024-01-01', 1d, 2d, NULL)
+      AS t(reading_id, station_id, ts, temperature, pressure, humidity)""").write.parquet(path)
+    good, bad = ingest.run_validated(spark.readStream.schema(ddl).parquet(path), "validated")
+    assert sorted(r["reading_id"] for r in good.collect()) == ["a", "b"]
+    assert sorted((r["reading_id"] or "", tuple(r["missing_fields"])) for r in bad.collect()) == [
+        ("", ("reading_id", "humidity")), ("c", ("station_id", "pressure")), ("d", ("ts",)), ("d", ("ts",))]
