@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugewise.llm import ann, jaccard_join, licences, linededup, mixing, packing, quality, toxicity, winnowing, wrappers
+from gaugewise.llm import (
+    ann, jaccard_join, licences, linededup, merkle, mixing, packing, quality, toxicity, winnowing, wrappers)
 from gaugewise.llm.common import table, text_or_empty
 from gaugewise.session import tune
 
@@ -168,3 +169,54 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = wrappers.extracted(table(spark, sf_dir, "pages"))
     return rows.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def _manifest_sql(fanout: int = merkle.FANOUT) -> str:
+    """Lists of digests by level, grown by a recursive query over sources, then over the sources' last nodes."""
+    part = "coalesce(strlen({0}::varchar) || ':' || {0}::varchar, '-')"
+    parents = f"""list_transform(range(0, (len(hs) + {fanout - 1}) // {fanout}),
+      lambda i: sha256(array_to_string(hs[{fanout} * i + 1:{fanout} * i + {fanout}], '')))"""
+    head = " || ".join(part.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
+    def siblings(i: str) -> str:
+        own, run = f"({i} // power)", f"({i} // power // {fanout} * {fanout})"
+        return (f"{{'b': array_to_string(hs[{run} + 1:{own}], ''), "
+                f"'a': array_to_string(hs[{own} + 2:{run} + {fanout}], '')}}")
+
+    return rf"""
+with recursive d as (
+  select doc_id, source, row_number() over () as r, sha256({head} || {part.format("text")}) as leaf,
+    sha256({head} || {part.format("replace(text, chr(10), '')")}) as short,
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''),
+      lambda c: ascii(c)::bigint)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda x, y: xor(x >> 1, (x & 1) * 3988292384::bigint))), 4294967295) % 2 = 0 as even from documents),
+f as (select *, case when even then short else leaf end as tampered,
+        row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i from d),
+lists as (
+  select source, 0 as level, 1::bigint as power, list(leaf order by i) as hs from f group by source
+  union all select source, level + 1, power * {fanout}, {parents} from lists where len(hs) > 1),
+subs as (select source, hs[1] as subroot, row_number() over (order by source nulls first) - 1 as j
+         from lists where len(hs) = 1),
+tops as (
+  select 0 as level, 1::bigint as power, list(subroot order by j) as hs from subs
+  union all select level + 1, power * {fanout}, {parents} from tops where len(hs) > 1),
+steps as (
+  select r, level, {siblings("i")} as s from f join lists on f.source is not distinct from lists.source and len(hs) > 1
+  union all
+  select r, 1000 + level, {siblings("j")} from f join subs on f.source is not distinct from subs.source, tops
+  where len(hs) > 1),
+paths as (select r, list(s order by level) as path from steps group by r),
+out as (
+  select doc_id, leaf, subroot, (select hs[1] from tops where len(hs) = 1) as root, tampered,
+    coalesce(path, []) as path from f join subs on f.source is not distinct from subs.source left join paths using (r)),
+folded as (
+  select *, list_reduce(list_prepend({{'b': tampered, 'a': ''}}, path),
+    lambda h, s: {{'b': sha256(s.b || h.b || s.a), 'a': ''}}).b as folded_root from out)
+select doc_id, leaf, subroot, root,
+  sha256(array_to_string(list_transform(path, lambda s: s.b || s.a), '')) as proof_sha256,
+  folded_root, folded_root = root as verified from folded"""
+
+
+@query("op13_manifest", _manifest_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked(table(spark, sf_dir, "documents"))
