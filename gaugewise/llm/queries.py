@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gaugewise.llm import (
-    ann, jaccard_join, licences, linededup, merkle, mixing, packing, quality, toxicity, winnowing, wrappers)
+    ann, dualtree, jaccard_join, licences, linededup, merkle, mixing, packing, quality, toxicity, warc, winnowing,
+    wrappers)
 from gaugewise.llm.common import table, text_or_empty
-from gaugewise.session import tune
+from gaugewise.session import fresh_path, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -220,3 +221,42 @@ select doc_id, leaf, subroot, root,
 @query("op13_manifest", _manifest_sql())
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.checked(table(spark, sf_dir, "documents"))
+
+
+@query("op12_warc", f"""
+with p as (select page_id, coalesce(html, '') as html from pages),
+f as (select page_id, strlen(html)::bigint as payload_bytes, sha256(html) as payload_digest,
+        row_number() over (partition by html order by page_id nulls last) as r,
+        min(page_id) over (partition by html) as first from p)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes < {warc.LEAST} or r = 1 then 'response' else 'revisit' end as record_type,
+  case when payload_bytes >= {warc.LEAST} and r > 1 then first end as refers_to from f""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).drop("url")
+
+
+def _search_sql() -> str:
+    terms = (f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+             f"'abcdefghijklmnopqrstuvwxyz'), '{dualtree.WORD}')")
+    return rf"""
+with d as (select row_number() over () as r, doc_id, {terms} as ws from documents),
+tf as (select r, w, count(*)::bigint as tf from (select r, unnest(ws) as w from d) group by r, w),
+total as (select count(*)::bigint as docs, sum(len(ws))::bigint as words from d where len(ws) > 0),
+weight as (select w, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)))::bigint as weight
+           from tf, total group by w, docs),
+item as (select i, item_id, w, count(*)::bigint as n from (
+           select row_number() over () as i, item_id, unnest({terms}) as w from benchmark) group by i, item_id, w),
+length as (select r, doc_id, 25 + (75 * len(ws)::bigint * docs) // words as m from d, total where len(ws) > 0),
+scored as (
+  select i, item_id, r, doc_id, sum(n * weight * ((1000000000::bigint * tf) // (1000 * tf + 8 * m)))::bigint as score
+  from item join weight using (w) join tf using (w) join length using (r) group by i, item_id, r, doc_id),
+ranked as (select *, row_number() over (partition by i order by score desc, doc_id nulls last)::int as rank
+           from scored where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= {dualtree.K}"""
+
+
+@query("op11_search", _search_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dualtree.searched(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
