@@ -104,13 +104,13 @@ def manifest(rows: DataFrame, fanout: int = FANOUT) -> DataFrame:
     rows = stage(rows.select("g", "key", F.unhex("leaf").alias("h"), "x", F.monotonically_increasing_id().alias("r")),
                  "leaves")
     order = [F.col(c).asc_nulls_first() for c in ("key", "h", "r")]
-    sizes = rows.groupBy("g").agg(F.count("*").alias("n"))
-    nodes = stage(placed(rows, order, F.lit(1).cast("long"), "leaf-ranges", "g").withColumnRenamed("place", "i").select(
-        "g", "i", "h", "x"), "places").join(sizes, "g")
+    # The groups' sizes come with the places; a join on the group alone would bring each group into one task.
+    nodes = stage(placed(rows, order, F.lit(1).cast("long"), "leaf-ranges", "g").select(
+        "g", F.col("place").alias("i"), F.col("whole").alias("n"), "h", "x"), "places")
     levels, tops = _grown(nodes, "level", fanout)
     tops = stage(tops, "subroots")
     over = placed(tops.select("g", "h", "height"), [F.col("g")], F.lit(1).cast("long"), "subroot-ranges")
-    over = over.select(F.lit("").alias("g"), F.col("place").alias("i"), F.lit(tops.count()).cast("long").alias("n"), "h",
+    over = over.select(F.lit("").alias("g"), F.col("place").alias("i"), F.col("whole").alias("n"), "h",
                        F.struct("g", "height").alias("x"))
     top_levels, top = _grown(over, "top-level", fanout)
     last = top.first()

@@ -9,7 +9,8 @@ from gaugewise.llm.common import stage
 
 
 def placed(rows: DataFrame, order: list[Column], amount: Column, name: str, group: str | None = None) -> DataFrame:
-    """Adds ``place``: the sum of ``amount`` over all rows before this one in ``order``, within its ``group``.
+    """Adds ``place``: the sum of ``amount`` over all rows before this one in ``order``, within its ``group``, and ``whole``,
+    the group's sum.
 
     Rows are dealt into ranges of (group, order), so a group with a third of all rows is many ranges; each range sums
     its own rows and starts from the totals of the ranges before it. ``order`` should tell all rows apart, so that
@@ -19,9 +20,10 @@ def placed(rows: DataFrame, order: list[Column], amount: Column, name: str, grou
         "range", F.spark_partition_id()), name)
     own = ["range", *([group] if group else [])]
     totals = rows.groupBy(*own).agg(F.sum("amount").alias("total"))
-    earlier = Window.partitionBy(*([group] if group else [])).orderBy("range").rowsBetween(
-        Window.unboundedPreceding, -1)
-    totals = totals.select(*own, F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
+    every = Window.partitionBy(*([group] if group else []))
+    earlier = every.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*own, F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"), F.sum("total").over(
+        every).alias("whole"))
     within = Window.partitionBy(*own).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("amount").over(within), F.lit(0)))
     return rows.join(totals, own).withColumn("place", F.col("base") + F.col("within")).drop(

@@ -122,7 +122,7 @@ class _Files:
             self.name = f"part-{self.shard:05d}-{len(self.done):05d}.warc.gz"
             self.temporary = f"_temporary/{uuid.uuid4().hex}-{self.name}"
             self.fs.create_dir(f"{self.folder}/_temporary", recursive=True)
-            self.out = self.fs.open_output_stream(f"{self.folder}/{self.temporary}")
+            self.out = self.fs.open_output_stream(f"{self.folder}/{self.temporary}", compression=None)
             self.sha, self.bytes, self.records = hashlib.sha256(), 0, 0
             block = b"software: gaugewise\r\nformat: WARC File Format 1.1\r\n"
             self._write(_member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(None, self.name.encode(), 0)),
@@ -277,7 +277,7 @@ def _reader(folder: str, payloads: bool, schema: pa.Schema):
         for batch in batches:
             for file in batch.to_pylist():
                 sha, found, rows, held = hashlib.sha256(), 0, [], 0
-                with store.open_input_stream(f"{path}/{file['name']}") as source:
+                with store.open_input_stream(f"{path}/{file['name']}", compression=None) as source:
                     for record in _members(source, sha):
                         headers, block = parsed(record)
                         if headers["WARC-Type"] == "warcinfo":
