@@ -97,20 +97,31 @@ class Config:
     # Centring constants: rolling sums are kept on x - centre, which keeps variances accurate.
     centre: dict[str, float] = field(default_factory=lambda: _per_variable(15.0, 1005.0, 65.0))
     std_floor: float = 1e-5
-    # physical layout: the span of one station's history that a single task sorts; ``plans.evaluate``
-    # narrows both when the busiest station-day would exceed ``max_rows_per_task``
+    # physical layout: the span of one station's history that a single task sorts; ``plans.evaluate`` narrows
+    # all of them when the busiest station would exceed ``max_rows_per_task``
     chunk_us: int = US_PER_DAY
     bucket_us: int = US_PER_DAY
+    align_us: int = 3 * US_PER_HOUR
+    quantile_us: int = 7 * US_PER_DAY
     max_rows_per_task: int = 2_000_000
     salts: int = 8
 
-    def sized_for(self, busiest_day_rows: int, busiest_share: float, partitions: int) -> Config:
-        """A copy whose chunks and buckets hold at most ``max_rows_per_task`` rows of the busiest station,
-        and whose salts spread a station with more than a fair share of all rows."""
-        hours = next((h for h in (24, 12, 8, 6, 4, 3, 2)
-                      if busiest_day_rows * h <= 24 * self.max_rows_per_task), 1)
-        salts = min(64, max(1, math.ceil(2 * busiest_share * partitions)))
-        return replace(self, chunk_us=hours * US_PER_HOUR, bucket_us=hours * US_PER_HOUR, salts=salts)
+    def chunk_for(self, span_us: int, rows_per_hour: float) -> int:
+        """The longest even part of ``span_us``, in whole seconds, that holds at most ``max_rows_per_task`` rows."""
+        seconds = span_us // US_PER_SECOND
+        most = self.max_rows_per_task * 3600 / max(rows_per_hour, 1e-9)
+        parts = max(1, math.ceil(seconds / max(most, 1.0)))
+        return seconds // next(p for p in range(parts, seconds + 1) if seconds % p == 0) * US_PER_SECOND
+
+    def sized_for(self, busiest_hour_rows: int, busiest_share: float, partitions: int, asked_hour_rows: int = 0) -> Config:
+        """A copy whose chunks and buckets hold at most ``max_rows_per_task`` rows of the busiest station-hour's rate,
+        and whose salts spread a station with more than a fair share of all rows. ``asked_hour_rows``: the most that
+        one station's hour has of its own readings and of readings that ask it as a neighbour."""
+        day = self.chunk_for(US_PER_DAY, busiest_hour_rows)
+        week = self.chunk_for(self.hist_window_us, busiest_hour_rows)
+        return replace(self, chunk_us=day, bucket_us=day, quantile_us=week, align_us=self.chunk_for(
+            self.time_tol_us, max(asked_hour_rows, busiest_hour_rows)), salts=max(1, math.ceil(
+                2 * busiest_share * partitions)))
 
 
 DEFAULT = Config()

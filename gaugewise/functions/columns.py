@@ -6,12 +6,21 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, functions as F
 
+from gaugewise.config import Config
+
 
 def micros(ts: Column) -> Column:
     """Event time as epoch microseconds, the order key of every time frame."""
     return F.unix_micros(ts)
 
 
+def usable(v: str, cfg: Config) -> str:
+    """SQL text of a value that other readings may rely on: present, finite and within its physical bounds, else NULL.
+    Every history and neighbour sum takes its values through this, so that a sentinel or NaN stays with its own reading."""
+    lo, hi = cfg.bounds[v]
+    return f"if({v} between {lo}D and {hi}D, {v}, null)"
+
+
 def clip01(x: Column) -> Column:
     """Clip to [0, 1], keeping NULL (least/greatest alone would skip it)."""
     return F.when(x.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)))

@@ -2,64 +2,135 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 
-def interpolated(values: list[float], q: float) -> float:
-    """Linear-interpolation quantile of an ordered list."""
-    pos = q * (len(values) - 1)
-    low = int(pos)
-    if low + 1 >= len(values):
-        return values[low]
-    return values[low] + (pos - low) * (values[low + 1] - values[low])
+class Sequence:
+    """Ranks in a fixed order, ready to count those below a bound within any range: a wavelet matrix, one level of
+    prefix counts for each bit of a rank. ``weights``: how often each rank stands (else once)."""
+
+    def __init__(self, ranks: np.ndarray, bits: int, weights: np.ndarray | None = None) -> None:
+        self.levels = []
+        for bit in reversed(range(bits)):
+            zero = (ranks >> bit) & 1 == 0
+            before = np.concatenate(([0], np.cumsum(zero)))
+            heavy = before if weights is None else np.concatenate(([0], np.cumsum(np.where(zero, weights, 0))))
+            self.levels.append((before, heavy))
+            order = np.concatenate((np.flatnonzero(zero), np.flatnonzero(~zero)))
+            ranks = ranks[order]
+            weights = None if weights is None else weights[order]
+
+
+Ranges = list[tuple[np.ndarray, np.ndarray]]
+
+
+def nth_ranks(sequences: list[Sequence], ranges: Ranges, n: np.ndarray, bits: int) -> np.ndarray:
+    """For each query the ``n``-th smallest rank (from 0) among its ranges of all sequences together."""
+    out = np.zeros(len(n), np.int64)
+    for i in range(bits):
+        levels = [s.levels[i] for s in sequences]
+        low = sum(heavy[hi] - heavy[lo] for (_, heavy), (lo, hi) in zip(levels, ranges))
+        up = n >= low
+        n = n - np.where(up, low, 0)
+        out = out * 2 + up
+        ranges = [tuple(np.where(up, before[-1] + at - before[at], before[at]) for at in pair)
+                  for (before, _), pair in zip(levels, ranges)]
+    return out
 
 
 @dataclass
 class QuantileScan:
-    """Quantiles over [t - width, t) for rows sorted by (station, chunk, t); one frame in memory."""
+    """Quantiles over [t - width, t) for groups of rows sorted by (station, chunk, kind, t).
+
+    A chunk's own rows (kind 2) enter its frames one by one, the rows of the first chunk its frames reach (kind 1) leave
+    them one by one, and the chunks between stand in all of them, as counted values (kind 0). So a frame is one range
+    of each, and order statistics of ranges come from ``nth_ranks`` for all rows at once. Whole groups are in memory, at
+    least ``block`` rows at a time; the chunk length bounds a group.
+    """
 
     variables: tuple[str, ...]
     quantiles: tuple[float, ...]
     width: int
+    chunk: int
     min_rows: int
-    keep: list[str]
     names: list[str]
-
-    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, window, pending = None, deque(), []
-        ordered: list[list[float]] = [[] for _ in self.variables]
-        for pdf in batches:
-            found: list[list[float | None]] = []
-            for station, c, t, own, *xs in zip(
-                    *[pdf[k] for k in ("station_id", "_c", "t", "_own", *self.variables)]):
-                if (station, c) != group:
-                    group, pending = (station, c), []
-                    window.clear()
-                    for values in ordered:
-                        values.clear()
-                if pending and pending[-1][0] < t:
-                    window.extend(pending)
-                    for _, items in pending:
-                        for values, x in zip(ordered, items):
-                            if x == x:
-                                insort(values, x)
-                    pending = []
-                while window and window[0][0] < t - self.width:
-                    for values, x in zip(ordered, window.popleft()[1]):
-                        if x == x:
-                            del values[bisect_left(values, x)]
-                pending.append((t, xs))
-                if own:
-                    found.append([interpolated(values, q) if len(values) >= self.min_rows else None
-                                  for values in ordered for q in self.quantiles])
-            mine = pdf.loc[pdf["_own"], self.keep].reset_index(drop=True)
-            yield mine.join(pd.DataFrame(found, columns=self.names, dtype="float64"))
+    block: int = 65_536
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, wanted = [], 0, self.block
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < wanted:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            cut = int(np.flatnonzero(self._begins(table))[-1])
+            if cut:
+                yield self._scanned(table.slice(0, cut))
+            held, rows = table.slice(cut).to_batches(), rows - cut
+            wanted = max(self.block, 2 * rows)  # a group that goes on is not taken apart for every batch
+        if rows:
+            yield self._scanned(pa.Table.from_batches(held))
+
+    def _begins(self, table: pa.Table) -> np.ndarray:
+        """Which rows begin a group."""
+        station = table["station_id"].combine_chunks().dictionary_encode()
+        station = station.chunk(0) if isinstance(station, pa.ChunkedArray) else station
+        station, chunk = station.indices.fill_null(-1).to_numpy(), table["_c"].to_numpy()
+        return np.concatenate(([True], (station[1:] != station[:-1]) | (chunk[1:] != chunk[:-1])))
+
+    def _scanned(self, table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        group, kind = np.cumsum(self._begins(table)) - 1, table["_kind"].to_numpy()
+        # Leaving rows are one width older, so both count time from the start of their own chunk.
+        back = np.where(kind == 1, self.width // self.chunk, 0)
+        at = group * self.chunk + table["t"].to_numpy() - (table["_c"].to_numpy() - back) * self.chunk
+        row = table["_row"].combine_chunks()
+        row = (row.chunk(0) if isinstance(row, pa.ChunkedArray) else row).filter(pa.array(kind == 2))
+        which, n = table["_v"].to_numpy(), table["_n"].to_numpy()
+        columns = row.flatten()
+        for i, v in enumerate(self.variables):
+            x = table[f"_u_{v}"].to_numpy()
+            parts = [np.flatnonzero((kind == k) & np.isfinite(x)) for k in (1, 2)]
+            parts.append(np.flatnonzero((kind == 0) & (which == i)))
+            columns += self._quantiles(x, group, at, n, np.flatnonzero(kind == 2), *parts)
+        return pa.RecordBatch.from_arrays(columns, [*(f.name for f in row.type), *self.names])
+
+    def _quantiles(self, x: np.ndarray, group: np.ndarray, at: np.ndarray, n: np.ndarray, own: np.ndarray,
+                   leave: np.ndarray, enter: np.ndarray, counted: np.ndarray) -> list[pa.Array]:
+        """One column for each quantile. ``own``, ``leave``, ``enter``, ``counted``: row numbers by their part."""
+        frames, when = group[own], at[own]
+        sides = [(np.searchsorted(at[leave], when), np.searchsorted(group[leave], frames, "right")),
+                 (np.searchsorted(group[enter], frames), np.searchsorted(at[enter], when))]
+        # An enter row of a later group is past every time of this one, so ranges stay within their group.
+        size = sum(hi - lo for lo, hi in sides)
+        if len(counted):
+            sides.append((np.searchsorted(group[counted], frames), np.searchsorted(group[counted], frames, "right")))
+            heavy = np.concatenate(([0], np.cumsum(n[counted])))
+            size = size + heavy[sides[2][1]] - heavy[sides[2][0]]
+        full = np.flatnonzero(size >= max(self.min_rows, 1))
+        out = np.full((len(self.quantiles), len(own)), np.nan)
+        if len(full):
+            domain, ranks = np.unique(x[np.concatenate((leave, enter, counted))], return_inverse=True)
+            bits = int(len(domain) - 1).bit_length()
+            cuts = np.cumsum([len(leave), len(enter)])
+            ranks = np.split(ranks.reshape(-1), cuts)[:len(sides)]
+            matrices = [Sequence(r, bits, n[counted] if k == 2 else None) for k, r in enumerate(ranks)]
+            for begin in range(0, len(full), self.block):
+                some = full[begin:begin + self.block]
+                ranges = [(lo[some], hi[some]) for lo, hi in sides]
+                for k, q in enumerate(self.quantiles):
+                    place = q * (size[some] - 1)
+                    low = place.astype(np.int64)
+                    a, b = (domain[nth_ranks(matrices, ranges, np.minimum(nth, size[some] - 1), bits)]
+                            for nth in (low, low + 1))
+                    out[k, some] = a + (place - low) * (b - a)
+        return [pa.array(q, mask=np.isnan(q)) for q in out]
 
 
 @dataclass

@@ -20,18 +20,22 @@ def genuineness(scores: dict[str, Column], weights: dict[str, float]) -> Column:
 
 
 def with_genuineness(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Add ``g``. A run of missing values is direct evidence of a dead channel: g = 0, coverage = 1."""
+    """Add ``g``. A run of missing values is direct evidence of a dead channel, and a physically impossible value
+    of a broken one: g = 0, coverage = 1."""
     g = genuineness({n: F.col(n) for n in cfg.weights}, cfg.weights)
     return df.withColumns({
-        "g": F.when(F.col("missing_run"), 0.0).otherwise(g),
-        "coverage": F.when(F.col("missing_run"), 1.0).otherwise(F.col("coverage"))})
+        "g": F.when(broken(), 0.0).otherwise(g), "coverage": F.when(broken(), 1.0).otherwise(F.col("coverage"))})
+
+
+def broken() -> Column:
+    return F.col("missing_run") | F.col("impossible")
 
 
 def decide(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """``uncertain`` is tested before either verdict, so thin or conflicting evidence is never forced."""
     unsure = (F.col("g").isNull() | (F.col("coverage") < cfg.min_coverage - 1e-9)
               | F.coalesce(F.col("conflict") > cfg.max_conflict, F.lit(False)))
-    verdict = (F.when(F.col("missing_run"), "sensor_fault").when(unsure, "uncertain")
+    verdict = (F.when(broken(), "sensor_fault").when(unsure, "uncertain")
                .when(F.col("g") >= cfg.genuine_min, "genuine_weather")
                .when(F.col("g") <= cfg.fault_max, "sensor_fault").otherwise("uncertain"))
     return df.withColumn("decision", F.when(F.col("anomaly"), verdict))
@@ -52,15 +56,16 @@ def evidence_support(df: DataFrame) -> DataFrame:
     return df.withColumns(out)
 
 
-def calculate_trust_score(anomaly_score: Column, g: Column) -> Column:
-    """Trust 0..100. The anomaly score only acts through missing genuineness, so a rare but
-    corroborated reading keeps a high trust; no evidence counts as no corroboration."""
-    raw = 100 * (1 - anomaly_score * (1 - F.coalesce(g, F.lit(0.0))))
+def calculate_trust_score(anomaly_score: Column, g: Column, coverage: Column) -> Column:
+    """Trust 0..100. The anomaly score only acts through missing genuineness, so a rare but corroborated reading
+    keeps a high trust. Genuineness counts as far as evidence covers it: what is absent corroborates nothing."""
+    raw = 100 * (1 - anomaly_score * (1 - F.coalesce(g * coverage, F.lit(0.0))))
     return F.least(F.greatest(round_half_up(raw), F.lit(0)), F.lit(100)).cast("int")
 
 
 def with_trust(df: DataFrame) -> DataFrame:
-    return df.withColumn("trust_score", calculate_trust_score(F.col("anomaly_score"), F.col("g")))
+    return df.withColumn("trust_score", calculate_trust_score(
+        F.col("anomaly_score"), F.col("g"), F.col("coverage")))
 
 
 def trusted(df: DataFrame, min_trust: int) -> DataFrame:
@@ -82,6 +87,7 @@ def explain(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         sentence(c("x").isNull() & ~c("missing_run"), focus, F.lit(" is missing")),
         sentence(c("x").isNotNull(), focus, F.lit(" has anomaly score "), _whole(c("anomaly_score") * 100),
                  F.lit("/100")),
+        sentence(c("impossible"), focus, F.lit(" is outside its physical limits")),
         sentence(c("temporal") < cfg.fault_max, focus, F.lit(" changed faster than expected")),
         sentence(c("temporal") >= cfg.genuine_min, focus, F.lit(" changed at a plausible rate")),
         sentence(c("cross_station") < cfg.fault_max, F.lit("Nearby stations disagree: consensus around "),

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gaugewise.config import DEFAULT, US_PER_SECOND, VARIABLES, Config
-from gaugewise.functions.columns import safe_div
+from gaugewise.functions.columns import safe_div, usable
 from gaugewise.operators.features import TAU, adjacent, centred, per_variable
-from gaugewise.operators.quality import day_chunk, median_cadence, with_gap
+from gaugewise.operators.quality import day_chunk, median_cadence, out_of_bounds, with_gap
 from gaugewise.operators.timeline import lookup, rolling_sums, running, with_adjacent
 
 ARCHETYPES = ("dropout", "frozen", "spike", "jump", "drift", "noise", "bias", "inconsistent")
@@ -44,9 +44,15 @@ def with_cadence(df: DataFrame, cfg: Config = DEFAULT, source: DataFrame | None
     return lookup(df, median_cadence(gaps), ["station_id"], cfg.salts)
 
 
+def impossible_run(v: str, cfg: Config) -> Column:
+    """A value out of bounds next to another reading without a usable value: a sentinel where values are missing."""
+    return out_of_bounds(v, cfg) & _true((F.col("prev_t").isNotNull() & F.col(f"prev_{v}").isNull()) | (
+        F.col("next_t").isNotNull() & F.col(f"next_{v}").isNull()))
+
+
 def dropout(v: str, cfg: Config) -> Column:
     gap = F.floor((F.col("t") - F.col("prev_t")) / 1_000_000)
-    return F.col(v).isNull() | _true(gap > cfg.dropout_factor * F.col("cadence_s"))
+    return F.col(v).isNull() | impossible_run(v, cfg) | _true(gap > cfg.dropout_factor * F.col("cadence_s"))
 
 
 def frozen_runs(df: DataFrame, cfg: Config = DEFAULT, tied_only: bool = False) -> DataFrame:
@@ -55,15 +61,16 @@ def frozen_runs(df: DataFrame, cfg: Config = DEFAULT, tied_only: bool = False) -
     Run numbers come from a chunked running count of changes. Only values equal to a neighbour in time
     can be in a run of two or more, so just those are grouped. A run's pieces are counted per chunk
     first, and the join back is on (station, variable, chunk, run), so an endless run never meets in one
-    task. A run of missing values has length 0. ``tied_only`` leaves out runs of one.
+    task. A run of missing or unusable values has length 0. ``tied_only`` leaves out runs of one.
     """
+    own = {v: usable(v, cfg) for v in VARIABLES}
     order, day = ["t", "reading_id"], day_chunk(cfg)
     near = [f"{p}_{v}" for p in ("prev", "next") for v in VARIABLES]
     base = df if {*near, "prev_t"} <= set(df.columns) else with_adjacent(
         df, ["station_id"], order, 1, day, lambda w: {
-            "prev_t": F.lag("t").over(w), **{f"prev_{v}": F.lag(v).over(w) for v in VARIABLES},
-            **{f"next_{v}": F.lead(v).over(w) for v in VARIABLES}})
-    base = base.select("reading_id", "station_id", "t", "prev_t", *VARIABLES, *near)
+            "prev_t": F.lag("t").over(w), **{f"prev_{v}": F.lag(F.expr(x)).over(w) for v, x in own.items()},
+            **{f"next_{v}": F.lead(F.expr(x)).over(w) for v, x in own.items()}})
+    base = base.select("reading_id", "station_id", "t", "prev_t", *[F.expr(x).alias(v) for v, x in own.items()], *near)
     changes = {f"_run_{v}": ("sum", F.expr(
         f"int(prev_t is null or not ({v} <=> prev_{v}))"), True) for v in VARIABLES}
     rows = per_variable(running(base, ["station_id"], order, day, changes).withColumn("_day", day), {
@@ -90,11 +97,11 @@ def with_residual_history(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     Needs ``idw_<v>``."""
     w, day, sums = cfg.hist_window_us, cfg.persist_window_us, {}
     for v in VARIABLES:
-        r, x = f"({v} - idw_{v})", centred(v, cfg)
+        r, x = f"({usable(v, cfg)} - idw_{v})", centred(v, cfg)
         tau = f"if({r} is null, null, {TAU})"
         sums |= {f"rn_{v}": (f"if({r} is null, 0, 1)", w), f"rs_{v}": (r, w), f"rss_{v}": (f"{r} * {r}", w),
                  f"ru_{v}": (tau, w), f"ruu_{v}": (f"{tau} * {TAU}", w), f"rux_{v}": (f"{TAU} * {r}", w),
-                 f"dayn_{v}": (f"if({v} is null, 0, 1)", day), f"days_{v}": (x, day),
+                 f"dayn_{v}": (f"if({usable(v, cfg)} is null, 0, 1)", day), f"days_{v}": (x, day),
                  f"dayss_{v}": (f"{x} * {x}", day)}
     return rolling_sums(df, ["station_id"], "t", ["t", *VARIABLES, *[f"idw_{v}" for v in VARIABLES]],
                         sums, cfg.bucket_us)

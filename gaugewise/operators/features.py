@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugewise.config import DEFAULT, US_PER_DAY, VARIABLES, Config
-from gaugewise.functions.columns import safe_div
+from gaugewise.functions.columns import safe_div, usable
 from gaugewise.operators.quality import day_chunk
-from gaugewise.operators.timeline import lookup, rolling_sums, with_adjacent
+from gaugewise.operators.timeline import finite, lookup, rolling_sums, with_adjacent
 
 PAIRS = (("temperature", "pressure"), ("temperature", "humidity"), ("pressure", "humidity"))
 # Time axis of the trend in days since this instant (2020-01-01), to keep its squares small.
@@ -22,21 +22,21 @@ def _tau(t: Column) -> Column:
 
 
 def centred(v: str, cfg: Config) -> str:
-    return f"({v} - {cfg.centre[v]}D)"
+    return f"({usable(v, cfg)} - {cfg.centre[v]}D)"
 
 
 def moment_sums(cfg: Config) -> dict[str, tuple[str, int]]:
     w, out = cfg.hist_window_us, {}
     for v in VARIABLES:
         x = centred(v, cfg)
-        out |= {f"n_{v}": (f"if({v} is null, 0, 1)", w), f"s_{v}": (x, w), f"ss_{v}": (f"{x} * {x}", w)}
+        out |= {f"n_{v}": (f"if({usable(v, cfg)} is null, 0, 1)", w), f"s_{v}": (x, w), f"ss_{v}": (f"{x} * {x}", w)}
     return out
 
 
 def trend_sums(cfg: Config) -> dict[str, tuple[str, int]]:
     w, out = cfg.hist_window_us, {}
     for v in VARIABLES:
-        tau = f"if({v} is null, null, {TAU})"
+        tau = f"if({usable(v, cfg)} is null, null, {TAU})"
         out |= {f"u_{v}": (tau, w), f"uu_{v}": (f"{tau} * {TAU}", w), f"ux_{v}": (f"{TAU} * {centred(v, cfg)}", w)}
     return out
 
@@ -47,7 +47,7 @@ def pair_sums(cfg: Config, pairs: tuple[tuple[str, str], ...], width_us: int, ta
     for a, b in pairs:
         xa, xb, name = centred(a, cfg), centred(b, cfg), f"{tag}_{a}_{b}"
         terms = {"n": "1", "a": xa, "b": xb, "aa": f"{xa} * {xa}", "bb": f"{xb} * {xb}", "ab": f"{xa} * {xb}"}
-        out |= {f"{k}_{name}": (f"if({a} is null or {b} is null, null, {e})", width_us)
+        out |= {f"{k}_{name}": (f"if({usable(a, cfg)} is null or {usable(b, cfg)} is null, null, {e})", width_us)
                 for k, e in terms.items()}
     return out
 
@@ -62,7 +62,7 @@ def history(df: DataFrame, cfg: Config = DEFAULT, trend: bool = True,
     sums |= pair_sums(cfg, pairs, cfg.hist_window_us, "hist")
     if recent:
         sums |= pair_sums(cfg, (("temperature", "humidity"),), cfg.corr_window_us, "recent")
-    return rolling_sums(df, ["station_id"], "t", ["t", *VARIABLES], sums, cfg.bucket_us,
+    return rolling_sums(finite(df, list(VARIABLES)), ["station_id"], "t", ["t", *VARIABLES], sums, cfg.bucket_us,
                         source)
 
 
@@ -141,7 +141,7 @@ def rolling_corr(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 
 def adjacent(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Neighbouring values in time (1 back / ahead) and the row blocks on both sides of a reading."""
+    """Neighbouring usable values in time (1 back / ahead) and the row blocks on both sides of a reading."""
     k = cfg.jump_rows
 
     def exprs(w) -> dict[str, Column]:
@@ -150,24 +150,26 @@ def adjacent(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
             out["prev_wind_speed"] = F.lag("wind_speed").over(w)
         before, after = w.rowsBetween(-k, -1), w.rowsBetween(0, k - 1)
         for v in VARIABLES:
-            out |= {f"prev_{v}": F.lag(v).over(w), f"next_{v}": F.lead(v).over(w),
-                    f"pre_n_{v}": F.count(v).over(before), f"pre_mean_{v}": F.avg(v).over(before),
-                    f"pre_std_{v}": F.stddev_samp(v).over(before),
-                    f"post_n_{v}": F.count(v).over(after), f"post_mean_{v}": F.avg(v).over(after)}
+            x = F.expr(usable(v, cfg))
+            out |= {f"prev_{v}": F.lag(x).over(w), f"next_{v}": F.lead(x).over(w),
+                    f"pre_n_{v}": F.count(x).over(before), f"pre_mean_{v}": F.avg(x).over(before),
+                    f"pre_std_{v}": F.stddev_samp(x).over(before),
+                    f"post_n_{v}": F.count(x).over(after), f"post_mean_{v}": F.avg(x).over(after)}
         return out
 
-    return with_adjacent(df, ["station_id"], ["t", "reading_id"], k, day_chunk(cfg), exprs)
+    return with_adjacent(finite(df, list(VARIABLES)), ["station_id"], ["t", "reading_id"], k, day_chunk(cfg), exprs)
 
 
-def diurnal(df: DataFrame) -> DataFrame:
-    """Mean and std per station and hour of day, one column pair per variable."""
+def diurnal(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Mean and std of the usable values per station and hour of day, one column pair per variable."""
     return df.groupBy("station_id", F.hour("ts").alias("hour")).agg(*[
-        e for v in VARIABLES for e in (F.count(v).alias(f"dn_{v}"), F.avg(v).alias(f"dmean_{v}"),
-                                       F.stddev_samp(v).alias(f"dstd_{v}"))])
+        e.alias(f"{name}_{v}") for v in VARIABLES for x in [F.expr(usable(v, cfg))] for name, e in (
+            ("dn", F.count(x)), ("dmean", F.avg(x)), ("dstd", F.stddev_samp(x)))])
 
 
 def with_diurnal_from(df: DataFrame, readings: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    return lookup(df.withColumn("hour", F.hour("ts")), diurnal(readings), ["station_id", "hour"], cfg.salts)
+    return lookup(finite(df, list(VARIABLES)).withColumn("hour", F.hour("ts")), diurnal(readings, cfg),
+                  ["station_id", "hour"], cfg.salts)
 
 
 def with_diurnal(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

@@ -8,11 +8,11 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from gaugewise.config import DEFAULT, VARIABLES, Config
-from gaugewise.functions.columns import clip01, mean_of, safe_div
+from gaugewise.functions.columns import clip01, mean_of, safe_div, usable
 from gaugewise.functions import worker
 from gaugewise.operators.features import history, per_variable, with_moments, zscore
 from gaugewise.operators.quality import out_of_bounds
-from gaugewise.operators.timeline import running
+from gaugewise.operators.timeline import finite, running, union_all
 
 # Worker code travels inside the plan, so executors need no installed copy of the package.
 cloudpickle.register_pickle_by_value(worker)
@@ -29,23 +29,43 @@ def zscore_signal(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 
 def with_rolling_quantiles(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Exact quantiles of the preceding ``hist_window`` per variable, current time excluded.
-
-    A framed ``percentile`` rebuilds and sorts every frame, rows x frame in all. Here each (station,
-    window-long chunk) gets the rows of the chunk before it, sorted by Spark, and a task streams over
-    them keeping one ordered list per variable: only one frame is in memory, never a whole chunk.
+    """Exact quantiles of the usable values of the preceding ``hist_window`` per variable, current time excluded.
+
+    A framed ``percentile`` rebuilds and sorts every frame, rows x frame in all. Here the frames of a (station, chunk of
+    ``quantile_us``) are put together from three parts: the chunk's own rows, which enter, the rows one window before,
+    which leave, and, where the window is several chunks long, the values of the whole chunks between, counted by Spark
+    before they meet. ``worker.QuantileScan`` ranks them all at once, in time that grows with rows x the logarithm
+    of distinct values. A busier station gets shorter chunks (``fit_config``); what does not shrink with them is the
+    number of distinct values of a window.
     """
-    w = cfg.hist_window_us
-    chunk = F.floor(F.col("t") / w).cast("long")
-    copies = F.array(F.struct(chunk.alias("_c"), F.lit(True).alias("_own")),
-                     F.struct((chunk + 1).alias("_c"), F.lit(False).alias("_own")))
-    placed = (df.withColumn("_m", F.explode(copies)).select(*df.columns, "_m._c", "_m._own")
-              .repartition("station_id", "_c").sortWithinPartitions("station_id", "_c", "t"))
-    qs = (cfg.q_lo, 0.25, 0.75, cfg.q_hi)
+    w, c = cfg.hist_window_us, cfg.quantile_us
+    if w % c:
+        raise ValueError("the history window must be a multiple of the quantile chunk")
+    chunk = F.expr(f"(t - pmod(t, {c})) div {c}")
+    df = finite(df, list(VARIABLES))
+    values = [F.expr(usable(v, cfg)).alias(f"_u_{v}") for v in VARIABLES]
+    base = df.select("station_id", "t", chunk.alias("_c"), *values, F.struct(*df.columns).alias("_row"))
+    none = F.lit(None).cast(base.schema["_row"].dataType)
+    blank = [F.lit(-1).alias("_v"), F.lit(0).cast("long").alias("_n")]
+    own = base.select("station_id", "_c", F.lit(2).alias("_kind"), "t", *[f"_u_{v}" for v in VARIABLES], *blank, "_row")
+    leaving = base.select("station_id", (F.col("_c") + w // c).alias("_c"), F.lit(1).alias("_kind"), "t",
+                          *[f"_u_{v}" for v in VARIABLES], *blank, none.alias("_row"))
+    parts = [own, leaving]
+    if w > c:
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("_v"), F.col(f"_u_{v}").alias("_x"))
+                                   for i, v in enumerate(VARIABLES)])).alias("_e")
+        runs = base.select("station_id", "_c", each).select("station_id", "_c", "_e.*").where("_x is not null")
+        runs = runs.groupBy("station_id", "_c", "_v", "_x").agg(F.count(F.lit(1)).alias("_n"))
+        runs = runs.withColumn("_c", F.explode(F.sequence(F.col("_c") + 1, F.col("_c") + (w // c - 1))))
+        runs = runs.groupBy("station_id", "_c", "_v", "_x").agg(F.sum("_n").alias("_n"))
+        parts.append(runs.select("station_id", "_c", F.lit(0).alias("_kind"), (F.col("_c") * c).alias("t"), *[
+            F.when(F.col("_v") == i, F.col("_x")).alias(f"_u_{v}") for i, v in enumerate(VARIABLES)], "_v", "_n",
+            none.alias("_row")))
+    placed = union_all(parts).repartition("station_id", "_c").sortWithinPartitions("station_id", "_c", "_kind", "t")
     added = [f"{q}_{v}" for v in VARIABLES for q in _QUANTILES]
-    schema = T.StructType(df.schema.fields + [T.StructField(c, T.DoubleType()) for c in added])
-    scan = worker.QuantileScan(VARIABLES, qs, w, cfg.min_hist, df.columns, added)
-    return placed.mapInPandas(scan, schema)
+    schema = T.StructType(df.schema.fields + [T.StructField(n, T.DoubleType()) for n in added])
+    return placed.mapInArrow(worker.QuantileScan(
+        VARIABLES, (cfg.q_lo, 0.25, 0.75, cfg.q_hi), w, c, cfg.min_hist, added), schema)
 
 
 def quantile_distance(v: str) -> Column:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugewise.config import DEFAULT, VARIABLES, Config
-from gaugewise.functions.columns import safe_div
+from gaugewise.functions.columns import safe_div, usable
 from gaugewise.functions.physics import haversine_km
 from gaugewise.operators.features import centred, per_variable
-from gaugewise.operators.timeline import around_sums, lookup
+from gaugewise.operators.timeline import around_sums, finite, lookup, seen_around
 
 KM_PER_DEGREE = 111.0  # fixed value, slightly below the true 111.19 so that cells are never too small
 
@@ -52,51 +52,49 @@ def neighbours(stations: DataFrame, km: float) -> DataFrame:
             .select("station_id", "neighbour_id", "km"))
 
 
+def _asked(df: DataFrame, edges: DataFrame, cfg: Config, *columns: Column) -> DataFrame:
+    """Each reading once for each neighbour of its station."""
+    return lookup(df.select("reading_id", "station_id", "t", *columns), edges, ["station_id"], cfg.salts, how="inner")
+
+
+def _own() -> list[Column]:
+    return [F.col(v).alias(f"own_{v}") for v in VARIABLES]
+
+
 def align_neighbours(df: DataFrame, edges: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Per reading and neighbour: count, sum and square sum of each variable within +-``time_tol``.
+    """Per reading and neighbour: count, sum and square sum of each variable's usable values within +-``time_tol``.
 
     Every reading asks each neighbour's timeline once, so the cost is readings x neighbours and does
     not grow with the reporting rate as an interval join of readings with readings would.
     """
-    asked = lookup(df.select("reading_id", "station_id", "t", *[F.col(v).alias(f"own_{v}") for v in VARIABLES]),
-                   edges, ["station_id"], cfg.salts, how="inner")
     seen = df.select(F.col("station_id").alias("neighbour_id"), "t", *VARIABLES)
     sums: dict[str, str] = {}
     for v in VARIABLES:
         x = centred(v, cfg)
-        sums |= {f"an_{v}": f"if({v} is null, 0, 1)", f"as_{v}": x, f"ass_{v}": f"{x} * {x}"}
-    out = around_sums(asked, seen, ["neighbour_id"], "t", cfg.time_tol_us, sums)
+        sums |= {f"an_{v}": f"if({usable(v, cfg)} is null, 0, 1)", f"as_{v}": x, f"ass_{v}": f"{x} * {x}"}
+    out = around_sums(_asked(finite(df, list(VARIABLES)), edges, cfg, *_own()), seen, ["neighbour_id"], "t",
+                      cfg.time_tol_us, sums, cfg.align_us)
     return out.where(" or ".join(f"an_{v} > 0" for v in VARIABLES))
 
 
 def nearest_neighbours(df: DataFrame, edges: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Per reading and neighbour: the neighbour's value nearest in time within +-``time_tol``, per variable
+    """Per reading and neighbour: the neighbour's usable value nearest in time within +-``time_tol``, per variable
     (an earlier value wins a tie). Same columns as ``align_neighbours``, with counts 0 or 1.
 
-    Readings ask the neighbour's timeline within (neighbour, time bucket): one running "last value seen"
-    forwards and one backwards, so again no reading x reading pair is formed.
+    A missing value, a NaN or a sentinel out of bounds is not seen, so the value before or after it is; readings ask
+    the neighbour's timeline by ``seen_around``, so again no reading x reading pair is formed and a busy neighbour
+    spreads over its chunks.
     """
     tol = cfg.time_tol_us
-    bucket = F.floor(F.col("t") / tol).cast("long")
-    asked = lookup(df.select("reading_id", "station_id", "t", *[F.col(v).alias(f"own_{v}") for v in VARIABLES]),
-                   edges, ["station_id"], cfg.salts, how="inner").select(
-        "neighbour_id", bucket.alias("_b"), "t", F.lit(1).alias("_kind"),
-        F.struct("reading_id", "station_id", "km", *[f"own_{v}" for v in VARIABLES]).alias("_row"))
-    seen = df.select(
-        F.col("station_id").alias("neighbour_id"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"),
-        "t", F.lit(0).alias("_kind"), F.col("reading_id").alias("_id"), *VARIABLES)
-    both = asked.unionByName(seen, allowMissingColumns=True).repartition("neighbour_id", "_b")
-    up_to = "rows between unbounded preceding and current row"
-    seek = lambda v, order: (f"last(if({v} is null, null, struct(t, {v} as x)), true) over (partition by neighbour_id, "
-                             f"_b order by {order}, _kind, _id {up_to})")
-    found = both.selectExpr("_row", "t", *[e for v in VARIABLES for e in (
-        f"{seek(v, 't')} as _p_{v}", f"{seek(v, 't desc')} as _n_{v}")]).where("_row is not null")
-    out = ["_row.*", "t"]
+    seen = df.select(F.col("station_id").alias("neighbour_id"), "t", "reading_id", *VARIABLES)
+    near = seen_around(_asked(finite(df, list(VARIABLES)), edges, cfg, *_own()).withColumnRenamed("reading_id", "_asks"),
+                       seen, "neighbour_id", "t", cfg.align_us, {v: usable(v, cfg) for v in VARIABLES}, "reading_id")
+    out = ["_asks as reading_id", "station_id", "t", "km", *[f"own_{v}" for v in VARIABLES]]
     for v in VARIABLES:
         before, after = f"if(t - _p_{v}.t <= {tol}, t - _p_{v}.t, null)", f"if(_n_{v}.t - t <= {tol}, _n_{v}.t - t, null)"
         out.append(f"case when {after} < {before} or {before} is null then if({after} is null, null, _n_{v}.x) "
                    f"else _p_{v}.x end as _x_{v}")
-    near = found.selectExpr(*out)
+    near = near.selectExpr(*out)
     return near.where(" or ".join(f"_x_{v} is not null" for v in VARIABLES)).selectExpr(
         "reading_id", "station_id", "t", *[f"own_{v}" for v in VARIABLES], "km", *[e for v in VARIABLES for e in (
             f"if(_x_{v} is null, 0, 1) as an_{v}", f"coalesce(_x_{v} - {cfg.centre[v]}D, 0D) as as_{v}",
@@ -113,23 +111,18 @@ def aligned_view(df: DataFrame, edges: DataFrame, cfg: Config = DEFAULT) -> Data
 
 
 def asof_neighbours(df: DataFrame, edges: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Per reading and neighbour: the neighbour's latest reading at or before it, at most tol old."""
-    tol = cfg.time_tol_us
-    bucket = F.floor(F.col("t") / tol).cast("long")
-    asked = lookup(df.select("reading_id", "station_id", "t"), edges, ["station_id"], cfg.salts,
-                   how="inner").select("*", bucket.alias("_b"), F.lit(1).alias("_kind"))
-    seen = df.select(
-        F.col("station_id").alias("neighbour_id"), "t", F.lit(0).alias("_kind"),
-        F.explode(F.array(bucket, bucket + 1)).alias("_b"),
-        F.struct("t", F.col("reading_id").alias("id"), *VARIABLES).alias("_seen"))
-    spec = (Window.partitionBy("neighbour_id", "_b").orderBy("t", "_kind")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    both = asked.unionByName(seen, allowMissingColumns=True).withColumn(
-        "_last", F.max("_seen").over(spec))
-    return both.where((F.col("_kind") == 1) & (F.col("t") - F.col("_last.t") <= tol)).select(
-        "reading_id", "station_id", "neighbour_id", "km", F.col("_last.id").alias("neighbour_reading_id"),
-        (F.col("t") - F.col("_last.t")).alias("age_us"),
-        *[F.col(f"_last.{v}").alias(f"neighbour_{v}") for v in VARIABLES])
+    """Per reading and neighbour: the neighbour's latest reading with any usable value at or before it, at most tol
+    old. Values that are not usable are NULL."""
+    values = {v: usable(v, cfg) for v in VARIABLES}
+    any_value = " or ".join(f"{x} is not null" for x in values.values())
+    whole = f"if({any_value}, named_struct({', '.join(f'{v!r}, {x}' for v, x in values.items())}), null)"
+    seen = df.select(F.col("station_id").alias("neighbour_id"), "t", "reading_id", *VARIABLES)
+    found = seen_around(_asked(df, edges, cfg).withColumnRenamed("reading_id", "_asks"), seen, "neighbour_id", "t",
+                        cfg.align_us, {"seen": whole}, "reading_id", ahead=False)
+    return found.where(F.col("t") - F.col("_p_seen.t") <= cfg.time_tol_us).select(
+        F.col("_asks").alias("reading_id"), "station_id", "neighbour_id", "km",
+        F.col("_p_seen.reading_id").alias("neighbour_reading_id"), (F.col("t") - F.col("_p_seen.t")).alias("age_us"),
+        *[F.col(f"_p_seen.x.{v}").alias(f"neighbour_{v}") for v in VARIABLES])
 
 
 def consensus(aligned: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -170,7 +163,7 @@ def with_consensus(df: DataFrame, stations: DataFrame, cfg: Config = DEFAULT,
     """Attach the consensus columns; ``source`` may be a cheaper frame with the same readings."""
     edges = neighbours(stations, cfg.radius_km)
     found = consensus(nearest_neighbours(df if source is None else source, edges, cfg), cfg)
-    out = df.join(found, "reading_id", "left")
+    out = finite(df, list(VARIABLES)).join(found, "reading_id", "left")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for v in VARIABLES
                             for c in (f"nn_{v}", f"agree_{v}")})
 

@@ -87,39 +87,98 @@ def around_sums(
     t: str,
     tol_us: int,
     sums: dict[str, str],
+    bucket_us: int | None = None,
 ) -> DataFrame:
     """Add to each probe the sums over events of the same key with time in [t - tol, t + tol].
 
-    The same running-sum idea as ``rolling_sums`` with the tolerance as bucket: an event becomes
-    visible at t - tol and disappears after t + tol. No probe x event pair is ever formed.
+    The same running-sum idea as ``rolling_sums``: an event becomes visible at t - tol and disappears after t + tol,
+    and a bucket, an even part of the tolerance, starts with the events that are visible at its start. No probe x event
+    pair is ever formed, and a busy key spreads over as many tasks as it has buckets.
     """
-    bucket = F.floor(F.col(t) / F.lit(tol_us)).cast("long")
+    size = bucket_us or tol_us
+    wide = tol_us // size
+    if tol_us % size:
+        raise ValueError("the tolerance must be a multiple of the bucket")
+    bucket = lambda at: F.floor(at / F.lit(size)).cast("long")
     names = list(sums)
-    ev = finite(events, [c for c in events.columns if c not in (*keys, t)]).selectExpr(*keys, t, *[f"coalesce(cast({e} as double), 0D) as {n}" for n, e in sums.items()])
+    ev = finite(events, [c for c in events.columns if c not in (*keys, t)]).selectExpr(
+        *keys, t, *[f"coalesce(cast({e} as double), 0D) as {n}" for n, e in sums.items()])
     payload_cols = [c for c in probes.columns if c not in keys]
     types = probes.schema
     no_row = F.lit(None).cast(T.StructType([types[c] for c in payload_cols])).alias("_row")
 
+    at = F.col(t)
+    # Time runs in half microseconds, so that an event leaves just after t + tol.
     moves = F.array(
-        F.struct((bucket - 1).alias("_b"), ((F.col(t) - tol_us) * 2).alias("_o"),
-                 F.lit(1.0).alias("_s")),
-        F.struct((bucket + 1).alias("_b"), ((F.col(t) + tol_us) * 2 + 1).alias("_o"),
-                 F.lit(-1.0).alias("_s")))
+        F.struct(bucket(at - tol_us).alias("_b"), ((at - tol_us) * 2).alias("_o"), F.lit(1.0).alias("_s")),
+        F.struct(bucket(at + tol_us).alias("_b"), ((at + tol_us) * 2 + 1).alias("_o"), F.lit(-1.0).alias("_s")))
     moved = ev.select(*keys, *names, F.explode(moves).alias("_m")).select(
         *keys, "_m._b", "_m._o", *[F.expr(f"{n} * _m._s as {n}") for n in names], no_row)
-    # Bucket B starts with the events of buckets B-1 and B: they entered before B, leave in or after it.
-    start = ev.select(*keys, F.explode(F.array(bucket, bucket + 1)).alias("_b"), *names)
-    start = start.groupBy(*keys, "_b").agg(*[F.expr(f"sum({n}) as {n}") for n in names]).select(
-        *keys, "_b", (F.col("_b") * F.lit(2 * tol_us) - 1).alias("_o"), *names, no_row)
-    asked = probes.select(*keys, bucket.alias("_b"), (F.col(t) * 2).alias("_o"),
-                          *[F.expr(f"0D as {n}") for n in names], F.struct(*payload_cols).alias("_row"))
-    union = asked.unionByName(moved).unionByName(start)
-    run = (f"over (partition by {', '.join(keys)}, _b order by _o range between unbounded preceding "
-           "and current row)")
-    out = union.selectExpr(*keys, "_row", *[f"sum({n}) {run} as {n}" for n in names])
+    asked = probes.select(*keys, bucket(at).alias("_b"), (at * 2).alias("_o"), *[F.expr(f"0D as {n}") for n in names],
+                          F.struct(*payload_cols).alias("_row"))
+    # A bucket that is asked starts with the events of as many buckets on both sides as the tolerance is long.
+    totals = ev.groupBy(*keys, bucket(at).alias("_b")).agg(*[F.sum(n).alias(n) for n in names])
+    zero = asked.select(*keys, "_b", *names).distinct()
+    known = totals.unionByName(zero).groupBy(*keys, "_b").agg(*[F.sum(n).alias(n) for n in names])
+    by = ", ".join(keys)
+    near = f"over (partition by {by} order by _b range between {wide} preceding and {wide - 1} following)"
+    start = known.selectExpr(*keys, "_b", f"_b * {2 * size} - 1 as _o", *[f"sum({n}) {near} as {n}" for n in names])
+    union = asked.unionByName(moved).unionByName(start.withColumn("_row", no_row))
+    run = f"over (partition by {by}, _b order by _o range between unbounded preceding and current row)"
+    out = union.repartition(*keys, "_b").selectExpr(*keys, "_row", *[f"sum({n}) {run} as {n}" for n in names])
     return out.where(F.col("_row").isNotNull()).select(*keys, "_row.*", *names)
 
 
+def seen_around(
+    probes: DataFrame,
+    events: DataFrame,
+    key: str,
+    t: str,
+    chunk_us: int,
+    seen: dict[str, str],
+    order: str,
+    ahead: bool = True,
+) -> DataFrame:
+    """Add to each probe the last event of the same key at or before it and, with ``ahead``, the first at or after it.
+
+    ``seen`` maps a name to an SQL expression over ``events``; an event whose expression is NULL is not seen. The
+    results are structs ``_p_<name>`` and ``_n_<name>`` of the event's ``t``, its ``order`` column (the largest wins among
+    events of one time) and its value ``x``; NULL where there is none, however long ago it may be.
+
+    A merge in two levels: rows of a key are dealt by chunks of ``chunk_us``, each chunk's last and first event are
+    carried over to the chunks after and before it in a table with one row per (key, chunk), and within a chunk a
+    running maximum finds the rest. So a key with any share of all rows spreads over all its chunks.
+    """
+    payload = [c for c in probes.columns if c not in (key, t)]
+    kinds = events.select(order, *[F.expr(e).alias(n) for n, e in seen.items()]).schema
+    chunk = f"({t} - pmod({t}, {chunk_us})) div {chunk_us}"
+    # Maxima over (time, order) look back; maxima over (-time, order) look ahead.
+    sides = {"p": ""} | ({"n": "-"} if ahead else {})
+    names = [f"_{side}_{n}" for n in seen for side in sides]
+    found = {f"_{side}_{n}": f"if(({e}) is null, null, named_struct('at', {sign}{t}, 'id', {order}, 'x', {e}))"
+             for n, e in seen.items() for side, sign in sides.items()}
+    kind = {f"_{side}_{n}": f"struct<at: bigint, id: {kinds[order].dataType.simpleString()}, "
+                            f"x: {kinds[n].dataType.simpleString()}>" for n in seen for side in sides}
+    asked = probes.select(key, t, F.expr("1 as _kind"), F.struct(*payload).alias("_row"), *[
+        F.lit(None).cast(kind[n]).alias(n) for n in names])
+    told = events.selectExpr(key, t, "0 as _kind", *[f"cast({found[n]} as {kind[n]}) as {n}" for n in names])
+    both = asked.unionByName(told, allowMissingColumns=True).withColumn("_c", F.expr(chunk))
+    own = both.groupBy(key, "_c").agg(*[F.max(n).alias(n) for n in names])
+    before = f"over (partition by {key} order by _c rows between unbounded preceding and 1 preceding)"
+    after = f"over (partition by {key} order by _c rows between 1 following and unbounded following)"
+    carried = own.selectExpr(key, "_c", "-1 as _kind", *[
+        f"max({n}) {before if n.startswith('_p_') else after} as {n}" for n in names])
+    rows = both.unionByName(carried, allowMissingColumns=True).repartition(key, "_c")
+    up_to = "rows between unbounded preceding and current row"
+    forward = f"over (partition by {key}, _c order by if(_kind = -1, 0, 1), {t}, _kind {up_to})"
+    back = f"over (partition by {key}, _c order by if(_kind = -1, 0, 1), {t} desc, _kind {up_to})"
+    rows = rows.selectExpr(key, t, "_row", *[
+        f"max({n}) {forward if n.startswith('_p_') else back} as {n}" for n in names]).where("_row is not null")
+    return rows.selectExpr(key, t, "_row.*", *[
+        f"if({n} is null, null, named_struct('t', {sign}{n}.at, '{order}', {n}.id, 'x', {n}.x)) as {n}"
+        for s in seen for side, sign in sides.items() for n in [f"_{side}_{s}"]])
+
+
 def with_adjacent(
     df: DataFrame,
     keys: list[str],

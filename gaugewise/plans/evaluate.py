@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gaugewise.config import DEFAULT, US_PER_DAY, VARIABLES, Config
+from gaugewise.config import DEFAULT, US_PER_HOUR, VARIABLES, Config
 from gaugewise.operators import correction, decision, evidence, faults, features, signals, stations as st
+from gaugewise.operators.quality import out_of_bounds
 from gaugewise.session import cut
 
 
@@ -49,8 +50,9 @@ def gather(flagged: DataFrame, readings: DataFrame, stations: DataFrame, cfg: Co
         "x": {v: F.col(v) for v in VARIABLES}, "idw": focus("idw"), "n_neighbours": focus("nn"),
         "n_agree": focus("agree"), "temporal": focus("temporal"),
         "cross_station": {v: st.cross_station(v, cfg) for v in VARIABLES},
+        "impossible": {v: out_of_bounds(v, cfg) for v in VARIABLES},
         "_prev_x": focus("prev"), "_next_x": focus("next")})
-    missing_run = F.col("x").isNull() & (
+    missing_run = (F.col("x").isNull() | F.col("impossible")) & (
         (F.col("prev_t").isNotNull() & F.col("_prev_x").isNull())
         | (F.col("next_t").isNotNull() & F.col("_next_x").isNull()))
     return base.withColumn("missing_run", missing_run).drop("_prev_x", "_next_x")
@@ -103,20 +105,26 @@ def diagnose(judged: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 DIAGNOSIS = ("fault_type", "fault_detail", "suggested_value", "suggested_variable", "explanation")
 
 
-def fit_config(readings: DataFrame, cfg: Config = DEFAULT) -> Config:
-    """Size chunks to the busiest station-day and salts to the busiest station's share of all rows; a
-    two-column count that combines map-side."""
-    per_day = readings.groupBy("station_id", F.floor(F.col("t") / US_PER_DAY).alias("d")).count()
-    row = per_day.groupBy("station_id").agg(F.max("count").alias("day"), F.sum("count").alias("n")).agg(
-        F.max("day").alias("day"), F.max("n").alias("top"), F.sum("n").alias("all")).first()
+def fit_config(readings: DataFrame, cfg: Config = DEFAULT, stations: DataFrame | None = None) -> Config:
+    """Size chunks to the busiest station-hour and salts to the busiest station's share of all rows; a
+    two-column count that combines map-side. With ``stations``, chunks of the neighbour joins also count the readings
+    that ask a station as their neighbour."""
+    hours = readings.groupBy("station_id", F.floor(F.col("t") / US_PER_HOUR).alias("h")).count()
+    per = hours.groupBy("station_id").agg(F.max("count").alias("hour"), F.sum("count").alias("n"))
+    row = per.agg(F.max("hour").alias("hour"), F.max("n").alias("top"), F.sum("n").alias("all")).first()
+    asked = 0
+    if stations is not None:
+        edges = st.neighbours(stations, cfg.radius_km)
+        asks = edges.join(per, "station_id").groupBy("neighbour_id").agg(F.sum("hour").alias("asks"))
+        asked = (asks.agg(F.max("asks")).first()[0] or 0) + 3 * (row["hour"] or 0)
     parts = int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cfg.sized_for(row["day"] or 0, (row["top"] or 0) / max(row["all"] or 0, 1), parts)
+    return cfg.sized_for(row["hour"] or 0, (row["top"] or 0) / max(row["all"] or 0, 1), parts, asked)
 
 
 def judged(readings: DataFrame, stations: DataFrame, cfg: Config | None = None,
            scores: DataFrame | None = None, health: DataFrame | None = None) -> DataFrame:
     """Decisions and trust of every reading; ``health`` adds the sensors' history to the evidence."""
-    cfg = fit_config(readings) if cfg is None else cfg
+    cfg = fit_config(readings, stations=stations) if cfg is None else cfg
     flagged = cut(flag(observe(readings, cfg), cfg, scores), "observed")
     return judge(gather(flagged, readings, stations, cfg), cfg, health)
 
@@ -124,7 +132,7 @@ def judged(readings: DataFrame, stations: DataFrame, cfg: Config | None = None,
 def evaluated(readings: DataFrame, stations: DataFrame, cfg: Config | None = None,
               scores: DataFrame | None = None, health: DataFrame | None = None) -> DataFrame:
     """The full evaluation: every reading, with the diagnosis of the flagged ones."""
-    cfg = fit_config(readings) if cfg is None else cfg
+    cfg = fit_config(readings, stations=stations) if cfg is None else cfg
     stage = cut(judged(readings, stations, cfg, scores, health), "judged")
     return with_diagnosis(stage, cfg)
 

@@ -45,6 +45,12 @@ def whole(e: str) -> str:
 SCALE = by_var("8e0", "5e0", "25e0")
 LO, HI = by_var("-90e0", "850e0", "0e0"), by_var("60e0", "1090e0", "100e0")
 BAD = f"(x IS NULL OR x NOT BETWEEN {LO} AND {HI})"
+
+
+def finite(e: str) -> str:
+    return f"CASE WHEN isfinite({e}) THEN {e} END"
+
+
 FRAME = f"PARTITION BY station_id, variable ORDER BY t RANGE BETWEEN {WEEK} PRECEDING AND 1 PRECEDING"
 ROW = "PARTITION BY station_id, variable ORDER BY t, reading_id"
 
@@ -78,25 +84,27 @@ CTES: dict[str, str] = {
    ELSE station_id END, ts, t, CASE WHEN seq % 89 = 0 THEN temperature + 100 ELSE temperature END,
   pressure, CASE seq % 50 WHEN 0 THEN humidity + 60 WHEN 1 THEN humidity - 100 ELSE humidity END, seq
  FROM readings WHERE seq % 50 = 3""",
-    "obs": """
- SELECT reading_id, station_id, ts, t, 'temperature' AS variable, temperature AS x FROM readings
- UNION ALL SELECT reading_id, station_id, ts, t, 'pressure', pressure FROM readings
- UNION ALL SELECT reading_id, station_id, ts, t, 'humidity', humidity FROM readings""",
+    # x: the finite value; u: the one that other readings may rely on.
+    "obs": f"""
+ SELECT *, CASE WHEN x BETWEEN {LO} AND {HI} THEN x END AS u FROM (
+ SELECT reading_id, station_id, ts, t, 'temperature' AS variable, {finite('temperature')} AS x FROM readings
+ UNION ALL SELECT reading_id, station_id, ts, t, 'pressure', {finite('pressure')} FROM readings
+ UNION ALL SELECT reading_id, station_id, ts, t, 'humidity', {finite('humidity')} FROM readings)""",
     "roll": f"""
  SELECT *, {std('std0')} AS std FROM (
-  SELECT *, count(x) OVER w AS n, avg(x) OVER w AS mean, stddev_samp(x) OVER w AS std0
+  SELECT *, count(u) OVER w AS n, avg(u) OVER w AS mean, stddev_samp(u) OVER w AS std0
   FROM obs WINDOW w AS ({FRAME}))""",
     "fit": f"""
  SELECT *, CASE WHEN n >= 8 AND spread > 1e-6 THEN slope0 END AS slope,
   CASE WHEN n >= 8 AND spread > 1e-6 THEN icpt + slope0 * tau END AS predicted
- FROM (SELECT *, count(x) OVER w AS n, regr_slope(x, tau) OVER w AS slope0,
-   regr_intercept(x, tau) OVER w AS icpt, regr_sxx(x, tau) OVER w AS spread
+ FROM (SELECT *, count(u) OVER w AS n, regr_slope(u, tau) OVER w AS slope0,
+   regr_intercept(u, tau) OVER w AS icpt, regr_sxx(u, tau) OVER w AS spread
   FROM (SELECT *, (t - {ORIGIN}) / 86400000000e0 AS tau FROM obs) WINDOW w AS ({FRAME}))""",
     "quant": f"""
  SELECT *, CASE WHEN n >= 8 THEN a END AS q_lo, CASE WHEN n >= 8 THEN b END AS q25,
   CASE WHEN n >= 8 THEN c END AS q75, CASE WHEN n >= 8 THEN d END AS q_hi
- FROM (SELECT *, count(x) OVER w AS n, quantile_cont(x, 0.05) OVER w AS a, quantile_cont(x, 0.25) OVER w AS b,
-   quantile_cont(x, 0.75) OVER w AS c, quantile_cont(x, 0.95) OVER w AS d
+ FROM (SELECT *, count(u) OVER w AS n, quantile_cont(u, 0.05) OVER w AS a, quantile_cont(u, 0.25) OVER w AS b,
+   quantile_cont(u, 0.75) OVER w AS c, quantile_cont(u, 0.95) OVER w AS d
   FROM obs WINDOW w AS ({FRAME}))""",
     "stat": f"""
  SELECT s.*, {clip01('abs(z) / 6')} AS z_signal, {clip01('dist / iqr')} AS q_signal,
@@ -119,15 +127,15 @@ CTES: dict[str, str] = {
   FROM stat GROUP BY reading_id)""",
     "adj": f"""
  SELECT *, t - prev_t AS gap_us, (x - prev_x) / nullif((t - prev_t) / 60000000e0, 0e0) AS rate
- FROM (SELECT *, lag(t) OVER w AS prev_t, lead(t) OVER w AS next_t, lag(x) OVER w AS prev_x,
-   lead(x) OVER w AS next_x FROM obs WINDOW w AS ({ROW}))""",
+ FROM (SELECT *, lag(t) OVER w AS prev_t, lead(t) OVER w AS next_t, lag(u) OVER w AS prev_x,
+   lead(u) OVER w AS next_x FROM obs WINDOW w AS ({ROW}))""",
     "blocks": f"""
- SELECT *, count(x) OVER a AS pre_n, avg(x) OVER a AS pre_mean, stddev_samp(x) OVER a AS pre_std,
-  count(x) OVER b AS post_n, avg(x) OVER b AS post_mean FROM adj
+ SELECT *, count(u) OVER a AS pre_n, avg(u) OVER a AS pre_mean, stddev_samp(u) OVER a AS pre_std,
+  count(u) OVER b AS post_n, avg(u) OVER b AS post_mean FROM adj
  WINDOW a AS ({ROW} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING),
         b AS ({ROW} ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)""",
     "daily": """
- SELECT station_id, variable, hour(ts) AS hour, count(x) AS dn, avg(x) AS dmean, stddev_samp(x) AS dstd
+ SELECT station_id, variable, hour(ts) AS hour, count(u) AS dn, avg(u) AS dmean, stddev_samp(u) AS dstd
  FROM obs GROUP BY ALL""",
     "temporal": f"""
  SELECT reading_id, station_id, variable, rate_excess, CASE WHEN rate_excess IS NOT NULL THEN
@@ -138,17 +146,21 @@ CTES: dict[str, str] = {
    CASE WHEN d.dn >= 8 THEN {clip01('abs(a.x - d.dmean) / nullif(6 * d.dstd, 0e0)')} END AS daily_excess
   FROM adj a JOIN roll r USING (reading_id, variable) JOIN fit f USING (reading_id, variable)
   JOIN daily d ON d.station_id = a.station_id AND d.variable = a.variable AND d.hour = hour(a.ts))""",
+    "clean": f"""
+ SELECT reading_id, station_id, t, seq, {finite('temperature')} AS te, {finite('pressure')} AS pr, {finite('humidity')} AS hu,
+  CASE WHEN temperature BETWEEN -90 AND 60 THEN temperature END AS ute, CASE WHEN pressure BETWEEN 850 AND 1090 THEN pressure END AS upr,
+  CASE WHEN humidity BETWEEN 0 AND 100 THEN humidity END AS uhu FROM readings""",
     "pairs": f"""
- SELECT reading_id, station_id, t, temperature AS te, pressure AS pr, humidity AS hu,
-  CASE WHEN count(temperature) OVER w >= 8 AND var_samp(temperature) OVER w > 1e-9
-        AND var_samp(pressure) OVER w > 1e-9 THEN corr(temperature, pressure) OVER w END AS corr_temperature_pressure,
-  CASE WHEN count(temperature) OVER w >= 8 AND var_samp(temperature) OVER w > 1e-9
-        AND var_samp(humidity) OVER w > 1e-9 THEN corr(temperature, humidity) OVER w END AS corr_temperature_humidity,
-  CASE WHEN count(pressure) OVER w >= 8 AND var_samp(pressure) OVER w > 1e-9
-        AND var_samp(humidity) OVER w > 1e-9 THEN corr(pressure, humidity) OVER w END AS corr_pressure_humidity,
-  CASE WHEN count(temperature) OVER v >= 8 AND var_samp(temperature) OVER v > 1e-9
-        AND var_samp(humidity) OVER v > 1e-9 THEN corr(temperature, humidity) OVER v END AS recent_th
- FROM readings WINDOW
+ SELECT reading_id, station_id, t, te, pr, hu,
+  CASE WHEN regr_count(ute, upr) OVER w >= 8 AND var_samp(CASE WHEN upr IS NOT NULL THEN ute END) OVER w > 1e-9
+   AND var_samp(CASE WHEN ute IS NOT NULL THEN upr END) OVER w > 1e-9 THEN corr(ute, upr) OVER w END AS corr_temperature_pressure,
+  CASE WHEN regr_count(ute, uhu) OVER w >= 8 AND var_samp(CASE WHEN uhu IS NOT NULL THEN ute END) OVER w > 1e-9
+   AND var_samp(CASE WHEN ute IS NOT NULL THEN uhu END) OVER w > 1e-9 THEN corr(ute, uhu) OVER w END AS corr_temperature_humidity,
+  CASE WHEN regr_count(upr, uhu) OVER w >= 8 AND var_samp(CASE WHEN uhu IS NOT NULL THEN upr END) OVER w > 1e-9
+   AND var_samp(CASE WHEN upr IS NOT NULL THEN uhu END) OVER w > 1e-9 THEN corr(upr, uhu) OVER w END AS corr_pressure_humidity,
+  CASE WHEN regr_count(ute, uhu) OVER v >= 8 AND var_samp(CASE WHEN uhu IS NOT NULL THEN ute END) OVER v > 1e-9
+   AND var_samp(CASE WHEN ute IS NOT NULL THEN uhu END) OVER v > 1e-9 THEN corr(ute, uhu) OVER v END AS recent_th
+ FROM clean WINDOW
   w AS (PARTITION BY station_id ORDER BY t RANGE BETWEEN {WEEK} PRECEDING AND 1 PRECEDING),
   v AS (PARTITION BY station_id ORDER BY t RANGE BETWEEN {DAY3} PRECEDING AND 1 PRECEDING)""",
     "sensor_terms": """
@@ -157,11 +169,10 @@ CTES: dict[str, str] = {
        ELSE 1 - least(1e0, greatest(0e0, 1 - (-sign(d_t) * d_rh) / (2 * abs(d_t)))) END AS t_rh
  FROM (SELECT *, CASE WHEN te IS NOT NULL AND hu > 0 AND te > -243.12
      THEN 243.12e0 * gamma / (17.62e0 - gamma) END AS dew_point
-  FROM (SELECT reading_id, station_id, temperature AS te, humidity AS hu,
-    temperature - lag(temperature) OVER w AS d_t, humidity - lag(humidity) OVER w AS d_rh,
-    pressure - lag(pressure) OVER w AS d_p, 2e0 * (seq % 11) - lag(2e0 * (seq % 11)) OVER w AS d_w,
-    CASE WHEN humidity > 0 THEN ln(humidity / 100) + 17.62e0 * temperature / (temperature + 243.12e0) END AS gamma
-   FROM readings WINDOW w AS (PARTITION BY station_id ORDER BY t, reading_id)))""",
+  FROM (SELECT reading_id, station_id, te, hu, te - lag(ute) OVER w AS d_t, hu - lag(uhu) OVER w AS d_rh,
+    pr - lag(upr) OVER w AS d_p, 2e0 * (seq % 11) - lag(2e0 * (seq % 11)) OVER w AS d_w,
+    CASE WHEN hu > 0 THEN ln(hu / 100) + 17.62e0 * te / (te + 243.12e0) END AS gamma
+   FROM clean WINDOW w AS (PARTITION BY station_id ORDER BY t, reading_id)))""",
     "sensor_ev": """
  SELECT reading_id, station_id, dew_term, t_rh, corr_term, CASE WHEN dew_term = 0 THEN 0e0
    WHEN t_rh IS NULL THEN corr_term WHEN corr_term IS NULL THEN t_rh ELSE (t_rh + corr_term) / 2 END AS cross_sensor
@@ -173,10 +184,10 @@ CTES: dict[str, str] = {
    * pow(sin(radians(b.longitude - a.longitude) / 2), 2)))) AS km
   FROM stations a JOIN stations b ON a.station_id <> b.station_id) WHERE km <= 30""",
     "aligned": f"""
- SELECT r.reading_id, r.station_id, r.variable, r.x AS own, r.t, e.neighbour_id, e.km, o.x, o.t AS o_t, o.reading_id AS o_id
+ SELECT r.reading_id, r.station_id, r.variable, r.x AS own, r.t, e.neighbour_id, e.km, o.u AS x, o.t AS o_t, o.reading_id AS o_id
  FROM obs r JOIN neigh e ON e.station_id = r.station_id
  JOIN obs o ON o.station_id = e.neighbour_id AND o.variable = r.variable
-  AND o.t BETWEEN r.t - {TOL} AND r.t + {TOL} WHERE o.x IS NOT NULL""",
+  AND o.t BETWEEN r.t - {TOL} AND r.t + {TOL} WHERE o.u IS NOT NULL""",
     "nearest": """
  SELECT * FROM aligned QUALIFY row_number() OVER (PARTITION BY reading_id, variable, neighbour_id
   ORDER BY abs(o_t - t), o_t > t, o_id DESC) = 1""",
@@ -190,12 +201,13 @@ CTES: dict[str, str] = {
     "persist": f"""
  SELECT reading_id, avg(CASE WHEN anomaly THEN 1e0 ELSE 0e0 END) OVER (PARTITION BY station_id ORDER BY t
    RANGE BETWEEN {DAY1} PRECEDING AND 1 PRECEDING) AS persistence FROM flagged""",
-    "vector": """
+    "vector": f"""
  SELECT *, CASE WHEN temporal IS NULL THEN 0e0 ELSE 0.25e0 END + CASE WHEN cross_sensor IS NULL THEN 0e0 ELSE 0.25e0 END
    + CASE WHEN cross_station IS NULL THEN 0e0 ELSE 0.4e0 END + CASE WHEN persistence IS NULL THEN 0e0 ELSE 0.1e0 END
    AS coverage0, greatest(temporal, cross_sensor, cross_station) - least(temporal, cross_sensor, cross_station) AS conflict
  FROM (SELECT f.*, i.x, i.idw, i.nn, i.agree, t.temporal, s.cross_sensor, i.cross_station, p.persistence,
-   i.x IS NULL AND ((a.prev_t IS NOT NULL AND a.prev_x IS NULL) OR (a.next_t IS NOT NULL AND a.next_x IS NULL))
+   i.x IS NOT NULL AND i.u IS NULL AS impossible,
+   i.u IS NULL AND ((a.prev_t IS NOT NULL AND a.prev_x IS NULL) OR (a.next_t IS NOT NULL AND a.next_x IS NULL))
     AS missing_run
   FROM flagged f JOIN idw i ON i.reading_id = f.reading_id AND i.variable = f.focus
   JOIN temporal t ON t.reading_id = f.reading_id AND t.variable = f.focus
@@ -203,11 +215,12 @@ CTES: dict[str, str] = {
   JOIN sensor_ev s ON s.reading_id = f.reading_id JOIN persist p ON p.reading_id = f.reading_id)""",
     "judged": """
  SELECT *, coalesce(coverage * greatest(g, 1 - g), 0e0) AS confidence,
-  CAST(least(100, greatest(0, floor(100 * (1 - anomaly_score * (1 - coalesce(g, 0e0))) + 0.5 + 1e-7))) AS INTEGER) AS trust_score,
-  CASE WHEN NOT anomaly THEN NULL WHEN missing_run THEN 'sensor_fault'
+  CAST(least(100, greatest(0, floor(100 * (1 - anomaly_score * (1 - coalesce(g * coverage, 0e0))) + 0.5 + 1e-7))) AS INTEGER) AS trust_score,
+  CASE WHEN NOT anomaly THEN NULL WHEN missing_run OR impossible THEN 'sensor_fault'
    WHEN g IS NULL OR coverage < 0.6 - 1e-9 OR coalesce(conflict > 0.6, false) THEN 'uncertain'
    WHEN g >= 0.65 THEN 'genuine_weather' WHEN g <= 0.35 THEN 'sensor_fault' ELSE 'uncertain' END AS decision
- FROM (SELECT *, CASE WHEN missing_run THEN 1e0 ELSE coverage0 END AS coverage, CASE WHEN missing_run THEN 0e0 ELSE
+ FROM (SELECT *, CASE WHEN missing_run OR impossible THEN 1e0 ELSE coverage0 END AS coverage,
+   CASE WHEN missing_run OR impossible THEN 0e0 ELSE
    (coalesce(temporal * 0.25e0, 0) + coalesce(cross_sensor * 0.25e0, 0) + coalesce(cross_station * 0.4e0, 0)
     + coalesce((1 - persistence) * 0.1e0, 0)) / nullif(coverage0, 0) END AS g FROM vector)""",
     "spikes": f"""
@@ -220,12 +233,13 @@ CTES: dict[str, str] = {
  SELECT *, floor((t - lag(t) OVER (PARTITION BY station_id ORDER BY t, reading_id)) / 1e6) AS gap_s FROM readings""",
     "cadence": "SELECT station_id, quantile_cont(gap_s, 0.5) AS cadence_s FROM gaps GROUP BY station_id",
     "dropouts": """
- SELECT a.reading_id, a.station_id, a.variable, a.x IS NULL OR coalesce(floor(a.gap_us / 1e6) > 4 * c.cadence_s, false)
+ SELECT a.reading_id, a.station_id, a.variable, a.x IS NULL OR (a.u IS NULL AND ((a.prev_t IS NOT NULL
+   AND a.prev_x IS NULL) OR (a.next_t IS NOT NULL AND a.next_x IS NULL))) OR coalesce(floor(a.gap_us / 1e6) > 4 * c.cadence_s, false)
   AS is_dropout FROM adj a LEFT JOIN cadence c USING (station_id)""",
     "runs": f"""
- SELECT reading_id, station_id, variable, CASE WHEN x IS NULL THEN 0 ELSE
+ SELECT reading_id, station_id, variable, CASE WHEN u IS NULL THEN 0 ELSE
    count(*) OVER (PARTITION BY station_id, variable, run) END AS run_length
- FROM (SELECT *, sum(CASE WHEN prev_t IS NULL OR x IS DISTINCT FROM prev_x THEN 1 ELSE 0 END) OVER ({ROW}) AS run
+ FROM (SELECT *, sum(CASE WHEN prev_t IS NULL OR u IS DISTINCT FROM prev_x THEN 1 ELSE 0 END) OVER ({ROW}) AS run
   FROM adj)""",
     "resid": f"""
  SELECT *, coalesce(abs(slope) > {by_var('0.1e0', '0.1e0', '0.5e0')}, false) AS is_drift,
@@ -235,8 +249,8 @@ CTES: dict[str, str] = {
    CASE WHEN dayn >= 3 AND n >= 8 THEN {std('daystd')} / nullif({std('std0')}, 0e0) END AS noise_level
   FROM (SELECT *, count(r) OVER w AS rn, avg(r) OVER w AS rmean, stddev_samp(r) OVER w AS rstd,
     regr_slope(r, tau) OVER w AS slope0, regr_sxx(r, tau) OVER w AS spread,
-    count(x) OVER w AS n, stddev_samp(x) OVER w AS std0, count(x) OVER d AS dayn, stddev_samp(x) OVER d AS daystd
-   FROM (SELECT reading_id, station_id, ts, t, variable, x, x - idw AS r, (t - {ORIGIN}) / 86400000000e0 AS tau FROM idw)
+    count(u) OVER w AS n, stddev_samp(u) OVER w AS std0, count(u) OVER d AS dayn, stddev_samp(u) OVER d AS daystd
+   FROM (SELECT reading_id, station_id, ts, t, variable, u, u - idw AS r, (t - {ORIGIN}) / 86400000000e0 AS tau FROM idw)
    WINDOW w AS ({FRAME}), d AS (PARTITION BY station_id, variable ORDER BY t
     RANGE BETWEEN {DAY1} PRECEDING AND 1 PRECEDING)))""",
     "faults": """
@@ -299,7 +313,7 @@ CTES: dict[str, str] = {
     "drifts": f"""
  SELECT station_id, variable, count(*) AS n, CASE WHEN count(*) >= 8 THEN regr_slope(r, tau) END AS drift_rate,
   CASE WHEN count(*) >= 8 THEN regr_slope(r, tau) * (max(tau) - min(tau)) END AS cumulative_drift
- FROM (SELECT station_id, variable, x - idw AS r, (t - {ORIGIN}) / 86400000000e0 AS tau FROM idw) WHERE r IS NOT NULL
+ FROM (SELECT station_id, variable, u - idw AS r, (t - {ORIGIN}) / 86400000000e0 AS tau FROM idw) WHERE r IS NOT NULL
  GROUP BY station_id, variable""",
     "floors": """
  SELECT station_id, variable, quantile_cont(std, 0.1) AS noise_floor
@@ -345,17 +359,27 @@ CTES["vector_prior"] = CTES["vector"].replace(
 CTES["judged_prior"] = CTES["judged"].replace("FROM vector)", "FROM vector_prior)")
 
 
-def build(sql: str) -> str:
-    """Prefix the statement with the shared tables it needs, in dependency order."""
+# Readings with NaN, infinities and sentinels among their values (``fixtures.broken_readings``).
+BROKEN = f"""
+ SELECT * REPLACE (
+  CASE WHEN seq % 50 = 7 THEN CAST('nan' AS DOUBLE) WHEN seq % 50 IN (19, 20) THEN -9999e0 ELSE temperature END AS temperature,
+  CASE WHEN seq % 50 = 31 THEN CAST('inf' AS DOUBLE) WHEN seq % 50 = 33 THEN -9999e0 ELSE pressure END AS pressure,
+  CASE WHEN seq % 50 = 19 THEN 150e0 WHEN seq % 50 = 41 THEN CAST('nan' AS DOUBLE) ELSE humidity END AS humidity)
+ FROM ({CTES['readings']})"""
+
+
+def build(sql: str, **tables: str) -> str:
+    """Prefix the statement with the shared tables it needs, in dependency order; ``tables`` stand in for some."""
     used: list[str] = []
+    known = CTES | tables
 
     def need(text: str) -> None:
         for word in dict.fromkeys(re.findall(r"(?:FROM|JOIN|,)\s+(\w+)", text)):
-            if word in CTES and word not in used:
-                need(CTES[word])
+            if word in known and word not in used:
+                need(known[word])
                 used.append(word)
 
     need(sql)
     if not used:
         return sql
-    return "WITH " + ", ".join(f"{name} AS ({CTES[name]})" for name in used) + " " + sql
+    return "WITH " + ", ".join(f"{name} AS ({known[name]})" for name in used) + " " + sql

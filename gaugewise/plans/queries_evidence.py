@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from gaugewise.config import DEFAULT, VARIABLES
 from gaugewise.operators import decision as dc, evidence as ev, faults as fl, features as ft, stations as st
 from gaugewise.plans import evaluate
-from gaugewise.plans.oracle import R, R4, WEEK, whole
-from gaugewise.plans.registry import evaluated, judged, query, r4, r6
+from gaugewise.plans.oracle import BROKEN, R, R4, WEEK, whole
+from gaugewise.plans.registry import evaluated, judged, query, r4, r6, stage
 from gaugewise.sources import fixtures as fx
 
 
@@ -97,15 +97,27 @@ def _edges(spark, sf):
     return st.neighbours(fx.stations(spark, sf), DEFAULT.radius_km)
 
 
-@query("e11_align_neighbours", f"""SELECT reading_id, neighbour_id, count(*) FILTER (WHERE variable = 'temperature') AS n_temperature,
+_ALIGN = f"""SELECT reading_id, neighbour_id, count(*) FILTER (WHERE variable = 'temperature') AS n_temperature,
  {R("avg(x) FILTER (WHERE variable = 'temperature')")} AS mean_temperature, {R("avg(x) FILTER (WHERE variable = 'pressure')")}
  AS mean_pressure, {R("avg(x) FILTER (WHERE variable = 'humidity')")} AS mean_humidity
- FROM aligned GROUP BY reading_id, neighbour_id""")
-def e11(spark, sf):
-    return st.aligned_view(fx.readings(spark, sf), _edges(spark, sf)).select(
+ FROM aligned GROUP BY reading_id, neighbour_id"""
+
+
+def _align(rows, spark, sf):
+    return st.aligned_view(rows, _edges(spark, sf)).select(
         "reading_id", "neighbour_id", "n_temperature", *[r6(f"mean_{v}") for v in VARIABLES])
 
 
+@query("e11_align_neighbours", _ALIGN)
+def e11(spark, sf):
+    return _align(fx.readings(spark, sf), spark, sf)
+
+
+@query("e11_align_broken", _ALIGN, readings=BROKEN)
+def e11_broken(spark, sf):
+    return _align(fx.broken_readings(spark, sf), spark, sf)
+
+
 @query("e11_nearest_neighbours", f"""SELECT reading_id, neighbours, {R('nearest_km')} AS nearest_km FROM (
  SELECT reading_id, count(DISTINCT neighbour_id) AS neighbours, min(km) AS nearest_km FROM nearest GROUP BY reading_id)""")
 def e11c(spark, sf):
@@ -113,22 +125,48 @@ def e11c(spark, sf):
     return near.groupBy("reading_id").agg(F.count(F.lit(1)).alias("neighbours"), r6(F.min("km"), "nearest_km"))
 
 
-@query("e11_asof_neighbours", f"""SELECT r.reading_id, e.neighbour_id, n.reading_id AS neighbour_reading_id, r.t - n.t AS age_us,
- {R('n.temperature')} AS neighbour_temperature FROM (SELECT r.*, s.neighbour_id FROM readings r JOIN neigh s USING (station_id)) e
- JOIN readings r ON r.reading_id = e.reading_id
- ASOF JOIN readings n ON n.station_id = e.neighbour_id AND n.t <= e.t WHERE e.t - n.t <= 10800000000""")
+_ASOF = f"""SELECT e.reading_id, e.neighbour_id, n.reading_id AS neighbour_reading_id, e.t - n.t AS age_us,
+ {R('n.ute')} AS neighbour_temperature, {R('n.upr')} AS neighbour_pressure, {R('n.uhu')} AS neighbour_humidity
+ FROM (SELECT r.*, s.neighbour_id FROM clean r JOIN neigh s USING (station_id)) e
+ ASOF JOIN (SELECT * FROM clean WHERE coalesce(ute, upr, uhu) IS NOT NULL) n ON n.station_id = e.neighbour_id AND n.t <= e.t
+ WHERE e.t - n.t <= 10800000000"""
+
+
+def _asof(rows, spark, sf):
+    return st.asof_neighbours(rows, _edges(spark, sf)).select(
+        "reading_id", "neighbour_id", "neighbour_reading_id", "age_us", *[r6(f"neighbour_{v}") for v in VARIABLES])
+
+
+@query("e11_asof_neighbours", _ASOF)
 def e11b(spark, sf):
-    return st.asof_neighbours(fx.readings(spark, sf), _edges(spark, sf)).select(
-        "reading_id", "neighbour_id", "neighbour_reading_id", "age_us", r6("neighbour_temperature"))
+    return _asof(fx.readings(spark, sf), spark, sf)
 
 
-@query("e12_idw_consensus", f"""SELECT reading_id, variable, {R('idw')} AS idw, nn AS n_neighbours, agree AS n_agree,
- {R('spread')} AS spread, {R('cross_station')} AS cross_station FROM idw""")
-def e12(spark, sf):
-    return st.idw_consensus(fx.readings(spark, sf), fx.stations(spark, sf)).select(
+@query("e11_asof_broken", _ASOF, readings=BROKEN)
+def e11b_broken(spark, sf):
+    """As above where a tenth of the values are NaN, infinite or sentinels."""
+    return _asof(fx.broken_readings(spark, sf), spark, sf)
+
+
+_IDW = f"""SELECT reading_id, variable, {R('idw')} AS idw, nn AS n_neighbours, agree AS n_agree,
+ {R('spread')} AS spread, {R('cross_station')} AS cross_station FROM idw"""
+
+
+def _idw(rows, spark, sf):
+    return st.idw_consensus(rows, fx.stations(spark, sf)).select(
         "reading_id", "variable", r6("idw"), "n_neighbours", "n_agree", r6("spread"), r6("cross_station"))
 
 
+@query("e12_idw_consensus", _IDW)
+def e12(spark, sf):
+    return _idw(fx.readings(spark, sf), spark, sf)
+
+
+@query("e12_idw_broken", _IDW, readings=BROKEN)
+def e12_broken(spark, sf):
+    return _idw(fx.broken_readings(spark, sf), spark, sf)
+
+
 @query("e13_persistence", f"""SELECT f.reading_id, {R('p.persistence')} AS persistence, CAST(run AS BIGINT) AS flag_run FROM (
   SELECT *, n - coalesce(max(CASE WHEN NOT anomaly THEN n END) OVER (PARTITION BY station_id ORDER BY n), 0) AS run
   FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY t, reading_id) AS n FROM flagged)) f
@@ -202,6 +240,14 @@ def t1(spark, sf):
     return dc.with_trust(judged(spark, sf).drop("trust_score")).select("reading_id", "trust_score")
 
 
+@query("t1_trust_broken", f"""SELECT reading_id, anomaly, decision, fault_type, trust_score, {R('confidence')} AS confidence
+ FROM faults""", readings=BROKEN)
+def t1_broken(spark, sf):
+    """Whole decisions where a tenth of the values are NaN, infinite or sentinels."""
+    base = stage(spark, sf, "broken", lambda: evaluate.evaluated(fx.broken_readings(spark, sf), fx.stations(spark, sf)))
+    return base.select("reading_id", "anomaly", "decision", "fault_type", "trust_score", r6("confidence"))
+
+
 @query("t2_trusted", "SELECT reading_id, trust_score FROM judged WHERE trust_score >= 80")
 def t2(spark, sf):
     return dc.trusted(judged(spark, sf), 80).select("reading_id", "trust_score")
@@ -267,6 +313,7 @@ _EXPLAINED = f"""SELECT reading_id, concat_ws(' | ',
  CASE WHEN x IS NULL AND missing_run THEN {_LABEL} || ' is missing in consecutive readings' END,
  CASE WHEN x IS NULL AND NOT missing_run THEN {_LABEL} || ' is missing' END,
  CASE WHEN x IS NOT NULL THEN {_LABEL} || ' has anomaly score ' || {whole('anomaly_score * 100')} || '/100' END,
+ CASE WHEN impossible THEN {_LABEL} || ' is outside its physical limits' END,
  CASE WHEN temporal < 0.35 THEN {_LABEL} || ' changed faster than expected' END,
  CASE WHEN temporal >= 0.65 THEN {_LABEL} || ' changed at a plausible rate' END,
  CASE WHEN cross_station < 0.35 THEN 'Nearby stations disagree: consensus around ' || {whole('idw')} || ' from ' || nn || ' stations' END,

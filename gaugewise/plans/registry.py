@@ -17,14 +17,14 @@ ORACLES: dict[str, str] = {}
 _STAGES: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query; ``sql`` may use the shared tables of ``plans.oracle`` by name."""
+def query(name: str, sql: str | None = None, **tables: str) -> Callable[[Query], Query]:
+    """Register a query; ``sql`` may use the shared tables of ``plans.oracle`` by name, ``tables`` in place of some."""
     def add(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return fn(tune(spark), sf_dir)
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = build(sql)
+            ORACLES[name] = build(sql, **tables)
         return fn
     return add
 

@@ -40,6 +40,15 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readings_from(spread(load(spark, sf_dir, "events"), "event_id"))
 
 
+def broken_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readings with NaN, infinities and sentinels in a tenth of the rows, runs of two among them."""
+    kind, nan = F.col("seq") % 50, F.lit(float("nan"))
+    return readings(spark, sf_dir).withColumns({
+        "temperature": F.when(kind == 7, nan).when(kind.isin(19, 20), -9999.0).otherwise(F.col("temperature")),
+        "pressure": F.when(kind == 31, float("inf")).when(kind == 33, -9999.0).otherwise(F.col("pressure")),
+        "humidity": F.when(kind == 19, 150.0).when(kind == 41, nan).otherwise(F.col("humidity"))})
+
+
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("user_id")
     return load(spark, sf_dir, "events").select("user_id").distinct().select(

@@ -72,11 +72,14 @@ def test_adapter_checks_the_scorer(spark):
 
 def test_trust_grows_with_genuineness_and_is_no_inverse_of_the_anomaly_score(spark):
     grid = spark.createDataFrame([(a / 20, g / 20) for a in range(21) for g in range(21)], "a double, g double")
-    rows = grid.withColumn("trust", decision.calculate_trust_score(F.col("a"), F.col("g"))).collect()
+    trust = lambda coverage: decision.calculate_trust_score(F.col("a"), F.col("g"), F.lit(coverage))
+    rows = grid.withColumns({"trust": trust(1.0), "thin": trust(0.1)}).collect()
     table = {(round(r.a * 20), round(r.g * 20)): r.trust for r in rows}
     assert all(0 <= v <= 100 for v in table.values())
     assert all(table[a, g] <= table[a, g + 1] for a in range(21) for g in range(20))
     assert table[19, 19] > 90 and table[19, 2] < 20
+    assert all(r.thin <= r.trust for r in rows), "what no evidence covers corroborates nothing"
+    assert max(r.thin for r in rows if r.a == 1.0) == 10
 
 
 def test_evidence_weights_follow_present_evidence(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from gaugewise.config import DEFAULT, US_PER_HOUR
 from gaugewise.operators import evidence, faults, features, health, signals, stations as st
@@ -44,15 +45,39 @@ def test_projection_reaches_the_scan(spark):
 
 
 def test_layout_follows_the_busiest_station():
-    small = DEFAULT.sized_for(1_440, 0.001, 200)
-    hot = DEFAULT.sized_for(40_000_000, 0.33, 200)
-    assert small.chunk_us == 24 * US_PER_HOUR and small.salts == 1
-    assert hot.chunk_us == hot.bucket_us == US_PER_HOUR and hot.salts == 64
+    small = DEFAULT.sized_for(60, 0.001, 200)
+    hot = DEFAULT.sized_for(400_000_000, 0.33, 10_000)
+    assert small.chunk_us == 24 * US_PER_HOUR and small.quantile_us == DEFAULT.hist_window_us and small.salts == 1
+    assert small.align_us == DEFAULT.time_tol_us
+    assert hot.salts == 6600, "a third of all rows needs as many salts as it has fair shares"
+    for span, chunk in ((DEFAULT.bucket_us, hot.chunk_us), (DEFAULT.hist_window_us, hot.quantile_us),
+                        (DEFAULT.time_tol_us, hot.align_us), (DEFAULT.bucket_us, hot.bucket_us)):
+        assert span % chunk == 0 and 400_000_000 * chunk <= 2_000_000 * US_PER_HOUR
+    assert DEFAULT.sized_for(400_000_000_000, 1.0, 200).chunk_us == 1_000_000
+
+
+def test_a_station_with_half_of_all_readings_spreads(spark):
+    """Chunks fitted to the data hold a bounded number of its rows, in every layout that orders or joins them."""
+    rows = spark.range(20_000).selectExpr(
+        "concat('R', id) as reading_id", "if(id % 2 = 0, 'hot', concat('S', id % 50)) as station_id",
+        "1704067200000000 + id * 8640000 as t", "20D + id % 7 as temperature", "1000D as pressure", "50D as humidity",
+        "timestamp_micros(1704067200000000 + id * 8640000) as ts", "cast(null as double) as wind_speed")
+    stations = spark.createDataFrame([("hot", 50.0, 8.0)] + [(f"S{i}", 50.0 + i / 500, 8.0) for i in range(1, 50, 2)],
+                                     "station_id string, latitude double, longitude double")
+    cfg = evaluate.fit_config(rows, replace(DEFAULT, max_rows_per_task=500), stations)
+    for chunk in (cfg.chunk_us, cfg.quantile_us, cfg.align_us):
+        assert rows.groupBy("station_id", F.floor(F.col("t") / chunk)).count().agg(F.max("count")).first()[0] <= 500
+    edges = st.neighbours(stations, cfg.radius_km)
+    asks = rows.join(edges, "station_id").groupBy("neighbour_id", F.floor(F.col("t") / cfg.align_us)).count()
+    assert asks.agg(F.max("count")).first()[0] <= 500
+    found = st.nearest_neighbours(rows, edges, cfg)
+    assert found.count() == st.nearest_neighbours(rows, edges).count()
 
 
 def test_results_do_not_depend_on_the_layout(spark):
     r, s = fx.readings(spark, SF), fx.stations(spark, SF)
-    fine = replace(DEFAULT, chunk_us=US_PER_HOUR, bucket_us=US_PER_HOUR, salts=5)
+    fine = replace(DEFAULT, chunk_us=US_PER_HOUR, bucket_us=US_PER_HOUR, align_us=US_PER_HOUR // 4,
+                   quantile_us=24 * US_PER_HOUR, salts=5)
     columns = ["reading_id", "anomaly", "decision", "trust_score", "fault_type", "explanation"]
     a = sorted(map(tuple, evaluate.evaluated(r, s, DEFAULT).select(*columns).collect()), key=lambda x: x[0])
     b = sorted(map(tuple, evaluate.evaluated(r, s, fine).select(*columns).collect()), key=lambda x: x[0])

@@ -48,16 +48,36 @@ def test_rolling_sums_reject_partial_buckets(frame):
         tl.rolling_sums(frame, ["key"], "t", ["x"], {"s": ("x", 5)}, 2)
 
 
-def test_around_sums_equal_brute_force(frame, rows):
+@pytest.mark.parametrize("bucket", [None, HOUR, HOUR // 4, 3 * HOUR // 180])
+def test_around_sums_equal_brute_force(frame, rows, bucket):
     events = frame.select("key", "t", "x")
     out = tl.around_sums(frame.select("key", "t", "reading_id"), events, ["key"], "t", 3 * HOUR,
-                         {"n": "if(x is null, 0, 1)", "s": "x"}).collect()
+                         {"n": "if(x is null, 0, 1)", "s": "x"}, bucket).collect()
     assert len(out) == len(rows)
     for r in out:
         near = [b[3] for b in rows if b[1] == r.key and abs(b[2] - r.t) <= 3 * HOUR and b[3] is not None]
         assert (r.n, r.s) == (len(near), pytest.approx(sum(near)))
 
 
+@pytest.mark.parametrize("chunk", [400 * HOUR, 5 * HOUR, HOUR // 4])
+def test_seen_around_equals_brute_force(spark, frame, rows, chunk):
+    """Events without a value are not seen; probes ask at times of events, between them, before and after all."""
+    times = sorted({r[2] + d for r in rows[::3] for d in (0, 7)} | {-900 * HOUR, 900 * HOUR})
+    probes = spark.createDataFrame([(f"{k}:{t}", k, t) for k in ("hot", "k0", "k3", "none") for t in times],
+                                   "probe string, key string, t long")
+    out = tl.seen_around(probes, frame, "key", "t", chunk, {"x": "x", "tall": "if(x > 3, x, null)"}, "reading_id").collect()
+    assert len(out) == 4 * len(times)
+    for r in out:
+        for name, least in (("x", -1), ("tall", 3)):
+            own = [b for b in rows if b[1] == r.key and b[3] is not None and b[3] > least]
+            before = max(((b[2], b[0], b[3]) for b in own if b[2] <= r.t), default=None)
+            after = min(((b[2], b[0], b[3]) for b in own if b[2] >= r.t), key=lambda b: b[0], default=None)
+            if after:
+                after = max((b[2], b[0], b[3]) for b in own if b[2] == after[0])
+            assert (r[f"_p_{name}"] and tuple(r[f"_p_{name}"])) == before
+            assert (r[f"_n_{name}"] and tuple(r[f"_n_{name}"])) == after
+
+
 def test_adjacent_windows_cross_chunks(frame, rows):
     out = tl.with_adjacent(frame, ["key"], ["t", "reading_id"], 3, F.floor(F.col("t") / (4 * HOUR)), lambda w: {
         "prev": F.lag("reading_id").over(w), "next": F.lead("reading_id").over(w),
