@@ -12,7 +12,7 @@ Committing. A task writes under a temporary name of its own attempt and reports
 reports, written as a table, name the files of successful attempts only; a second pass renames these and writes the manifest.
 An archive is what its manifest lists: a lost executor leaves temporary files, which are deleted, and nothing else.
 
-Reading takes the files of the manifest, one task each, and checks length, SHA-256 and records of each file and the block and
+Reading takes the files of the manifest, spread over tasks, and checks length, SHA-256 and records of each file and the block and
 payload digests of each record.
 
 Cases: null html is an empty payload; short payloads are responses each; a repeated row (equal page_id and payload) revisits the
@@ -32,7 +32,6 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from urllib.parse import quote
 
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import cloudpickle
@@ -44,7 +43,7 @@ from gaugewise.llm.ordered import placed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LEAST = 100
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 MOST_SHARDS = 16_384
 FILE_BYTES = 256 << 20
 DATE = "1970-01-01T00:00:00Z"
@@ -206,9 +205,10 @@ def write(pages: DataFrame, folder: str, least: int = LEAST, shard_bytes: int =
     firsts = sorted((tuple(r[1]), r[0]) for r in narrow.groupBy("shard").agg(F.min(key)).collect())
     bounds, shards = [(a, b, bytes(c)) for (a, b, c), _ in firsts], [shard for _, shard in firsts]
 
-    @F.pandas_udf("int")
-    def shard_of(absent: pd.Series, page_id: pd.Series, digest: pd.Series) -> pd.Series:
-        return pd.Series([shards[bisect_right(bounds, k) - 1] for k in zip(absent, page_id, digest)], dtype="int32")
+    @F.arrow_udf("int")
+    def shard_of(absent: pa.Array, page_id: pa.Array, digest: pa.Array) -> pa.Array:
+        keys = zip(*(column.to_pylist() for column in (absent, page_id, digest)))
+        return pa.array([shards[bisect_right(bounds, k) - 1] for k in keys], pa.int32())
 
     wide = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("html")).withColumn(
         "digest", F.unhex(F.sha2("html", 256)))
@@ -299,5 +299,6 @@ def read(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), (
         "payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), *(
         [("payload", pa.binary())] if payloads else [])])
-    files = manifest(spark, folder).repartition("name")
+    files = manifest(spark, folder)
+    files = files.repartition(min(max(files.count(), 1), MOST_SHARDS), "name")
     return files.mapInArrow(_reader(folder, payloads, schema), RECORDS + (", payload binary" if payloads else ""))
