@@ -6,7 +6,8 @@ at multiples of the window: a document that crosses a boundary gives a boundary
 Only the very last sequence is not full, so there is no padding elsewhere.
 
 Ids are those of the `tokenizers` library without added special tokens; tiktoken's encoder over the same vocabulary
-gives the same ids several times faster (a test compares them), so that one runs here.
+gives the same ids several times faster (a test compares them), so that one runs here. It gives up on white space of
+about a million characters in a row; a text that has that is encoded by `tokenizers` itself.
 
 Cases: null or empty text is the end mark alone; a repeated row is packed again; a null doc_id is kept; other columns
 are not read, so their names cannot clash; an empty table gives no pieces. One document of any length is cut freely;
@@ -47,7 +48,16 @@ def encoder(vocabulary: str, pattern: str, special: dict[str, int]):
     return _ENCODER[vocabulary]
 
 
-def tokenised(docs: DataFrame, vocabulary: str, pattern: str, special: dict[str, int], end_id: int) -> DataFrame:
+def patient(whole: str):
+    """The `tokenizers` encoder of a whole tokenizer file, loaded where a Python worker first needs it."""
+    if whole not in _ENCODER:
+        from tokenizers import Tokenizer
+        _ENCODER[whole] = Tokenizer.from_file(whole)
+    return _ENCODER[whole]
+
+
+def tokenised(docs: DataFrame, vocabulary: str, pattern: str, special: dict[str, int], end_id: int,
+              whole: str) -> DataFrame:
     """Token ids of each document with the end mark, the partition that made them, and the tokens before it there."""
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("part", T.IntegerType()),
                            T.StructField("before", T.LongType()), T.StructField("n", T.LongType()),
@@ -55,11 +65,18 @@ def tokenised(docs: DataFrame, vocabulary: str, pattern: str, special: dict[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
-        encode = encoder(vocabulary, pattern, special)
+        fast = encoder(vocabulary, pattern, special)
+
+        def encode(text: str) -> list[int]:
+            try:
+                return fast.encode(text, allowed_special="all")
+            except ValueError:
+                return patient(whole).encode(text, add_special_tokens=False).ids
+
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 rows = batch.slice(at, 512)
-                ids = [np.array([*encode.encode(x or "", allowed_special="all"), end_id], "<u4")
+                ids = [np.array([*encode(x or ""), end_id], "<u4")
                        for x in rows.column(1).to_pylist()]
                 n = np.array([len(x) for x in ids], np.int64)
                 yield pa.RecordBatch.from_arrays([
@@ -71,10 +88,11 @@ def tokenised(docs: DataFrame, vocabulary: str, pattern: str, special: dict[str,
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def packed(docs: DataFrame, vocabulary: str, pattern: str, special: dict[str, int] | None = None,
+def packed(docs: DataFrame, vocabulary: str, pattern: str, whole: str, special: dict[str, int] | None = None,
            window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """One row per piece of a document, with its place in a sequence and a checksum of its ids; schema ``PIECES``."""
-    tokens = stage(tokenised(docs, vocabulary, pattern, special or {}, end_id), "tokens")
+    """One row per piece of a document, with its place in a sequence and a checksum of its ids; schema ``PIECES``.
+    ``vocabulary`` and ``whole`` are two files of one vocabulary: tiktoken's ranks and the `tokenizers` description."""
+    tokens = stage(tokenised(docs, vocabulary, pattern, special or {}, end_id, whole), "tokens")
     # Two numbers per partition of the first pass, however many documents it had.
     totals = tokens.groupBy("part").agg(F.sum("n").alias("total")).orderBy("part").collect()
     bases = np.zeros(totals[-1]["part"] + 2 if totals else 1, np.int64)

@@ -30,6 +30,7 @@ def vocabulary() -> dict:
     """The byte-level vocabulary of 50,257 ids; its one special token keeps its id, as in `tokenizers`."""
     import public_tokenizers
     return {"vocabulary": str(public_tokenizers.path("byte_bpe_50k.tiktoken")), "pattern": public_tokenizers.PATTERN,
+            "whole": str(public_tokenizers.path("byte_bpe_50k.json")),
             "special": {"<|endoftext|>": 50256}}
 
 

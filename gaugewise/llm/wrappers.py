@@ -11,7 +11,7 @@ A host's distinct trees are aligned in rounds of groups of about ``TREES``, equa
 figures combine map-side, so a host with a third of all pages is no larger task than others.
 
 Cases: null and empty html give an empty text; a null or odd url is a host of its own kind; unclosed, stray and cut-off
-tags are tolerated as browsers do; repeated rows are extracted each; null page_ids are kept; an empty table gives no
+tags are tolerated as browsers do, in time linear in the page; repeated rows are extracted each; null page_ids are kept; an empty table gives no
 rows; other columns are not read, so their names cannot clash. Depth of nesting is followed up to ``DEPTH`` elements,
 deeper ones count as inline (their text stays).
 """
@@ -56,15 +56,46 @@ commentlist reply replies respond discussion disqus search searchform widget too
 contentinfo masthead""".split())
 MAIN = frozenset(("article", "main"))
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
-    rf"|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*(?:>|\Z)",
-    re.S | re.I)
+#: Possessive, so that a tag that does not end is given up after one look at the rest of the page.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>")
+_CUT_TAG = re.compile(r"<(?:[a-zA-Z][^<>]*+|[!?/][^>]*+)(?:>|\Z)")
+_END = {name: re.compile(rf"</{name}\s*+>", re.I) for name in RAW.split("|")}
+#: So many tags of a page may end nowhere (for an open quote, say); after them quotes no longer hide a >.
+OPEN_ENDS = 16
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _BREAK = "\n"
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Markup in page order: where it starts and ends, its tag's name (empty for none), if it closes, its attributes.
+    Comments and elements without text of the page are one piece each. In time linear in the page."""
+    at, open_ends = 0, 0
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "", False, ""
+            at = end
+            continue
+        tag = (_TAG if open_ends < OPEN_ENDS else _PLAIN_TAG).match(page, at)
+        if tag:
+            end, name = tag.end(), tag.group(2).lower()
+            if name in _END and not tag.group(1):
+                if name not in ("svg", "math") or not tag.group(3).endswith("/"):
+                    close = _END[name].search(page, end)
+                    end = close.end() if close else len(page)
+                name = ""
+            yield at, end, name, bool(tag.group(1)), tag.group(3)
+            at = end
+            continue
+        open_ends += page[at + 1:at + 2].isalpha()
+        cut = _CUT_TAG.match(page, at)
+        if cut:
+            yield at, cut.end(), "", False, ""
+        at = cut.end() if cut else at + 1
+
+
 def texts(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
     """Text runs in page order with their path: the names of the open block elements, with class, id and role."""
     open_: list[str] = []
@@ -83,16 +114,15 @@ def texts(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
         del open_[at:], kinds[at:]
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        run.append(page[at:m.start()])
-        at = m.end()
-        tag = (m.group(3) or "").lower()
+    for start, end, tag, closing, attributes in tags(page):
+        run.append(page[at:start])
+        at = end
         if tag == "br":
             run.append(_BREAK)
         if tag not in BLOCKS:
             continue
         yield from flush()
-        if m.group(2):
+        if closing:
             if tag in kinds:
                 pop_to(len(kinds) - 1 - kinds[::-1].index(tag))
             continue
@@ -108,7 +138,7 @@ def texts(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
                 pop_to(i)
         if tag != "hr" and len(open_) < DEPTH:
             names = re.sub(r"\d+", "0", " ".join(sorted(x.group(2).strip("\"'") for x in _NAMES.finditer(
-                m.group(4)))).lower())
+                attributes))).lower())
             kinds.append(tag)
             open_.append(f"{tag} {names}" if names else tag)
     run.append(page[at:])

@@ -490,3 +490,43 @@ def test_words_of_many_texts():
     h = w.hashes()
     assert h[0] == h[-1] and len(set(h)) == 4 and w.hashes(1)[0] == w.hashes(1)[-1]
     assert hashlib.md5(data).digest()
+
+
+def test_packing_of_endless_white_space(spark):
+    """Runs that the fast encoder refuses, alone and among letters: the ids are those of `tokenizers`."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    slow = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    texts = [" " * 2_000_000, "a" + "\n" * 2_000_000, "a b " + "\t" * 2_000_000 + "c", "x" + " \n" * 600_000 + " y", "plain"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    rows = packing.packed(docs, **queries.vocabulary()).collect()
+    for i, text in enumerate(texts):
+        ids = np.array([*slow.encode(text, add_special_tokens=False).ids, packing.END_ID], "<u4")
+        own = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"])
+        assert sum(r["length"] for r in own) == own[0]["doc_tokens"] == len(ids)
+        assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"]:r["start"] + r["length"]].tobytes()) for r in own)
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a", "<a \"", "<a x='", "<p class=\"", "<!-- ", "<!", "</", "</p ", "<svg ", "<script ",
+                                   "<script>", "</script ", "<aaaa", "< ", "<p a=\"b\" ", "<\u00e9", "&amp", "id  =  "])
+def test_extraction_of_endless_broken_markup(piece):
+    import time
+    for page in (piece * (1_000_000 // len(piece)), "<p>text before</p>" + piece * (1_000_000 // len(piece))):
+        began = time.time()
+        found = [text for _, text in wrappers.texts(page)]
+        assert time.time() - began < 10
+        assert not page.startswith("<p>t") or found[0].startswith("text before")
+
+
+def test_extraction_recovers_from_an_open_quote():
+    page = "<div><p>one</p><a href=\"x>two</a><p>three</p><a title='a>b'>four</a></div>"
+    assert [text for _, text in wrappers.texts(page)][0] == "one"
+    assert "three" in " ".join(text for _, text in wrappers.texts(page))
+
+
+def test_extraction_of_repeated_rows(spark):
+    page = "<html><body><nav>menu</nav><article><h1>t{0}</h1><p>text {0}</p></article><footer>foot</footer></body></html>"
+    rows = [(i % 4, f"http://h/{i % 4}", page.format(i % 4)) for i in range(12)] + [(None, None, page.format(9))] * 3
+    out = wrappers.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = Counter((i, f"t{i} text {i}") for i, *_ in rows if i is not None) + Counter({(None, "t9 text 9"): 3})
+    assert Counter((r["page_id"], r["text"]) for r in out) == want
