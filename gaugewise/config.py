@@ -103,6 +103,7 @@ class Config:
     bucket_us: int = US_PER_DAY
     align_us: int = 3 * US_PER_HOUR
     quantile_us: int = 7 * US_PER_DAY
+    lifecycle_us: int = 365 * US_PER_DAY
     max_rows_per_task: int = 2_000_000
     salts: int = 8
 

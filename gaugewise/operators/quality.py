@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gaugewise.config import (
     DECISIONS, DEFAULT, FAULT_TYPES, US_PER_DAY, US_PER_SECOND, VARIABLES, Config)
 from gaugewise.functions.columns import micros, safe_div
-from gaugewise.operators.timeline import lookup, running, with_adjacent
+from gaugewise.operators.timeline import lookup, ranged, running, with_adjacent
 from gaugewise.schemas import WEATHER_READING
 
 REQUIRED = ("station_id", "ts", "temperature", "pressure", "humidity")
@@ -126,7 +126,12 @@ def median_cadence(gaps: DataFrame) -> DataFrame:
 
 
 def timestamp_audit(df: DataFrame, cfg: Config = DEFAULT, ingest: str = "seq") -> DataFrame:
-    """Per station: repeated timestamps, out-of-order arrivals, gaps beyond factor x median cadence."""
+    """Per station: repeated timestamps, out-of-order arrivals, gaps beyond factor x median cadence.
+
+    ``ingest`` is any column that orders arrivals (a sequence number, epoch microseconds): its order is cut into evenly filled
+    ranges, so neither its scale nor a busy station matters. Rows without a station are one group of their own."""
+    nobody = F.lit("\u0000")
+    df = df.withColumn("station_id", F.coalesce("station_id", nobody))
     gaps = with_gap(df, cfg)
     cadence = median_cadence(gaps)
     gap_counts = lookup(gaps, cadence, ["station_id"], cfg.salts).groupBy("station_id").agg(
@@ -134,13 +139,13 @@ def timestamp_audit(df: DataFrame, cfg: Config = DEFAULT, ingest: str = "seq") -
         F.count_if(F.col("gap_s") > cfg.dropout_factor * F.col("cadence_s")).alias("n_gaps"))
     repeated = duplicates(df).groupBy("station_id").agg(
         F.sum(F.col("copies") - 1).alias("n_repeated"))
-    arrivals = running(df.select("station_id", "reading_id", "t", ingest), ["station_id"],
-                       [ingest, "reading_id"], F.floor(F.col(ingest) / 1_000_000),
+    arrivals = ranged(df.select("station_id", "reading_id", "t", ingest), ["station_id", ingest, "reading_id"], "arrivals")
+    arrivals = running(arrivals, ["station_id"], [ingest, "reading_id"], F.col("_range"),
                        {"latest": ("max", F.col("t"), False)})
     late = arrivals.groupBy("station_id").agg(
         F.count_if(F.col("t") < F.col("latest")).alias("n_out_of_order"))
     return (gap_counts.join(repeated, "station_id", "left").join(late, "station_id", "left")
-            .select("station_id", "n", F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"),
+            .select(F.nullif("station_id", nobody).alias("station_id"), "n", F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"),
                     F.coalesce("n_out_of_order", F.lit(0)).alias("n_out_of_order"),
                     "cadence_s", "n_gaps"))
 

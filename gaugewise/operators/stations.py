@@ -77,16 +77,17 @@ def align_neighbours(df: DataFrame, edges: DataFrame, cfg: Config = DEFAULT) ->
     return out.where(" or ".join(f"an_{v} > 0" for v in VARIABLES))
 
 
-def nearest_neighbours(df: DataFrame, edges: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def nearest_neighbours(df: DataFrame, edges: DataFrame, cfg: Config = DEFAULT, told: DataFrame | None = None
+                       ) -> DataFrame:
     """Per reading and neighbour: the neighbour's usable value nearest in time within +-``time_tol``, per variable
     (an earlier value wins a tie). Same columns as ``align_neighbours``, with counts 0 or 1.
 
     A missing value, a NaN or a sentinel out of bounds is not seen, so the value before or after it is; readings ask
     the neighbour's timeline by ``seen_around``, so again no reading x reading pair is formed and a busy neighbour
-    spreads over its chunks.
+    spreads over its chunks. ``told``: where the neighbours' values come from, if not from the readings that ask.
     """
     tol = cfg.time_tol_us
-    seen = df.select(F.col("station_id").alias("neighbour_id"), "t", "reading_id", *VARIABLES)
+    seen = (df if told is None else told).select(F.col("station_id").alias("neighbour_id"), "t", "reading_id", *VARIABLES)
     near = seen_around(_asked(finite(df, list(VARIABLES)), edges, cfg, *_own()).withColumnRenamed("reading_id", "_asks"),
                        seen, "neighbour_id", "t", cfg.align_us, {v: usable(v, cfg) for v in VARIABLES}, "reading_id")
     out = ["_asks as reading_id", "station_id", "t", "km", *[f"own_{v}" for v in VARIABLES]]
@@ -158,11 +159,12 @@ def cross_station(v: str, cfg: Config) -> Column:
                   F.greatest(F.lit(0.0), 1 - gap))
 
 
-def with_consensus(df: DataFrame, stations: DataFrame, cfg: Config = DEFAULT,
-                   source: DataFrame | None = None) -> DataFrame:
-    """Attach the consensus columns; ``source`` may be a cheaper frame with the same readings."""
-    edges = neighbours(stations, cfg.radius_km)
-    found = consensus(nearest_neighbours(df if source is None else source, edges, cfg), cfg)
+def with_consensus(df: DataFrame, stations: DataFrame, cfg: Config = DEFAULT, source: DataFrame | None = None,
+                   edges: DataFrame | None = None, told: DataFrame | None = None) -> DataFrame:
+    """Attach the consensus columns; ``source`` may be a cheaper frame with the same readings, ``edges`` the station
+    graph where it is known already, ``told`` as in ``nearest_neighbours``."""
+    edges = neighbours(stations, cfg.radius_km) if edges is None else edges
+    found = consensus(nearest_neighbours(df if source is None else source, edges, cfg, told), cfg)
     out = finite(df, list(VARIABLES)).join(found, "reading_id", "left")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for v in VARIABLES
                             for c in (f"nn_{v}", f"agree_{v}")})

@@ -13,6 +13,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from gaugewise.session import cut
+
 
 def finite(df: DataFrame, columns: list[str]) -> DataFrame:
     """NaN and infinities as NULL: a running sum could never take them out again."""
@@ -240,6 +242,12 @@ def running(
     return out.where(F.col("_kind") == 1).drop("_c", "_kind", *[f"_e_{s}" for s in specs])
 
 
+def ranged(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """A written copy with ``_range``: the number of an evenly filled range of ``order``, a chunk for ``running`` whatever the
+    columns' values are. The last column of ``order`` should tell rows apart, so that ties spread too."""
+    return cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), name)
+
+
 def lookup(big: DataFrame, small: DataFrame, keys: list[str], salts: int, how: str = "left",
            spread_by: str = "reading_id") -> DataFrame:
     """Join a fact table with a per-key table without sending a hot key to one task.

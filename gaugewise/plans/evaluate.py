@@ -36,11 +36,11 @@ def flag(observed: DataFrame, cfg: Config = DEFAULT, scores: DataFrame | None =
     return signals.ensemble(out, cfg).withColumn("focus", evidence.focus_variable(cfg))
 
 
-def gather(flagged: DataFrame, readings: DataFrame, stations: DataFrame, cfg: Config = DEFAULT
-           ) -> DataFrame:
+def gather(flagged: DataFrame, readings: DataFrame, stations: DataFrame, cfg: Config = DEFAULT,
+           edges: DataFrame | None = None, told: DataFrame | None = None) -> DataFrame:
     """Evidence per reading, also at its focus variable."""
     base = evidence.with_persistence(flagged, cfg)
-    base = st.with_consensus(base, stations, cfg, source=readings)
+    base = st.with_consensus(base, stations, cfg, source=readings, edges=edges, told=told)
     base = features.with_diurnal_from(base, readings, cfg)
     base = base.withColumns({
         **{f"temporal_{v}": evidence.temporal(v, cfg, F.col(f"trend_excess_{v}")) for v in VARIABLES},
@@ -122,18 +122,21 @@ def fit_config(readings: DataFrame, cfg: Config = DEFAULT, stations: DataFrame |
 
 
 def judged(readings: DataFrame, stations: DataFrame, cfg: Config | None = None,
-           scores: DataFrame | None = None, health: DataFrame | None = None) -> DataFrame:
-    """Decisions and trust of every reading; ``health`` adds the sensors' history to the evidence."""
+           scores: DataFrame | None = None, health: DataFrame | None = None, edges: DataFrame | None = None,
+           told: DataFrame | None = None) -> DataFrame:
+    """Decisions and trust of every reading; ``health`` adds the sensors' history to the evidence, ``edges`` and ``told``
+    give the station graph and the neighbours' readings where they are not to be derived."""
     cfg = fit_config(readings, stations=stations) if cfg is None else cfg
     flagged = cut(flag(observe(readings, cfg), cfg, scores), "observed")
-    return judge(gather(flagged, readings, stations, cfg), cfg, health)
+    return judge(gather(flagged, readings, stations, cfg, edges, told), cfg, health)
 
 
 def evaluated(readings: DataFrame, stations: DataFrame, cfg: Config | None = None,
-              scores: DataFrame | None = None, health: DataFrame | None = None) -> DataFrame:
+              scores: DataFrame | None = None, health: DataFrame | None = None, edges: DataFrame | None = None,
+              told: DataFrame | None = None) -> DataFrame:
     """The full evaluation: every reading, with the diagnosis of the flagged ones."""
     cfg = fit_config(readings, stations=stations) if cfg is None else cfg
-    stage = cut(judged(readings, stations, cfg, scores, health), "judged")
+    stage = cut(judged(readings, stations, cfg, scores, health, edges, told), "judged")
     return with_diagnosis(stage, cfg)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gaugewise.operators import impact as im, quality as q
-from gaugewise.plans.oracle import R
+from gaugewise.plans.oracle import DAY1, R
 from gaugewise.plans.registry import naive, query, r6
 from gaugewise.session import fresh_path
 from gaugewise.sources import fixtures as fx, io
@@ -88,24 +88,43 @@ def l3(spark, sf):
     return out.select("station_id", naive("start_ts"), naive("last_ts"), "n_flagged")
 
 
-@query("l4_track_sensors", f"""SELECT reading_id, variable, run_length, {R('(x - lx) / ((t - lt) / 6e7)')} AS rate,
-  {R('CASE WHEN n >= 8 AND sd > 1e-5 THEN (x - mean) / sd END')} AS z FROM (
- SELECT *, count(*) OVER (PARTITION BY station_id, variable, run ORDER BY t, reading_id) AS run_length FROM (
-  SELECT *, sum(CASE WHEN lx IS NULL OR lx <> x THEN 1 ELSE 0 END) OVER (PARTITION BY station_id, variable
+LATE_PARTS = ("day(ts) <= 10 and event_id % 10 <> 3", "day(ts) between 11 and 20 and event_id % 10 <> 4",
+              "day(ts) <= 10 and event_id % 10 = 3", "day(ts) > 20 or day(ts) between 11 and 20 and event_id % 10 = 4")
+
+
+@query("l4_track_sensors", f"""SELECT reading_id, variable, late, CASE WHEN NOT late THEN run_length END AS run_length,
+  {R('CASE WHEN NOT late THEN (x - lx) / nullif((t - lt) / 6e7, 0) END')} AS rate,
+  {R('CASE WHEN NOT late AND n >= 8 AND sd > 1e-5 THEN (x - mean) / sd END')} AS z FROM (
+ SELECT *, row_number() OVER (PARTITION BY station_id, variable, late, run ORDER BY t, reading_id) AS run_length FROM (
+  SELECT *, sum(CASE WHEN lx IS NULL OR lx <> x THEN 1 ELSE 0 END) OVER (PARTITION BY station_id, variable, late
     ORDER BY t, reading_id) AS run
   FROM (SELECT *, lag(x) OVER w AS lx, lag(t) OVER w AS lt, count(x) OVER p AS n, avg(x) OVER p AS mean, stddev_samp(x) OVER p AS sd
-   FROM obs WHERE x IS NOT NULL WINDOW w AS (PARTITION BY station_id, variable ORDER BY t, reading_id),
-   p AS (PARTITION BY station_id, variable ORDER BY t, reading_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))))""")
+   FROM (SELECT *, coalesce(t <= passed - {DAY1}, false) AS late, max(newest) OVER (PARTITION BY station_id, variable) AS final
+    FROM (SELECT o.*, max(t) OVER (PARTITION BY station_id, variable, b) AS newest,
+      max(t) OVER (PARTITION BY station_id, variable ORDER BY b RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS passed
+     FROM (SELECT o.*, CASE WHEN day(ts) <= 10 THEN CASE WHEN seq % 10 = 3 THEN 2 ELSE 0 END WHEN day(ts) > 20 OR seq % 10 = 4
+        THEN 3 ELSE 1 END AS b FROM obs o JOIN (SELECT reading_id, seq FROM readings) USING (reading_id) WHERE x IS NOT NULL) o))
+   WINDOW w AS (PARTITION BY station_id, variable, late ORDER BY t, reading_id),
+   p AS (PARTITION BY station_id, variable, late ORDER BY t, reading_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))))
+ WHERE late OR t <= final - {DAY1}""")
 def l4(spark, sf):
-    out, _ = ingest.run_to_table(state.track_sensors(q.to_long(stream(spark, sf))), "l4")
-    return out.select("reading_id", "variable", "run_length", r6("rate"), r6("z"))
+    """Four micro-batches; some readings come one or two batches after their days, most of them too late."""
+    events = io.replay(spark, as_files(spark, sf, *LATE_PARTS), FILES, schema=fx.EVENTS_DDL)
+    tracked = state.track_sensors(q.to_long(fx.readings_from(events)), delay_us=DAY1)
+    out, _ = ingest.run_to_table(tracked, "l4")
+    return out.select("reading_id", "variable", "late", "run_length", r6("rate"), r6("z"))
 
 
 @query("l5_online_scoring", f"""SELECT reading_id, decision, fault_type, trust_score, {R('confidence')} AS confidence
  FROM faults WHERE anomaly""")
 def l5(spark, sf):
+    """Four throttled micro-batches, a tenth of the first days' readings among the last: the same as the batch plan."""
+    late = "(event_id % 10 = 3 and day(ts) <= 12)"
+    path = as_files(spark, sf, f"day(ts) <= 12 and not {late}", "day(ts) between 13 and 18", "day(ts) between 19 and 24",
+                    f"day(ts) > 24 or {late}")
+    events = io.replay(spark, path, FILES, schema=fx.EVENTS_DDL)
     folder = fresh_path(spark, "online")
-    online.score_stream(stream(spark, sf), fx.stations(spark, sf), folder,
+    online.score_stream(fx.readings_from(events), fx.stations(spark, sf), folder,
                         fresh_path(spark, "online-checkpoint")).awaitTermination()
     return online.read_scored(spark, folder, "final_evaluations").select(
         "reading_id", "decision", "fault_type", "trust_score", r6("confidence"))
@@ -124,6 +143,20 @@ def l6(spark, sf):
         "station_id", naive("start_ts"), "n", "n_streamed")
 
 
+@query("l6_late_counts", """SELECT CAST(b AS BIGINT) AS batch, start_ts, count(*) AS n_late FROM (
+  SELECT *, date_trunc('day', ts) AS start_ts, max(newest) OVER (ORDER BY b RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS passed
+  FROM (SELECT *, max(ts) OVER (PARTITION BY b) AS newest FROM (SELECT *, CASE WHEN seq % 10 = 3 AND day(ts) <= 12 THEN 2
+    WHEN day(ts) <= 10 THEN 0 WHEN day(ts) <= 20 THEN 1 ELSE 3 END AS b FROM readings)))
+ WHERE start_ts + INTERVAL 1 DAY <= passed - INTERVAL 1 HOUR GROUP BY b, start_ts""")
+def l6_counts(spark, sf):
+    """Four micro-batches, the third of them rows of days that the second has closed, or not quite."""
+    late = "(event_id % 10 = 3 and day(ts) <= 12)"
+    path = as_files(spark, sf, f"day(ts) <= 10 and not {late}", f"day(ts) between 11 and 20 and not {late}", late, "day(ts) > 20")
+    events = io.replay(spark, path, FILES, schema=fx.EVENTS_DDL)
+    landed, _ = ingest.land(fx.readings_from(events), "l6-landed")
+    return ingest.late_counts(landed, "1 day").select("batch", naive("start_ts"), "n_late")
+
+
 @query("l7_silent_stations", """SELECT station_id, last_t, n FROM (SELECT station_id, max(t) AS last_t, count(*) AS n,
   CAST(trunc(4e0 * (max(t) - min(t)) / (count(*) - 1)) AS BIGINT) AS limit_us FROM readings GROUP BY station_id HAVING count(*) > 1)
  WHERE (last_t + limit_us) // 1000 + 1 <= (SELECT max(t) FROM readings) // 1000 - 3600000""")

@@ -58,8 +58,9 @@ def read_sensors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_raw(df: DataFrame, path: str) -> None:
-    """Append raw readings, partitioned by day; the API has no way to overwrite them."""
-    (df.withColumn("dt", F.to_date("ts")).repartition("dt", F.pmod(F.xxhash64("reading_id"), F.lit(16)))
+    """Append raw readings, partitioned by day; the API has no way to overwrite them. Rows are rebalanced by day: small
+    days share a task and a large one is split, so the number of files follows the bytes."""
+    (df.withColumn("dt", F.to_date("ts")).hint("rebalance", "dt")
      .write.mode("append").partitionBy("dt").parquet(path))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from gaugewise.config import VARIABLES
@@ -58,9 +58,30 @@ def run_validated(stream: DataFrame, name: str, delay: str = "1 hour") -> tuple[
     return good, run_to_table(quarantined(stream), f"{name}-quarantine")[0]
 
 
-def dropped_late(q: StreamingQuery) -> int:
-    """Rows (after partial aggregation) that arrived behind the watermark."""
-    return sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
+def land(stream: DataFrame, name: str) -> tuple[DataFrame, StreamingQuery]:
+    """Drive a stream into a table that keeps the number of the micro-batch that brought each row, as ``batch``; a
+    retried micro-batch replaces its rows."""
+    spark, path = stream.sparkSession, fresh_path(stream.sparkSession, name)
+    q = (stream.writeStream.foreachBatch(lambda rows, i: rows.write.mode("overwrite").parquet(f"{path}/batch={i}"))
+         .option("checkpointLocation", fresh_path(spark, f"{name}-checkpoint")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(schema).option("basePath", path).parquet(path), q
+
+
+def late_rows(landed: DataFrame, width: str, delay: str = "1 hour") -> DataFrame:
+    """The rows of a landed table that came when the window of ``width`` they belong to was closed already: the newest
+    time of the micro-batches before theirs, less ``delay``, had passed its end. With the window's ``start_ts``."""
+    newest = landed.groupBy("batch").agg(F.max("ts").alias("newest"))  # one row per micro-batch
+    earlier = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
+    closed = newest.select("batch", (F.max("newest").over(earlier) - F.expr(f"interval {delay}")).alias("closed"))
+    rows = landed.withColumn("_w", F.window("ts", width)).join(closed, "batch")
+    return rows.where("_w.end <= closed").withColumn("start_ts", F.col("_w.start")).drop("_w", "closed")
+
+
+def late_counts(landed: DataFrame, width: str, delay: str = "1 hour") -> DataFrame:
+    """How many late rows each micro-batch brought for each window."""
+    return late_rows(landed, width, delay).groupBy("batch", "start_ts").agg(F.count(F.lit(1)).alias("n_late"))
 
 
 def revisions(batch: DataFrame, streamed: DataFrame) -> DataFrame:
