@@ -133,38 +133,6 @@ class QuantileScan:
         return [pa.array(q, mask=np.isnan(q)) for q in out]
 
 
-@dataclass
-class TreeGrower:
-    """Grows one isolation tree (Liu, Ting, Zhou 2008) from the bounded sample of one tree id."""
-
-    features: list[str]
-    psi: int
-    seed: int
-
-    def grow(self, key: tuple[int], pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(key[0])
-        rng = np.random.default_rng([self.seed, tree])
-        data = pdf.sort_values("reading_id")[self.features].to_numpy(float)
-        limit, nodes = int(np.ceil(np.log2(self.psi))), []
-        todo = [(0, np.arange(len(data)), 0)]
-        nodes.append(None)
-        while todo:
-            node, rows, depth = todo.pop()
-            part = data[rows]
-            spread = np.flatnonzero(part.max(axis=0) > part.min(axis=0)) if len(rows) > 1 else np.array([], int)
-            if depth >= limit or not len(spread):
-                nodes[node] = (tree, node, -1, 0.0, 0, 0, depth + mean_path(len(rows)))
-                continue
-            f = int(rng.choice(spread))
-            at = float(rng.uniform(part[:, f].min(), part[:, f].max()))
-            left, right = len(nodes), len(nodes) + 1
-            nodes += [None, None]
-            nodes[node] = (tree, node, f, at, left, right, 0.0)
-            below = part[:, f] <= at
-            todo += [(left, rows[below], depth + 1), (right, rows[~below], depth + 1)]
-        return pd.DataFrame(nodes, columns=["tree", "node", "feature", "at", "below", "above", "path"])
-
-
 def mean_path(n: int) -> float:
     """Expected path length of an unsuccessful search among n points."""
     if n <= 1:
@@ -174,12 +142,10 @@ def mean_path(n: int) -> float:
 
 @dataclass
 class ForestScorer:
-    """Walks all trees for a batch of rows at once; arrays are (trees, nodes)."""
+    """Walks all trees for a batch of rows at once; arrays are (trees, nodes), the children of node i are 2i and 2i + 1."""
 
     feature: np.ndarray
     at: np.ndarray
-    below: np.ndarray
-    above: np.ndarray
     path: np.ndarray
     depth: int
     scale: float
@@ -187,13 +153,12 @@ class ForestScorer:
     def __call__(self, columns: list[pd.Series]) -> pd.Series:
         x = np.column_stack([c.to_numpy(float) for c in columns])
         trees = np.arange(len(self.feature))[:, None]
-        node = np.zeros((len(self.feature), len(x)), dtype=np.int64)
+        node = np.ones((len(self.feature), len(x)), dtype=np.int64)
         rows = np.arange(len(x))[None, :]
         for _ in range(self.depth):
             f = self.feature[trees, node]
-            go = np.where(x[rows, np.maximum(f, 0)] <= self.at[trees, node],
-                          self.below[trees, node], self.above[trees, node])
-            node = np.where(f >= 0, go, node)
+            above = x[rows, np.maximum(f, 0)] > self.at[trees, node]
+            node = np.where(f >= 0, 2 * node + above, node)
         score = np.power(2.0, -self.path[trees, node].mean(axis=0) / self.scale)
         score[np.isnan(x).any(axis=1)] = np.nan
         return pd.Series(score)

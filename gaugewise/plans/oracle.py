@@ -359,6 +359,84 @@ CTES["vector_prior"] = CTES["vector"].replace(
 CTES["judged_prior"] = CTES["judged"].replace("FROM vector)", "FROM vector_prior)")
 
 
+# The isolation forest grown by the same draws: rows thinned, dealt to trees, split level by level, then walked.
+_TREES, _PSI, _LEVELS = 100, 256, 8
+_X = ("a", "b", "c", "d")
+
+
+def _drawn(*parts: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 8) AS BIGINT)"
+
+
+def _chosen(of: str) -> str:
+    """A column of the node's feature."""
+    return "CASE feature " + " ".join(f"WHEN {i} THEN {of.format(x)}" for i, x in enumerate(_X)) + " END"
+
+
+_VARY = "list_filter([" + ", ".join(f"CASE WHEN hi_{x} > lo_{x} THEN {i} END" for i, x in enumerate(_X)) + \
+    "], lambda i: i IS NOT NULL)"
+_RANGES = ", ".join(f"min({x}) OVER g AS lo_{x}, max({x}) OVER g AS hi_{x}" for x in _X)
+_SPLIT = f"""SELECT *, {_chosen('lo_{}')} + {_drawn("'at'", "tree", "node")} / 4294967296e0 * ({_chosen('hi_{}')} - {_chosen('lo_{}')}) AS cutoff
+  FROM (SELECT *, CASE WHEN level < {_LEVELS} AND len(vary) > 0 THEN vary[({_drawn("'feature'", "tree", "node")} % len(vary)) + 1]
+    ELSE -1 END AS feature FROM (SELECT *, {_VARY} AS vary
+     FROM (SELECT *, count(*) OVER g AS n, {_RANGES} FROM grown WINDOW g AS (PARTITION BY tree, node))))"""
+CTES["scorable"] = f"""
+ SELECT * FROM (SELECT reading_id, ute AS a, upr AS b, uhu AS c, CAST(hour(ts) AS DOUBLE) AS d
+  FROM clean JOIN (SELECT reading_id, ts FROM readings) USING (reading_id)) WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL"""
+CTES["forest"] = f"""
+ WITH RECURSIVE size AS (SELECT count(*) AS rows, least({_PSI}, greatest(count(*), 2)) AS psi FROM scorable),
+ share AS (SELECT rows, psi, least(1e0, {4 * _TREES} * psi / CAST(greatest(rows, 1) AS DOUBLE)) AS kept FROM size),
+ dealt AS (SELECT s.*, tree, {_drawn("'tree'", "tree", "reading_id")} AS o
+  FROM scorable s, share, range({_TREES}) AS k(tree) WHERE {_drawn("'row'", "reading_id")} < CAST(floor(kept * 4294967296e0) AS BIGINT)
+   AND {_drawn("'tree'", "tree", "reading_id")} < CAST(floor(least(1e0, 1.3e0 * psi / greatest(kept * rows, 1e0)) * 4294967296e0) AS BIGINT)),
+ sample AS (SELECT d.* FROM dealt d, share QUALIFY row_number() OVER (PARTITION BY tree ORDER BY o, reading_id) <= psi),
+ grown AS (SELECT 0 AS level, tree, CAST(1 AS BIGINT) AS node, a, b, c, d FROM sample
+  UNION ALL SELECT level + 1, tree, 2 * node + CASE WHEN {_chosen('{}')} > cutoff THEN 1 ELSE 0 END, a, b, c, d
+  FROM ({_SPLIT}) WHERE feature >= 0),
+ nodes AS (SELECT tree, node, any_value(feature) AS feature, any_value(cutoff) AS cutoff, any_value(CASE WHEN n > 1
+   THEN level + 2 * (ln(CAST(n - 1 AS DOUBLE)) + 0.5772156649015329e0) - 2e0 * (n - 1) / n ELSE CAST(level AS DOUBLE) END) AS path
+  FROM ({_SPLIT.replace("(PARTITION BY tree, node)", "(PARTITION BY level, tree, node)")}) GROUP BY tree, node),
+ walk AS (SELECT reading_id, a, b, c, d, tree, CAST(1 AS BIGINT) AS node, feature, cutoff, path FROM scorable, nodes WHERE node = 1
+  UNION ALL SELECT w.reading_id, w.a, w.b, w.c, w.d, w.tree, n.node, n.feature, n.cutoff, n.path
+  FROM (SELECT *, 2 * node + CASE WHEN {_chosen('{}')} > cutoff THEN 1 ELSE 0 END AS child FROM walk WHERE feature >= 0) w
+  JOIN nodes n ON n.tree = w.tree AND n.node = w.child)
+ SELECT reading_id, pow(2e0, -avg(path) / (SELECT 2 * (ln(CAST(psi - 1 AS DOUBLE)) + 0.5772156649015329e0) - 2e0 * (psi - 1) / psi
+  FROM share)) AS score FROM walk WHERE feature < 0 GROUP BY reading_id"""
+
+# The two leading axes of the correlation matrix by power iteration, the second beside the first.
+_M = [[f"r{min(i, j)}{max(i, j)}" if i != j else "1e0" for j in range(4)] for i in range(4)]
+
+
+def _dot(left: list[str], right: list[str]) -> str:
+    return "(" + " + ".join(f"{a} * {b}" for a, b in zip(left, right)) + ")"
+
+
+def _axis(name: str, minus: str | None) -> str:
+    """Power iteration from a fixed vector; ``minus``: an axis to stay beside."""
+    v = [f"v{i}" for i in range(4)]
+    step = [_dot(_M[i], v) + (f" - {minus}.l * {minus}.v{i} * {_dot([f'{minus}.v{j}' for j in range(4)], ['p.' + x for x in v])}"
+                              if minus else "") for i in range(4)]
+    step = [e.replace("* v", "* p.v") for e in step]
+    grown = ", ".join(f"{e} AS w{i}" for i, e in enumerate(step))
+    norm = "sqrt(w0 * w0 + w1 * w1 + w2 * w2 + w3 * w3)"
+    return f"""{name}_steps AS (SELECT 0 AS i, 0.9e0 AS v0, 0.5e0 AS v1, 0.3e0 AS v2, 0.7e0 AS v3, 0e0 AS l
+  UNION ALL SELECT i + 1, w0 / {norm}, w1 / {norm}, w2 / {norm}, w3 / {norm}, {norm}
+  FROM (SELECT p.i, {grown} FROM {name}_steps p, m{', ' + minus if minus else ''} WHERE p.i < 600)),
+ {name} AS (SELECT * FROM {name}_steps WHERE i = 600)"""
+
+
+CTES["reconstruction"] = f"""
+ WITH RECURSIVE s AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(d) AS md, stddev_samp(a) AS sa, stddev_samp(b) AS sb,
+   stddev_samp(c) AS sc, stddev_samp(d) AS sd FROM scorable),
+ z AS (SELECT reading_id, (a - ma) / sa AS z0, (b - mb) / sb AS z1, (c - mc) / sc AS z2, (d - md) / sd AS z3 FROM scorable, s),
+ m AS (SELECT {', '.join(f'corr(z{i}, z{j}) AS r{i}{j}' for i in range(4) for j in range(i + 1, 4))} FROM z),
+ {_axis('one', None)},
+ {_axis('two', 'one')},
+ e AS (SELECT reading_id, greatest(z0 * z0 + z1 * z1 + z2 * z2 + z3 * z3 - pow({_dot([f'z{i}' for i in range(4)], [f'one.v{i}' for i in range(4)])}, 2)
+   - pow({_dot([f'z{i}' for i in range(4)], [f'two.v{i}' for i in range(4)])}, 2), 0e0) AS error FROM z, one, two)
+ SELECT reading_id, least(1e0, error / (SELECT greatest(quantile_cont(error, 0.99), 1e-12) FROM e)) AS score FROM e"""
+
+
 # Readings with NaN, infinities and sentinels among their values (``fixtures.broken_readings``).
 BROKEN = f"""
  SELECT * REPLACE (

@@ -51,28 +51,31 @@ def f5(spark, sf):
     return sg.statistical_score(fx.readings(spark, sf)).select("reading_id", r6("statistical"))
 
 
-@query("f6_isolation_forest")
+@query("f6_isolation_forest", f"""SELECT reading_id, {R('f.score')} AS isolation_forest, truth
+ FROM readings LEFT JOIN forest f USING (reading_id)""")
 def f6(spark, sf):
     d = models.model_features(fx.readings(spark, sf))
     return models.isolation_forest_score(models.isolation_forest_fit(d), d).select(
         "reading_id", r6("isolation_forest"), "truth")
 
 
-@query("f7_reconstruction")
+@query("f7_reconstruction", f"""SELECT reading_id, {R('c.score')} AS autoencoder, 'pca_reconstruction' AS model_source, truth
+ FROM readings LEFT JOIN reconstruction c USING (reading_id)""")
 def f7(spark, sf):
     d = models.model_features(fx.readings(spark, sf))
     return models.reconstruction_score(models.reconstruction_fit(d), d).select(
         "reading_id", r6("autoencoder"), F.lit("pca_reconstruction").alias("model_source"), "truth")
 
 
-@query("f8_ensemble", f"""SELECT f.reading_id, structural OR coalesce(statistical >= 0.5, false) OR k / 100e0 >= 0.65
-  AS anomaly, {R("CASE WHEN structural THEN 1e0 WHEN statistical IS NULL THEN k / 100e0 ELSE (statistical + k / 100e0) / 2 END")}
-  AS anomaly_score FROM flagged f JOIN readings r USING (reading_id)""")
+@query("f8_ensemble", f"""SELECT reading_id, structural OR coalesce(statistical >= 0.5, false) OR coalesce(forest_score >= 0.65, false)
+  OR coalesce(code_score >= 0.9, false) AS anomaly, {R("CASE WHEN structural THEN 1e0 ELSE coalesce(list_avg([statistical, forest_score, code_score]), 0e0) END")}
+  AS anomaly_score FROM (SELECT f.*, t.score AS forest_score, c.score AS code_score
+  FROM flagged f LEFT JOIN forest t USING (reading_id) LEFT JOIN reconstruction c USING (reading_id))""")
 def f8(spark, sf):
-    base = sg.statistical_score(fx.readings(spark, sf))
-    scored = base.join(fx.model_scores(spark, sf).withColumnRenamed("score", "isolation_forest"), "reading_id")
-    return sg.ensemble(scored.withColumn("autoencoder", F.lit(None).cast("double"))).select(
-        "reading_id", "anomaly", r6("anomaly_score"))
+    """The ensemble of the three detectors, each with the scores it really gives."""
+    rows = fx.readings(spark, sf)
+    scored = sg.statistical_score(rows).join(models.model_scores(rows), "reading_id", "left")
+    return sg.ensemble(scored).select("reading_id", "anomaly", r6("anomaly_score"))
 
 
 @query("f9_adapter", f"""SELECT reading_id, k >= 65 AS anomaly, {R('k / 100e0')} AS anomaly_score,
