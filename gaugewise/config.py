@@ -35,7 +35,6 @@ class Config:
     min_recent: int = 3
     # signals
     z_cap: float = 6.0
-    z_flag: float = 3.0
     q_lo: float = 0.05
     q_hi: float = 0.95
     flag_stat: float = 0.5

@@ -185,12 +185,6 @@ def features(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         *[f"{m}_{v}" for v in VARIABLES for m in ("mean", "std")])
 
 
-def assemble(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pack feature columns into an MLlib vector; rows with a missing feature are skipped."""
-    from pyspark.ml.feature import VectorAssembler
-    return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip").transform(df)
-
-
 def explore(df: DataFrame, bins: int = 20, cfg: Config = DEFAULT) -> DataFrame:
     """Histogram of every variable over its physical bounds (long form)."""
     rows = F.array(*[F.struct(

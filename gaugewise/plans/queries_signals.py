@@ -78,13 +78,18 @@ def f8(spark, sf):
     return sg.ensemble(scored).select("reading_id", "anomaly", r6("anomaly_score"))
 
 
-@query("f9_adapter", f"""SELECT reading_id, k >= 65 AS anomaly, {R('k / 100e0')} AS anomaly_score,
- 'external' AS model_source FROM readings""")
+def _forest(rows):
+    """A scorer as the adapter takes it: features in, (reading_id, score) out."""
+    d = models.model_features(rows.withColumn("ts", F.timestamp_micros("t")))
+    return models.isolation_forest_score(models.isolation_forest_fit(d), d).select(
+        "reading_id", F.col("isolation_forest").alias("score"))
+
+
+@query("f9_adapter", f"""SELECT reading_id, coalesce(f.score >= 0.65, false) AS anomaly, {R('f.score')} AS anomaly_score,
+ 'isolation_forest' AS model_source FROM readings LEFT JOIN forest f USING (reading_id)""")
 def f9(spark, sf):
-    scores = fx.model_scores(spark, sf)
-    out = sg.adapt(fx.readings(spark, sf), lambda d: d.select("reading_id").join(scores, "reading_id"),
-                   "external", 0.65)
-    return out.select("reading_id", "anomaly", r6("anomaly_score"), "model_source")
+    return sg.adapt(fx.readings(spark, sf), _forest, "isolation_forest", 0.65).select(
+        "reading_id", "anomaly", r6("anomaly_score"), "model_source")
 
 
 @query("f10_evaluate", f"""SELECT kind, tp, fp, fn, tn, {R('tp / nullif(CAST(tp + fp AS DOUBLE), 0)')} AS "precision",

@@ -8,13 +8,6 @@ WEATHER_READING = (
 READINGS = (
     "reading_id string, station_id string, ts timestamp, temperature double, pressure double, "
     "humidity double, wind_speed double, raw_payload string, quality_flag string")
-SIGNALS = ("statistical double, isolation_forest double, autoencoder double")
-ANOMALY_RESULT = (
-    "reading_id string, anomaly boolean, anomaly_score double, "
-    "signals struct<statistical:double,isolation_forest:double,autoencoder:double>")
-DECISION_RESULT = (
-    "reading_id string, decision string, confidence double, evidence "
-    "struct<temporal:double,cross_sensor:double,cross_station:double,persistence:double>")
 FINAL_EVALUATION = (
     "reading_id string, decision string, fault_type string, trust_score int, confidence double, "
     "suggested_value double, explanation array<string>")

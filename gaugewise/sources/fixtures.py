@@ -79,8 +79,3 @@ def correction_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("event_no"),
         F.col("o_orderdate").cast("timestamp").alias("event_ts"), status.alias("status"),
         F.concat(F.lit("reviewer-"), (F.col("o_orderkey") % 7).cast("string")).alias("actor"))
-
-
-def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = readings(spark, sf_dir)
-    return r.select("reading_id", ((F.col("k") % 100) / 100).alias("score"))
