@@ -51,8 +51,30 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+#: A written stage is all that later stages read, so the shuffle files behind it may go once it is written.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a stage as Parquet and read it back, so later stages neither recompute nor lose it."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*stages: DataFrame) -> None:
+    """Delete the folders of written stages (as ``cut`` returned them) whose last reader has ended; nothing that lies
+    outside the folder of written stages is touched."""
+    for df in stages:
+        spark, files = df.sparkSession, df._jdf.inputFiles()
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        if len(files):
+            folder = path(files[0]).getParent()
+            system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+            if folder.getParent() == system.makeQualified(path(work_dir(spark))):
+                system.delete(folder, True)

@@ -7,6 +7,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from gaugewise import session
 from gaugewise.config import DEFAULT, US_PER_HOUR
 from gaugewise.operators import evidence, faults, features, health, signals, stations as st
 from gaugewise.plans import evaluate
@@ -82,3 +83,14 @@ def test_results_do_not_depend_on_the_layout(spark):
     a = sorted(map(tuple, evaluate.evaluated(r, s, DEFAULT).select(*columns).collect()), key=lambda x: x[0])
     b = sorted(map(tuple, evaluate.evaluated(r, s, fine).select(*columns).collect()), key=lambda x: x[0])
     assert a == b
+
+
+def test_written_stages_go_after_their_last_reader(spark, tmp_path):
+    rows = spark.range(100).withColumn("k", F.col("id") % 7)
+    kept, gone = session.cut(rows.repartition("k"), "kept"), session.cut(rows.groupBy("k").count(), "gone")
+    rows.write.parquet(str(tmp_path / "input"))
+    session.discard(gone, spark.read.parquet(str(tmp_path / "input")), session.cut(rows.limit(0), "empty"))
+    assert kept.count() == 100 and spark.read.parquet(str(tmp_path / "input")).count() == 100
+    with pytest.raises(Exception, match="(?i)not.*exist|not.*found"):
+        gone.collect()
+    assert spark.conf.get(session.FREE_SHUFFLES, "false") == "false"
