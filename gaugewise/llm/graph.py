@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gaugewise.llm.common import stage
+from gaugewise.session import discard
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,7 +24,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(
             F.col("v")).alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        links = stage(small, "links")
+        done, links = links, stage(small, "links")
+        discard(done)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum(
             F.expr("xxhash64(v, u)").cast("decimal(20,0)"))).first()
         if now == before:

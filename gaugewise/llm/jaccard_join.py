@@ -34,6 +34,7 @@ from pyspark.sql.window import Window
 
 from gaugewise.llm.common import SPACES, Words, mixed, pieces, stage
 from gaugewise.llm.graph import components
+from gaugewise.session import discard
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -239,13 +240,16 @@ def linked_in_blocks(rest: DataFrame, sets: DataFrame, most: tuple[int, int]) ->
 def linked(docs: DataFrame, width: int = SHINGLE, most: tuple[int, int] = SIMILARITY) -> DataFrame:
     """Per row: doc_id, text_hash, n_shingles, set, root (the same within a component only), and component_id, the
     smallest doc_id reachable by links."""
-    rows = stage(posted(docs, width, most), "sets")
+    keyed = stage(posted(docs, width, most), "sets")
     key = Window.partitionBy("key")
-    lists = rows.filter(F.size("keys") > 0).select(F.explode("keys").alias("key"), F.col("set").alias("u"), "n")
-    lists = stage(lists.withColumn("lo", F.min("u").over(key)).withColumn("hi", F.max("u").over(key)).filter(
+    lists = keyed.filter(F.size("keys") > 0).select(F.explode("keys").alias("key"), F.col("set").alias("u"), "n")
+    shared = stage(lists.withColumn("lo", F.min("u").over(key)).withColumn("hi", F.max("u").over(key)).filter(
         "lo < hi").drop("lo", "hi").distinct(), "lists")
-    company = lists.withColumn("c", F.count("*").over(key)).groupBy("u").agg(F.sum("c").alias("w"))
-    lists = stage(lists.join(company, "u").withColumn("v", F.max(F.struct("w", "u")).over(key)["u"]).drop("w"), "stars")
+    rows = stage(keyed.drop("keys"), "rows")
+    discard(keyed)
+    company = shared.withColumn("c", F.count("*").over(key)).groupBy("u").agg(F.sum("c").alias("w"))
+    lists = stage(shared.join(company, "u").withColumn("v", F.max(F.struct("w", "u")).over(key)["u"]).drop("w"), "stars")
+    discard(shared)
     # One document of each set that is in a list: the set is made again from its text.
     nodes = lists.select("u").distinct()
     wanted = rows.join(nodes, rows["set"] == nodes["u"], "left_semi").groupBy("set").agg(
@@ -259,13 +263,16 @@ def linked(docs: DataFrame, width: int = SHINGLE, most: tuple[int, int] = SIMILA
         "key", "u", "n", F.coalesce("root", "u").alias("root"))
     rest = stage(rest.withColumn("lo", F.min("root").over(key)).withColumn("hi", F.max("root").over(key)).filter(
         "lo < hi").withColumn("c", F.count("*").over(key)).drop("lo", "hi"), "rest")
+    discard(lists)
     a, b = rest.filter(F.col("c") <= SMALL).alias("a"), rest.filter(F.col("c") <= SMALL).alias("b")
     similar = (F.least("a.n", "b.n") * most[1] >= F.greatest("a.n", "b.n") * most[0])
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.u") > F.col("b.u")) & (
         F.col("a.root") != F.col("b.root")) & similar).select(F.col("a.u").alias("u"), F.col("b.u").alias("v"))
     second = verified(pairs.distinct(), sets, most)
     third = linked_in_blocks(rest.filter(F.col("c") > SMALL), sets.select("set", "elements"), most)
-    roots = components(first.unionAll(second).unionAll(third))
+    links = stage(first.unionAll(second).unionAll(third), "all-links")
+    discard(sets, rest, first)
+    roots = components(links)
     rows = rows.join(roots, rows["set"] == roots["node"], "left").select(
         "doc_id", "text_hash", F.col("n").alias("n_shingles"), "set", F.coalesce("root", "set").alias("root"))
     # Written, so that the join below has nothing but rows on either side and a hot root can be split.
