@@ -8,7 +8,8 @@ permuted blocks of a source then fill the shards' counts, disjointly, and each s
 
 Places on a line are two-level prefix sums: documents are dealt into buckets of a source by their random key, bucket
 totals are summed, then places within buckets; a source with a third of all rows is many buckets. The tree sees one
-row per source and node, never documents.
+row per source and node, never documents; documents meet their shard by an equi-join on the block. What no shard
+takes is not in the mix.
 
 Cases: null text has size 0; a null source is a source of its own, ordered last; a repeated row is drawn on its own;
 null doc_ids are kept; all columns of the input ride along in one struct, so names cannot clash; an empty table or one
@@ -25,7 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from gaugewise.llm.common import text_or_empty
+from gaugewise.llm.common import stage, text_or_empty
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -79,8 +80,8 @@ def _split(levels: int, seed: int):
 
 
 def shard_quotas(quotas: DataFrame, shards: int, seed: int, levels: int = 2) -> DataFrame:
-    """From ``at`` and ``n`` blocks of each source: per source the ``shards`` that get some, the block number ``ends``
-    where each one's share ends, and every ``step``-th of those for a search in two steps."""
+    """From ``at`` and ``n`` blocks of each source: per source the ``shards`` that get some, and the number ``ends`` of
+    places where each one's share ends."""
     height = shards.bit_length() - 1
     if 1 << height != shards:
         raise ValueError("the number of shards is a power of two")
@@ -90,30 +91,49 @@ def shard_quotas(quotas: DataFrame, shards: int, seed: int, levels: int = 2) ->
     so_far = Window.partitionBy("at").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
     counts = nodes.withColumn("end", F.sum("n").over(so_far)).groupBy("at").agg(
         F.sort_array(F.collect_list(F.struct("end", "node"))).alias("c"))
-    step = F.ceil(F.sqrt(F.size("c"))).cast("int")
-    counts = counts.select("at", F.col("c.node").alias("shards"), F.col("c.end").alias("ends"), step.alias("step"))
-    return counts.withColumn("marks", F.filter("ends", lambda end, i: i % F.col("step") == F.col("step") - 1))
+    return counts.select("at", F.col("c.node").alias("shards"), F.col("c.end").alias("ends"))
 
 
-def drawn(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE,
-          most: int = MOST, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS,
-          bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """For each row of docs (``doc``, a struct; needs doc_id, source, and text or ``n_words``): ``size``,
-    ``source_size``, ``target``, and ``pieces``: for each walk over it the words taken, the shard and the order there."""
+def block_shards(sizes: DataFrame, shards: int, seed: str, group: int = BUCKET_ROWS) -> DataFrame:
+    """From ``at``, ``source`` and ``n`` blocks of each source: the ``shard`` of each ``block`` (from 0). A source's
+    blocks in a seeded random order fill its shards' counts. Places in that order are prefix sums over groups of about
+    ``group`` blocks, so no task sees all blocks of a source."""
+    ends = shard_quotas(sizes.select("at", "n"), shards, int.from_bytes(seed.encode()[:8], "big"))
+    share = ends.select("at", "ends", F.posexplode("shards").alias("i", "shard")).select(
+        "at", "shard", F.get("ends", F.col("i") - 1).alias("before"), F.get("ends", "i").alias("end"))
+    places = share.select("at", "shard", F.explode(F.sequence(F.coalesce("before", F.lit(0).cast(
+        "long")), F.col("end") - 1)).alias("rank"))
+    step = F.lit(group).cast("long")
+    blocks = sizes.filter("n > 0").select("at", "source", "n", F.explode(F.sequence(F.lit(0).cast(
+        "long"), F.floor((F.col("n") - 1) / step))).alias("part"))
+    blocks = blocks.select("at", "n", "source", F.explode(F.sequence(F.col("part") * step, F.least(
+        F.col("n"), (F.col("part") + 1) * step) - 1)).alias("block"))
+    blocks = blocks.withColumn("h", F.xxhash64(F.lit(seed), "source", "block")).withColumn(
+        "part", F.pmod(F.shiftright("h", 20), F.ceil(F.col("n") / step)))
+    base = blocks.groupBy("at", "part").agg(F.count("*").alias("rows")).withColumn("base", F.sum("rows").over(
+        Window.partitionBy("at").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("rows"))
+    within = F.row_number().over(Window.partitionBy("at", "part").orderBy("h", "block"))
+    return blocks.withColumn("within", within).join(base, ["at", "part"]).select(
+        "at", "block", (F.col("base") + F.col("within") - 1).alias("rank")).join(places, ["at", "rank"]).select(
+            "at", "block", "shard")
+
+
+def _walked(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE,
+            most: int = MOST, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS,
+            bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Each row of docs with its source's number ``at`` and its ``walks``, and the table of ``block_shards``."""
     size = F.col("n_words") if "n_words" in docs.columns else words(text_or_empty())
     rows = docs.select(F.struct(*docs.columns).alias("doc"), "source", size.alias("size"), F.md5(
         F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"))
     sizes = targets(rows.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("source_size")),
                     weights, share, most)
-    quota = F.round("target").cast("long")
-    sizes = sizes.withColumn("quota", quota).withColumn(
-        "n", F.ceil(F.col("quota") / F.lit(block_words)).cast("long"))
+    sizes = sizes.withColumn("quota", F.round("target").cast("long"))
+    sizes = stage(sizes.withColumn("n", F.ceil(F.col("quota") / F.lit(block_words)).cast("long")), "sources")
     total = sizes.agg(F.sum("quota")).first()[0] or 0
     shards = 1 << max(0, -(-total // shard_words) - 1).bit_length()
-    ends = shard_quotas(sizes.select("at", "n"), shards, int.from_bytes(seed.encode()[:8], "big"))
-    plan = sizes.join(ends, "at", "left").withColumnRenamed("source", "s")
+    blocks = stage(block_shards(sizes, shards, seed), "blocks")
     spread = F.conv(F.substring("key", 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
-    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn(
+    rows = rows.join(sizes.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).withColumn(
         "bucket", F.floor(spread * F.ceil(F.col("rows") / bucket_rows)))
     totals = rows.groupBy("at", "bucket").agg(F.sum("size").alias("total"))
     earlier = Window.partitionBy("at").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -123,32 +143,46 @@ def drawn(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS
     rows = rows.withColumn("place", F.coalesce(F.sum("size").over(within), F.lit(0))).join(totals, ["at", "bucket"])
     rows = rows.withColumn("place", F.col("place") + F.col("base"))
 
-    def piece(walk: Column) -> Column:
-        start = walk * F.col("source_size") + F.col("place")
+    def walk(i: int) -> Column:
+        start = F.lit(i).cast("long") * F.col("source_size") + F.col("place")
         taken = F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - start))
-        # Any number below n is hit once: the multiplier is a prime above every n.
-        block = F.floor(start / F.lit(block_words))
-        rank = F.pmod(block * F.lit(2_147_483_647) + F.xxhash64("s") % F.lit(1 << 31), F.col("n"))
-        group = F.size(F.filter("marks", lambda end: end <= rank))
-        near = F.slice("ends", group * F.col("step") + 1, F.col("step"))
-        shard = F.get("shards", group * F.col("step") + F.size(F.filter(near, lambda end: end <= rank)))
-        return F.struct(walk.cast("int").alias("walk"), taken.alias("words"), block.alias("block"), F.when(
-            taken > 0, shard).alias("shard"), F.md5(F.concat("key", walk.cast("string"))).alias("order"))
+        # What takes no words needs no block; negative numbers meet none and do not gather in one task.
+        nowhere = -F.lit(1) - F.pmod(F.xxhash64("key", F.lit(i)), F.lit(1 << 20))
+        return F.struct(F.lit(i).alias("walk"), taken.alias("words"), F.when(taken > 0, F.floor(
+            start / F.lit(block_words))).otherwise(nowhere).alias("block"), F.md5(
+                F.concat("key", F.lit(str(i)))).alias("order"))
 
-    pieces = F.filter(F.transform(F.array(*(F.lit(i).cast("long") for i in range(most))), piece),
-                      lambda p: p["words"] > 0)
-    return rows.select("doc", "size", "source_size", "target", pieces.alias("pieces"))
+    return rows.select("doc", "size", "source_size", "target", "at", F.array(*map(walk, range(most))).alias(
+        "walks")), blocks
+
+
+def drawn(docs: DataFrame, **options: object) -> DataFrame:
+    """For each row of docs (``doc``, a struct; needs doc_id, source, and text or ``n_words``): ``size``,
+    ``source_size``, ``target``, and ``pieces``: for each walk over it the words that a shard takes, the shard, the
+    block and the order in the shard."""
+    rows, blocks = _walked(docs, **options)
+    most = options.get("most", MOST)
+    for i in range(most):
+        rows = rows.withColumn(f"block_{i}", F.col("walks")[i]["block"]).join(
+            blocks.select("at", F.col("block").alias(f"block_{i}"), F.col("shard").alias(f"shard_{i}")),
+            ["at", f"block_{i}"], "left")
+    pieces = F.array(*(F.struct(*(F.col("walks")[i][c].alias(c) for c in ("walk", "words", "block")), F.col(
+        f"shard_{i}").alias("shard"), F.col("walks")[i]["order"].alias("order")) for i in range(most)))
+    return rows.select("doc", "size", "source_size", "target", F.filter(
+        pieces, lambda p: p["shard"].isNotNull()).alias("pieces"))
 
 
 def mixed(docs: DataFrame, **options: object) -> DataFrame:
     """The mix itself: a row of docs for each piece, its text cut where the quota ends, and ``shard``; rows lie in
     their shard's order within each partition. n_chars, if there, is that of the text."""
-    pieces = drawn(docs, **options).select("doc", "size", F.explode("pieces").alias("p"))
+    rows, blocks = _walked(docs, **options)
+    pieces = rows.select("doc", "size", "at", F.explode("walks").alias("p")).filter("p.words > 0").withColumn(
+        "block", F.col("p.block")).join(blocks, ["at", "block"])
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col("doc.text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)),
                                F.lit(1), F.col("p.words").cast("int")), "")
     pieces = pieces.withColumn("text", F.when(F.col("p.words") < F.col("size"), cut).otherwise(F.col("doc.text")))
     out = {c: F.col(f"doc.{c}") for c in docs.columns} | {"text": F.col("text")}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.length("text").cast("long")
-    return pieces.repartition("p.shard").sortWithinPartitions("p.shard", "p.order").select(
-        *(column.alias(c) for c, column in out.items()), F.col("p.shard").alias("shard"))
+    return pieces.repartition("shard").sortWithinPartitions("shard", "p.order").select(
+        *(column.alias(c) for c, column in out.items()), F.col("shard"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gaugewise.llm import (
     ann, dualtree, jaccard_join, licences, linededup, merkle, mixing, packing, quality, toxicity, warc, winnowing,
     wrappers)
-from gaugewise.llm.common import table, text_or_empty
+from gaugewise.llm.common import stage, table, text_or_empty
 from gaugewise.session import fresh_path, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,8 +66,9 @@ select doc_id, size, source_size, target,
   (greatest(0, least(size, quota - place)) + greatest(0, least(size, quota - place - source_size)))::bigint as taken
 from p""")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.drawn(table(spark, sf_dir, "documents").select(
-        "doc_id", "source", mixing.words(text_or_empty()).alias("n_words")))
+    # Written once, so that the texts are read and split into words once.
+    rows = mixing.drawn(stage(table(spark, sf_dir, "documents").select(
+        "doc_id", "source", mixing.words(text_or_empty()).alias("n_words")), "sizes"))
     taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda sum_, piece: sum_ + piece["words"])
     return rows.select("doc.doc_id", "size", "source_size", "target", taken.alias("taken"))
 

@@ -315,6 +315,33 @@ def test_mixing(spark):
     assert sum(len(r["text"].split()) for r in out) == sum(taken.values())
 
 
+def test_blocks_fill_the_shards_of_the_tree(spark):
+    n = {0: 1331, 1: 62, 2: 1, 3: 0}
+    sizes = spark.createDataFrame([(at, f"s{at}", k) for at, k in n.items()], "at long, source string, n long")
+    rows = mixing.block_shards(sizes, 8, "mix", group=100).collect()
+    assert sorted((r["at"], r["block"]) for r in rows) == [(at, b) for at, k in n.items() for b in range(k)]
+    got = Counter((r["at"], r["shard"]) for r in rows)
+    want = {}
+    for r in mixing.shard_quotas(sizes.select("at", "n"), 8, int.from_bytes(b"mix", "big")).collect():
+        want |= {(r["at"], s): b - a for s, a, b in zip(r["shards"], [0, *r["ends"]], r["ends"])}
+    assert got == want
+    # A permutation, neither a rotation nor a fixed stride: neighbours in a shard are not evenly far apart.
+    steps = Counter(b - a for s in range(8) for a, b in zip(*(lambda x: (x, x[1:]))(sorted(
+        r["block"] for r in rows if (r["at"], r["shard"]) == (0, s)))))
+    assert len(steps) > 10
+
+
+def test_mix_is_what_its_shards_take(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}" for _ in range(i % 23)), "ab"[i % 2]) for i in range(200)] + [
+        (None, None, None), (7, "twice here", "a"), (7, "twice here", "a")], "doc_id long, text string, source string")
+    options = {"block_words": 40, "shard_words": 500, "bucket_rows": 10}
+    want = Counter((p["shard"], r["doc"]["doc_id"], p["words"]) for r in mixing.drawn(docs, **options).collect()
+                   for p in r["pieces"])
+    out = mixing.mixed(docs, **options).collect()
+    assert Counter((r["shard"], r["doc_id"], len(r["text"].split())) for r in out) == want
+    assert len({s for s, _, _ in want}) > 4
+
+
 def test_splitting_tree_draws_exact_quotas(spark):
     quotas = spark.createDataFrame([(0, 1000), (1, 37), (2, 0), (3, 1)], "at long, n long")
     rows = {r["at"]: r for r in mixing.shard_quotas(quotas, 8, seed=1).collect()}
