@@ -6,8 +6,9 @@ zero: when it does, the step undoes that part instead (non-negative unbiased ris
 trained on; they only enter the estimated class prior, the share of good among the labels that may be learned from.
 
 The model is linear over a few shape figures of a text: shares of kinds of characters, how often words and word
-sequences repeat, word lengths, size. It is fitted on the driver from bounded samples (``sample`` positives and as
-many unlabelled rows, the first by a hash of the text); statistics of every document come from its whole text.
+sequences repeat, word lengths, size. It is fitted on all unlabelled rows and all trusted positives: their figures are
+written once, and each Newton step is one pass that sums risk, gradient and curvature in the tasks. The driver sees
+those sums only, a few hundred numbers, however often a document is repeated.
 
 Labels are learned only from rows where crc32 of doc_id modulo 3 is not 1; so are unlabelled rows. Neither label, lang,
 source nor doc_id is an input.
@@ -29,12 +30,12 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from gaugewise.llm.common import SPACES, Words, pieces
+from gaugewise.llm.common import SPACES, Words, pieces, stage
+from gaugewise.session import discard
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SAMPLE = 20_000
-STEPS = 600
+STEPS = 40
 _KINDS = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t\r\x0b\x0c", b"\n", b".,;:",
           b"!", b"?", b"|", b"*#$%&@^~_+=<>\\/", b"'\"()[]{}-`", bytes(range(128, 256)))
 
@@ -71,13 +72,16 @@ def shape(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _shaped(docs: DataFrame) -> DataFrame:
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("x", T.ArrayType(T.DoubleType()))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, bounds in pieces(batch.column(0)):
+            for a, b, data, bounds in pieces(batch.column(1)):
                 x = shape(data, bounds)
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64()))], ["x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(
+                    list(x), pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return docs.select("text").mapInArrow(run, "x array<double>")
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 @dataclass
@@ -92,40 +96,87 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(g, -40, 40)))
 
 
-def fitted(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = 0.05,
-           decay: float = 1e-4) -> Model:
-    """Minimise prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the logistic loss by Adam."""
-    both = np.concatenate([positive, unlabelled])
-    mean, scale = both.mean(0), both.std(0) + 1e-6
-    p, u = (np.column_stack([np.clip((x - mean) / scale, -8, 8), np.ones(len(x))]) for x in (positive, unlabelled))
-    w, m, v = np.zeros(p.shape[1]), 0.0, 0.0
-    for step in range(1, steps + 1):
-        sp, su = 1 / (1 + np.exp(-p @ w)), 1 / (1 + np.exp(-u @ w))
-        as_good = prior * p.T @ (sp - 1) / len(p)
-        as_bad = u.T @ su / len(u) - prior * p.T @ sp / len(p)
-        risk = np.mean(np.logaddexp(0, u @ w)) - prior * np.mean(np.logaddexp(0, p @ w))
-        gradient = (as_good + as_bad if risk >= 0 else -as_bad) + decay * np.append(w[:-1], 0)
-        m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient ** 2
-        w = w - rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
+def _summed(figures: DataFrame, of) -> np.ndarray:
+    """The sum over all rows of the vector that ``of`` makes of a batch (``x``, ``positive``). A task sums its own rows
+    before anything is shuffled, and only as many numbers as the vector has reach the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy().reshape(len(batch), -1)
+            if len(x):
+                total = total + of(x, batch.column(1).to_numpy(zero_copy_only=False))
+        if np.ndim(total):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "v"])
+
+    rows = figures.select("x", "positive").mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v"))
+    return np.array([r["v"] for r in sorted(rows.collect())])
+
+
+def fitted(figures: DataFrame, prior: float, steps: int = STEPS, decay: float = 1e-4) -> Model | None:
+    """Minimise prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the logistic loss, over all rows of ``figures``
+    (``x``, and ``positive`` for the trusted ones; every row is unlabelled too). None without positives.
+
+    With that loss R_p(+) - R_p(-) is linear, so the risk is convex where the maximum is not at zero, and Newton steps
+    need one pass each. A step that takes the negatives' risk below zero, or the whole risk up, is halved back."""
+    if figures.isEmpty():
+        return None
+    moments = _summed(figures, lambda x, p: np.concatenate([[len(x), p.sum()], x.sum(0), (x * x).sum(0)]))
+    (n, positives), (first, second) = moments[:2], moments[2:].reshape(2, -1) / moments[0]
+    if not positives:
+        return None
+    mean, scale = first, np.sqrt(np.maximum(second - first ** 2, 0)) + 1e-6
+    d = len(mean) + 1
+
+    def at(w: np.ndarray):
+        def of(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+            z = np.column_stack([np.clip((x - mean) / scale, -8, 8), np.ones(len(x))])
+            g = z @ w
+            s = 1 / (1 + np.exp(-np.clip(g, -40, 40)))
+            bad = np.logaddexp(0, g)
+            return np.concatenate([[bad.sum(), bad[p].sum(), np.logaddexp(0, -g[p]).sum()], s @ z, z[p].sum(0), (
+                (s * (1 - s))[:, None] * z).T.dot(z).ravel()])
+        return of
+
+    ridge = np.append(np.full(d - 1, decay), 0.0)
+    w, before, least = np.zeros(d), None, np.inf
+    for _ in range(steps):
+        sums = _summed(figures, at(w))
+        negative = sums[0] / n - prior * sums[1] / positives
+        risk = prior * sums[2] / positives + max(0.0, negative) + ridge @ (w * w) / 2
+        if before is not None and (negative < 0 or risk > least + 1e-12):
+            w = (w + before) / 2
+        else:
+            least, before = risk, w
+            gradient = sums[3:3 + d] / n - prior * sums[3 + d:3 + 2 * d] / positives + ridge * w
+            curve = sums[3 + 2 * d:].reshape(d, d) / n + np.diag(ridge + 1e-6)
+            step = np.linalg.solve(curve, gradient)
+            w = w - step / max(1.0, np.abs(step).max() / 2)
+        if np.abs(w - before).max() < 1e-5:
+            break
+    # Sums come in any order; their last digits are not kept.
+    w = np.round(before, 9)
     return Model(mean, scale, w[:-1], float(w[-1]))
 
 
-def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def trained(docs: DataFrame, labels: DataFrame, sample: int | None = None) -> Model:
+    """Fitted on all documents that may be learned from; on at most ``sample`` trusted positives, if given."""
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(
         F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     good, all_ = known.agg(F.sum(F.col("quality").cast("long")), F.count("*")).first()
     prior = ((good or 0) + 1) / (all_ + 2)
-    order = F.xxhash64("doc_id", F.lit(7))
-    # Ids are chosen first, so that only the chosen texts are read and moved.
-    positives = known.filter("quality = 1").orderBy(order, "doc_id").select("doc_id").limit(sample)
-    web = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").orderBy(
-        F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(sample)
-    x = [np.array([r["x"] for r in _shaped(docs.select("doc_id", "text").join(
-        F.broadcast(ids.distinct()), "doc_id", "left_semi")).toLocalIterator()]) for ids in (positives, web)]
-    if not len(x[0]) or not len(x[1]):
+    positives = known.filter("quality = 1").select(F.col("doc_id").alias("id"))
+    if sample is not None:
+        positives = positives.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(sample)
+    web = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    # Texts become figures before they meet the labels, so no text is moved.
+    figures = stage(_shaped(web).join(positives, F.col("doc_id") == F.col("id"), "left").select(
+        "x", F.col("id").isNotNull().alias("positive")), "figures")
+    model = fitted(figures, prior)
+    discard(figures)
+    if model is None:
         size = shape(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1]
         return Model(np.zeros(size), np.ones(size), np.zeros(size), float(np.log(prior / (1 - prior))))
-    return fitted(x[0], x[1], prior)
+    return model
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -399,6 +399,28 @@ def test_quality(spark):
     assert held == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in kinds}
 
 
+def test_quality_minimises_the_risk(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(0.8, 1, (300, 3)), rng.normal(-0.8, 1, (300, 3))])
+    positive = np.arange(600) < 80
+    rows = spark.createDataFrame([(r.tolist(), bool(p)) for r, p in zip(x, positive)], "x array<double>, positive boolean")
+    model = quality.fitted(rows.repartition(5), 0.5)
+    z = np.column_stack([np.clip((x - x.mean(0)) / (x.std(0) + 1e-6), -8, 8), np.ones(600)])
+
+    def risk(w):
+        g = z @ w
+        negative = np.logaddexp(0, g).mean() - 0.5 * np.logaddexp(0, g[positive]).mean()
+        return 0.5 * np.logaddexp(0, -g[positive]).mean() + max(0, negative) + 5e-5 * (w[:-1] ** 2).sum()
+
+    w = np.append(model.weights, model.bias)
+    best = risk(w)
+    for size in (1e-3, 1e-2, 0.1, 1):
+        assert all(risk(w + size * rng.normal(size=4)) >= best - 1e-9 for _ in range(200))
+    again = quality.fitted(rows.repartition(3), 0.5)
+    assert np.array_equal(again.weights, model.weights) and again.bias == model.bias
+    assert quality.fitted(rows.filter("not positive"), 0.5) is None and quality.fitted(rows.limit(0), 0.5) is None
+
+
 def test_toxicity(spark):
     rng = random.Random(11)
     rows = []
