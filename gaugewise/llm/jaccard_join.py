@@ -13,7 +13,8 @@ Equal sets are one class from the start, and a task posts a class once, so copie
 is first compared with one centre only, the class with most company over all its keys; classes that are in one
 component by then need no further comparison. What is left of a key's classes is compared with each other: up to
 ``SMALL`` of them as pairs (so pairs grow with rows), more of them in blocks, where a task takes two blocks, finds all
-links by matrix products and returns only what joins components. Links are verified on whole sets.
+links by matrix products and returns only what joins components. Links are verified on whole sets, which are made again
+and shipped only for pairs that may be linked by their parities: sets that differ in d elements differ in at most d of them.
 
 Cases: null and empty texts have no shingles, size 0, and are linked with nothing; fewer words than a shingle are one
 shingle; repeated rows are kept and linked; null doc_ids are kept and never a component's id unless it has no other;
@@ -42,6 +43,8 @@ SHINGLE = 4
 SIMILARITY = (85, 100)
 #: Bits of the map that tells which documents' sets a verification may need; wrong hits only cost time.
 MAP_BITS = 1 << 24
+#: Of how many groups of elements a set's parities tell whether it has an odd number.
+PARITIES = 1_024
 SMALL = 64
 BLOCK = 1_024
 
@@ -124,27 +127,34 @@ class Posting:
             mixed(deleted) + segment[covered] + mark)))
 
 
+def parities(elements: np.ndarray) -> np.ndarray:
+    """``PARITIES`` bits, as longs: whether an odd number of elements falls into a group."""
+    groups = (elements % np.uint64(PARITIES)).astype(np.int64)
+    return np.packbits(np.bincount(groups, minlength=PARITIES).astype(np.uint8) & 1).view(np.int64)
+
+
 def posted(docs: DataFrame, width: int, most: tuple[int, int]) -> DataFrame:
-    """Per row: doc_id, text_hash, n, set (hash of the whole set), and its keys, once per set and task."""
+    """Per row: doc_id, text_hash, n, set (hash of the whole set), its parities, and its keys, once per set and task."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     schema = T.StructType([*rows.schema.fields[:2], T.StructField("n", T.LongType()), T.StructField(
-        "set", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+        "set", T.LongType()), T.StructField("odd", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         posting, seen = Posting(most), set()
         for batch in batches:
             for a, b, data, bounds in pieces(batch.column(2)):
-                n, ids, keys = [], [], []
+                n, ids, odd, keys = [], [], [], []
                 for elements in shingle_sets(Words(data, bounds, SPACES), width):
                     n.append(len(elements))
                     ids.append(int(mixed(elements ^ np.uint64(0xA5A5)).sum(dtype=np.uint64).astype(np.int64)))
+                    odd.append(parities(elements))
                     keys.append(posting.keys(elements) if ids[-1] not in seen else elements[:0])
                     seen.add(ids[-1])
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n, pa.int64()),
-                    pa.array(ids, pa.int64()), lists], schema.names)
+                    pa.array(ids, pa.int64()), pa.array(odd, pa.list_(pa.int64())), lists], schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -175,6 +185,16 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "set long, elements array<long>")
 
 
+def alike(pairs: DataFrame, marks: DataFrame, most: tuple[int, int]) -> DataFrame:
+    """The pairs (``u``, ``v``) without those whose ``marks`` (``set``, ``n``, ``odd``) differ in more parities than
+    similar sets of their sizes can in elements."""
+    a, b = (marks.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}")) for x in "uv")
+    both = pairs.join(a, "u").join(b, "v")
+    differ = F.aggregate(F.zip_with("odd_u", "odd_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return both.filter(differ.cast("long") * (most[0] + most[1]) <= (F.col("n_u") + F.col("n_v")) * (
+        most[1] - most[0])).select("u", "v")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, most: tuple[int, int]) -> DataFrame:
     """The pairs (``u``, ``v``) that are similar enough, by their whole sets."""
     left = pairs.join(sets.select(F.col("set").alias("u"), F.col("elements").alias("a")), "u")
@@ -250,13 +270,23 @@ def linked(docs: DataFrame, width: int = SHINGLE, most: tuple[int, int] = SIMILA
     company = shared.withColumn("c", F.count("*").over(key)).groupBy("u").agg(F.sum("c").alias("w"))
     lists = stage(shared.join(company, "u").withColumn("v", F.max(F.struct("w", "u")).over(key)["u"]).drop("w"), "stars")
     discard(shared)
-    # One document of each set that is in a list: the set is made again from its text.
+    # One document of each set that is in a list: where it is needed whole, it is made again from that text.
     nodes = lists.select("u").distinct()
-    wanted = rows.join(nodes, rows["set"] == nodes["u"], "left_semi").groupBy("set").agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("d")).select("d.*")
-    sets = stage(whole_sets(docs, wanted, width).groupBy("set").agg(F.any_value("elements").alias("elements")).join(
-        nodes, F.col("set") == F.col("u"), "left_semi"), "whole")
-    first = stage(verified(lists.filter("u <> v").select("u", "v").distinct(), sets, most), "first")
+    marks = stage(rows.join(nodes, rows["set"] == nodes["u"], "left_semi").groupBy("set").agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("d"), F.any_value("n").alias("n"), F.any_value("odd").alias("odd")),
+        "marks")
+
+    def whole(needed: DataFrame, name: str) -> DataFrame:
+        needed = needed.distinct()
+        wanted = marks.join(needed, marks["set"] == needed["u"], "left_semi").select("d.*")
+        return stage(whole_sets(docs, wanted, width).groupBy("set").agg(F.any_value("elements").alias("elements")).join(
+            needed, F.col("set") == F.col("u"), "left_semi"), name)
+
+    ends = F.explode(F.array("u", "v")).alias("u")
+    near = stage(alike(lists.filter("u <> v").select("u", "v").distinct(), marks, most), "near")
+    sets = whole(near.select(ends), "whole")
+    first = stage(verified(near, sets, most), "first")
+    discard(near, sets)
     found = components(first)
     # Classes of a key that are not all in one component by now are compared with each other.
     rest = lists.join(found, lists["u"] == found["node"], "left").select(
@@ -268,10 +298,13 @@ def linked(docs: DataFrame, width: int = SHINGLE, most: tuple[int, int] = SIMILA
     similar = (F.least("a.n", "b.n") * most[1] >= F.greatest("a.n", "b.n") * most[0])
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.u") > F.col("b.u")) & (
         F.col("a.root") != F.col("b.root")) & similar).select(F.col("a.u").alias("u"), F.col("b.u").alias("v"))
-    second = verified(pairs.distinct(), sets, most)
-    third = linked_in_blocks(rest.filter(F.col("c") > SMALL), sets.select("set", "elements"), most)
+    near = stage(alike(pairs.distinct(), marks, most), "near-rest")
+    large = rest.filter(F.col("c") > SMALL)
+    sets = whole(near.select(ends).unionAll(large.select("u")), "whole-rest")
+    second = verified(near, sets, most)
+    third = linked_in_blocks(large, sets.select("set", "elements"), most)
     links = stage(first.unionAll(second).unionAll(third), "all-links")
-    discard(sets, rest, first)
+    discard(sets, rest, first, near, marks)
     roots = components(links)
     rows = rows.join(roots, rows["set"] == roots["node"], "left").select(
         "doc_id", "text_hash", F.col("n").alias("n_shingles"), "set", F.coalesce("root", "set").alias("root"))

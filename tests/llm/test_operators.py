@@ -196,6 +196,27 @@ def test_jaccard_deficient_sets_meet():
             assert len(np.intersect1d(posting.keys(x), posting.keys(y)))
 
 
+def test_only_pairs_that_may_be_linked_are_met_whole(spark):
+    rng, most = np.random.default_rng(4), (85, 100)
+    whole = {}
+    for i in range(0, 60, 3):
+        base = np.unique(rng.integers(0, 1 << 63, 5 + 20 * i, dtype=np.uint64))
+        fresh = np.unique(rng.integers(0, 1 << 63, len(base), dtype=np.uint64))
+        edits = len(base) // 14
+        whole |= {i: base, i + 1: np.unique(np.r_[base[edits:], fresh[:edits]]), i + 2: fresh}
+    marks = spark.createDataFrame([(i, len(x), jaccard_join.parities(x).tolist()) for i, x in whole.items()],
+                                  "set long, n long, odd array<long>")
+    pairs = [(i, i + j) for i in range(0, 60, 3) for j in (1, 2)]
+    got = {tuple(r) for r in jaccard_join.alike(spark.createDataFrame(pairs, "u long, v long"), marks, most).collect()}
+    for u, v in pairs:
+        common = len(np.intersect1d(whole[u], whole[v]))
+        if common * 100 >= 85 * (len(whole[u]) + len(whole[v]) - common):
+            assert (u, v) in got
+        else:
+            assert (u, v) not in got
+    assert len(got) > 10
+
+
 def test_packing(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
