@@ -36,6 +36,8 @@ from gaugewise.session import discard
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 STEPS = 40
+#: The ridge of a fit from few trusted positives is this over their number; 1e-4 at least.
+SHRINK = 2.0
 _KINDS = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t\r\x0b\x0c", b"\n", b".,;:",
           b"!", b"?", b"|", b"*#$%&@^~_+=<>\\/", b"'\"()[]{}-`", bytes(range(128, 256)))
 
@@ -112,12 +114,13 @@ def _summed(figures: DataFrame, of) -> np.ndarray:
     return np.array([r["v"] for r in sorted(rows.collect())])
 
 
-def fitted(figures: DataFrame, prior: float, steps: int = STEPS, decay: float = 1e-4) -> Model | None:
+def fitted(figures: DataFrame, prior: float, steps: int = STEPS, decay: float = 1e-4, shrink: float = 0.0) -> Model | None:
     """Minimise prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the logistic loss, over all rows of ``figures``
     (``x``, and ``positive`` for the trusted ones; every row is unlabelled too). None without positives.
 
     With that loss R_p(+) - R_p(-) is linear, so the risk is convex where the maximum is not at zero, and Newton steps
-    need one pass each. A step that takes the negatives' risk below zero, or the whole risk up, is halved back."""
+    need one pass each. A step that takes the negatives' risk below zero, or the whole risk up, is halved back. The ridge
+    is ``decay``, or ``shrink`` over the number of trusted positives if that is more."""
     if figures.isEmpty():
         return None
     moments = _summed(figures, lambda x, p: np.concatenate([[len(x), p.sum()], x.sum(0), (x * x).sum(0)]))
@@ -137,7 +140,7 @@ def fitted(figures: DataFrame, prior: float, steps: int = STEPS, decay: float =
                 (s * (1 - s))[:, None] * z).T.dot(z).ravel()])
         return of
 
-    ridge = np.append(np.full(d - 1, decay), 0.0)
+    ridge = np.append(np.full(d - 1, max(decay, shrink / positives)), 0.0)
     w, before, least = np.zeros(d), None, np.inf
     for _ in range(steps):
         sums = _summed(figures, at(w))
@@ -171,7 +174,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int | None = None) -> Mo
     # Texts become figures before they meet the labels, so no text is moved.
     figures = stage(_shaped(web).join(positives, F.col("doc_id") == F.col("id"), "left").select(
         "x", F.col("id").isNotNull().alias("positive")), "figures")
-    model = fitted(figures, prior)
+    model = fitted(figures, prior, shrink=SHRINK)
     discard(figures)
     if model is None:
         size = shape(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1]
