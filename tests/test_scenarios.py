@@ -131,3 +131,15 @@ def test_correction_flow(spark):
     assert (view["R1"].temperature, view["R1"].corrected_temperature) == (55.0, 31.8)
     assert view["R2"].corrected_temperature == 54.0
     assert correction.unaudited(events, correction.audit_events(events)).count() == 0
+
+
+def test_only_flagged_readings_meet_their_diagnosis(spark, monkeypatch):
+    rows = [("a", True, 1), ("a", False, 2), ("b", False, 3), ("c", True, 4), (None, True, 5), (None, False, 6)]
+    stage = cut(spark.createDataFrame(rows, "reading_id string, anomaly boolean, n int"), "test")
+    monkeypatch.setattr(evaluate, "diagnose", lambda df, cfg: df.where("anomaly").select("reading_id", *[
+        F.concat(F.lit(c), "reading_id").alias(c) for c in evaluate.DIAGNOSIS]))
+    got = evaluate.with_diagnosis(stage)
+    want = stage.join(evaluate.diagnose(stage, None), "reading_id", "left")
+    assert got.columns == want.columns and sorted(got.collect(), key=lambda r: r["n"]) == sorted(
+        want.collect(), key=lambda r: r["n"])
+    assert got._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
