@@ -115,6 +115,29 @@ def test_line_dedup(spark, seed, monkeypatch):
     assert got == removed_lines(docs)
 
 
+def test_line_dedup_compares_lines_of_a_common_passage_once(spark, monkeypatch):
+    """Lines that share a passage share many keys; only those that may be similar are compared on whole sets."""
+    rng = random.Random(3)
+    passage = [f"passage-of-many-lines-{i:02d}" for i in range(40)]
+    rows = [passage + [f"own{rng.randrange(10**9):09d}" for _ in range(26)] for _ in range(60)]
+    rows += [r[:-1] for r in rows[5:10]]
+    rng.shuffle(rows)
+    docs = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    kept, stage = {}, linededup.stage
+
+    def counted(df, name):
+        kept[name] = stage(df, name)
+        kept[f"{name} rows"] = kept[name].count()
+        return kept[name]
+
+    monkeypatch.setattr(linededup, "stage", counted)
+    monkeypatch.setattr(linededup, "FREQUENT", 1)  # long words first, as in a corpus where the passage is rare
+    got = {r["doc_id"]: r["removed"] for r in linededup.decided(spark.createDataFrame(
+        docs, "doc_id long, text string")).collect()}
+    assert got == removed_lines(docs) and sum(g[0] for g in got.values()) == 5
+    assert kept["pairs rows"] + kept["more rows"] <= 60  # 64 lines after the first; 1,770 pairs and more share the passage
+
+
 def shingles(text, width):
     w = re.findall(SPLIT, (text or "").translate(ASCII_LOWER))
     return frozenset(tuple(w[i:i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset()
