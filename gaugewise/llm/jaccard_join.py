@@ -15,6 +15,9 @@ component by then need no further comparison. What is left of a key's classes is
 ``SMALL`` of them as pairs (so pairs grow with rows), more of them in blocks, where a task takes two blocks, finds all
 links by matrix products and returns only what joins components. Links are verified on whole sets, which are made again
 and shipped only for pairs that may be linked by their parities: sets that differ in d elements differ in at most d of them.
+So the blocks of a large key first compare parities, and only sets that have a possible link there are compared whole.
+Keys are dealt, and pairs verified, in ``PASSES`` or more parts one after the other, so that their shuffle files take less
+disk: a part ships no more pairs than there are sets in lists.
 
 Cases: null and empty texts have no shingles, size 0, and are linked with nothing; fewer words than a shingle are one
 shingle; repeated rows are kept and linked; null doc_ids are kept and never a component's id unless it has no other;
@@ -33,7 +36,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
-from gaugewise.llm.common import SPACES, Words, mixed, pieces, stage
+from gaugewise.llm.common import SPACES, Words, in_passes, mixed, pieces, stage
 from gaugewise.llm.graph import components
 from gaugewise.session import discard
 
@@ -47,6 +50,7 @@ MAP_BITS = 1 << 24
 PARITIES = 1_024
 SMALL = 64
 BLOCK = 1_024
+PASSES = 4
 
 
 def shingle_sets(words: Words, width: int) -> Iterator[np.ndarray]:
@@ -225,14 +229,73 @@ def joined(sets: list[np.ndarray], most: tuple[int, int]) -> np.ndarray:
         root = least
 
 
-def linked_in_blocks(rest: DataFrame, sets: DataFrame, most: tuple[int, int]) -> DataFrame:
-    """Links (``u``, ``v``) that join the classes of large keys as comparing all of a key's classes would."""
+def in_blocks(rest: DataFrame, *columns: str) -> DataFrame:
+    """Rows of large keys, as often as their key has blocks: any two of a key meet in one (``key``, ``lo``, ``hi``)."""
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("u"), blocks).cast("int")
-    rows = rest.join(sets, rest["u"] == sets["set"]).select(
-        "key", "u", "elements", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "u",
-                       "elements").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "u")
+    rows = rest.select("key", "u", *columns, own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    return rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "u",
+                       *columns).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "u")
+
+
+def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by their first three columns as one table for each value of these."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        if held and any(held[-1].column(i)[-1] != batch.column(i)[0] for i in range(3)):
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        keys = [batch.column(i).to_numpy() for i in range(3)]
+        at = [0, *np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1, batch.num_rows]
+        for a, b in zip(at[:-1], at[1:]):
+            if a:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def may_link(odd: np.ndarray, n: np.ndarray, root: np.ndarray, most: tuple[int, int], step: int = 64) -> np.ndarray:
+    """Which sets have another one of a different root that differs from them in no more parities than similar sets of their
+    sizes can in elements."""
+    order = np.argsort(n, kind="stable")
+    odd, size, root = odd[order], n[order], root[order]
+    hit = np.zeros(len(n), bool)
+    for a in range(0, len(n), step):
+        b = min(a + step, len(n))
+        # Only sets of similar sizes, from the first of these on.
+        end = int(np.searchsorted(size, size[b - 1] * most[1] // most[0], "right"))
+        differ = np.bitwise_count(odd[a:b, None] ^ odd[None, a:end]).sum(2, dtype=np.int64)
+        near = (differ * (most[0] + most[1]) <= (size[a:b, None] + size[None, a:end]) * (most[1] - most[0])) & (
+            root[a:b, None] != root[None, a:end])
+        hit[a:b] |= near.any(1)
+        hit[a:end] |= near.any(0)
+    out = np.zeros(len(n), bool)
+    out[order] = hit
+    return out
+
+
+def hopeful(large: DataFrame, marks: DataFrame, most: tuple[int, int]) -> DataFrame:
+    """The rows of large keys that a set of another root in the key may be linked with, by their parities."""
+    rows = in_blocks(large.join(marks.select(F.col("set").alias("u"), "odd"), "u"), "n", "root", "odd")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_of(batches):
+            n, root = (group[c].to_numpy() for c in ("n", "root"))
+            lists = group["odd"].combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            hit = may_link(lists.flatten().to_numpy().view(np.uint64).reshape(len(n), -1), n, root, most)
+            yield pa.RecordBatch.from_arrays([pa.array(group[c].to_numpy()[hit]) for c in ("key", "u")], ["key", "u"])
+
+    return large.join(rows.mapInArrow(run, "key long, u long").distinct(), ["key", "u"], "left_semi")
+
+
+def linked_in_blocks(rest: DataFrame, sets: DataFrame, most: tuple[int, int]) -> DataFrame:
+    """Links (``u``, ``v``) that join the classes of large keys as comparing all of a key's classes would."""
+    rows = in_blocks(rest.join(sets, rest["u"] == sets["set"]), "elements")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(u: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
@@ -263,8 +326,9 @@ def linked(docs: DataFrame, width: int = SHINGLE, most: tuple[int, int] = SIMILA
     keyed = stage(posted(docs, width, most), "sets")
     key = Window.partitionBy("key")
     lists = keyed.filter(F.size("keys") > 0).select(F.explode("keys").alias("key"), F.col("set").alias("u"), "n")
-    shared = stage(lists.withColumn("lo", F.min("u").over(key)).withColumn("hi", F.max("u").over(key)).filter(
-        "lo < hi").drop("lo", "hi").distinct(), "lists")
+    first, *more = [part.withColumn("lo", F.min("u").over(key)).withColumn("hi", F.max("u").over(key)).filter(
+        "lo < hi").drop("lo", "hi").distinct() for part in in_passes(lists, PASSES, "key")]
+    shared = stage(first, "lists", *more)
     rows = stage(keyed.drop("keys"), "rows")
     discard(keyed)
     company = shared.withColumn("c", F.count("*").over(key)).groupBy("u").agg(F.sum("c").alias("w"))
@@ -282,10 +346,15 @@ def linked(docs: DataFrame, width: int = SHINGLE, most: tuple[int, int] = SIMILA
         return stage(whole_sets(docs, wanted, width).groupBy("set").agg(F.any_value("elements").alias("elements")).join(
             needed, F.col("set") == F.col("u"), "left_semi"), name)
 
+    def in_parts(pairs: DataFrame, sets: DataFrame) -> list[DataFrame]:
+        passes = max(PASSES, -(-pairs.count() // max(1, marks.count())))
+        return [verified(part, sets, most) for part in in_passes(pairs, passes, "u", "v")]
+
     ends = F.explode(F.array("u", "v")).alias("u")
     near = stage(alike(lists.filter("u <> v").select("u", "v").distinct(), marks, most), "near")
     sets = whole(near.select(ends), "whole")
-    first = stage(verified(near, sets, most), "first")
+    first, *more = in_parts(near, sets)
+    first = stage(first, "first", *more)
     discard(near, sets)
     found = components(first)
     # Classes of a key that are not all in one component by now are compared with each other.
@@ -299,12 +368,12 @@ def linked(docs: DataFrame, width: int = SHINGLE, most: tuple[int, int] = SIMILA
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.u") > F.col("b.u")) & (
         F.col("a.root") != F.col("b.root")) & similar).select(F.col("a.u").alias("u"), F.col("b.u").alias("v"))
     near = stage(alike(pairs.distinct(), marks, most), "near-rest")
-    large = rest.filter(F.col("c") > SMALL)
+    large = stage(hopeful(rest.filter(F.col("c") > SMALL), marks, most), "hopeful")
     sets = whole(near.select(ends).unionAll(large.select("u")), "whole-rest")
-    second = verified(near, sets, most)
+    second, *more = in_parts(near, sets)
     third = linked_in_blocks(large, sets.select("set", "elements"), most)
-    links = stage(first.unionAll(second).unionAll(third), "all-links")
-    discard(sets, rest, first, near, marks)
+    links = stage(first, "all-links", second, *more, third)
+    discard(sets, rest, first, near, marks, large)
     roots = components(links)
     rows = rows.join(roots, rows["set"] == roots["node"], "left").select(
         "doc_id", "text_hash", F.col("n").alias("n_shingles"), "set", F.coalesce("root", "set").alias("root"))
